@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plumbline.llm import query_simhash
+from plumbline.llm import query_chat, query_mixing, query_simhash
 
-MODULES = (query_simhash,)
+MODULES = (query_simhash, query_chat, query_mixing)
 
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
