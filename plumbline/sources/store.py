@@ -15,7 +15,7 @@ def open_output(uri: str):
     """A stream that writes a new file. Files of a task's attempt have names of their own; a manifest says which count."""
     system, path = _of(uri)
     system.create_dir(posixpath.dirname(path), recursive=True)
-    return system.open_output_stream(path)
+    return system.open_output_stream(path, compression=None)
 
 
 def open_input(uri: str):
