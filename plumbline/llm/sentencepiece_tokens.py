@@ -1,12 +1,14 @@
 """SentencePiece encoding and decoding on the tokenizers library.
 
 The model's protobuf is parsed here; its normaliser, metaspace marker, scores or merges and byte fallback are rebuilt
-as parts of the tokenizers library, which encodes batches on several threads. Parity with the sentencepiece library is
-tested on every text, and where the two differ, the result is sentencepiece's.
+as parts of the tokenizers library. Texts are cut where no piece can lie across, and each distinct part is encoded
+once. Parity with the sentencepiece library is tested on every distinct part, which decides it for whole texts; where
+the two differ, the result is sentencepiece's.
 """
 
 from __future__ import annotations
 
+import array
 import re
 import struct
 from dataclasses import dataclass, field
@@ -16,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.word_encoder import Cache, library
+from plumbline.llm.word_encoder import Cache, cut, library
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: Stands between parts that are encoded in one call, and is none of Unicode's characters.
+JOINT = "\uffff"
 
 
 @dataclass
@@ -103,7 +107,7 @@ def build_merges(m: Model) -> list[tuple[str, str]]:
 
 
 def build_tokenizer(m: Model):
-    """The whole model as a Tokenizer, without its normaliser."""
+    """The whole model as a Tokenizer, without its normaliser. The character JOINT parts the parts of a text."""
     t = library()
     unknown = next(i for i, (_, _, kind) in enumerate(m.pieces) if kind == UNKNOWN)
     if m.kind == BPE:
@@ -112,6 +116,7 @@ def build_tokenizer(m: Model):
     else:
         model = t.models.Unigram([(p, s) for p, s, _ in m.pieces], unk_id=unknown, byte_fallback=m.byte_fallback)
     out = t.Tokenizer(model)
+    out.pre_tokenizer = t.pre_tokenizers.Split(JOINT, "removed")
     defined = [t.AddedToken(p, normalized=False) for p, _, kind in m.pieces if kind == USER_DEFINED]
     if defined:
         out.add_tokens(defined)
@@ -138,6 +143,9 @@ class SentencePieceCodec:
         self.normalizer, self.tokenizer = build_normalizer(self.model), build_tokenizer(self.model)
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.cache = Cache()
+        self.differ: set[str] = set()
+        self.opens = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
+        self.marked = np.array([p.endswith(MARK) for p, _, _ in self.model.pieces])
         # a run of marks begins a part where no piece has a mark behind another character: no merge crosses that border
         whole = any(re.search(f"[^{MARK}]{MARK}", p) for p, _, kind in self.model.pieces if kind not in (CONTROL, UNKNOWN))
         self.part = None if whole else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -148,24 +156,54 @@ class SentencePieceCodec:
         return self
 
     def normalized(self, text: str) -> str:
-        return self.normalizer.normalize_str(text) if text else ""
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian u32 bytes, by the tokenizers library."""
+        if not text:
+            return ""
+        m = self.model
+        if m.charsmap or m.remove_extra_whitespaces:
+            return self.normalizer.normalize_str(text)
+        text = " " + text if m.add_dummy_prefix else text
+        return text.replace(" ", MARK) if m.escape_whitespaces else text
+
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+        """Ids as little-endian u32 bytes by the tokenizers library, and whether sentencepiece agrees on each text.
+
+        A text's parts are the borders that no piece crosses, so that its ids are those of its parts: both libraries
+        encode every distinct part, once while the cache holds it, and where they differ, sentencepiece's ids stand.
+        """
         texts = [self.normalized(t) for t in texts]
         parts = [self.part.findall(t) if self.part else [t] if t else [] for t in texts]
-        batch = lambda ws: [e.ids for e in self.tokenizer.encode_batch_fast(ws, add_special_tokens=False)]
-        known = self.cache.fill(set().union(*parts), batch)
-        return [b"".join(map(known.__getitem__, ws)) for ws in parts]
-
-    def encode_checked(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
-        """Ids, and whether both libraries agree; where they don't, sentencepiece's ids stand."""
-        out, same = self.encode(texts), []
-        for k, ids in enumerate(self.reference.encode(texts, num_threads=1)):
-            want = np.array(ids, "<u4").tobytes()
-            same.append(out[k] == want)
-            out[k] = want
-        return out, same
+        known = self.cache.fill(set().union(*parts), self._new)
+        same = [not self.differ or self.differ.isdisjoint(ws) for ws in parts]
+        return [b"".join(map(known.__getitem__, ws)) for ws in parts], same
+
+    def _new(self, parts: list[str]) -> list[bytes]:
+        """New parts go to either library in one text: a part begins with a mark behind something else. Other parts,
+        and all if the texts' ids differ, are taken one by one."""
+        plain = [p for p in parts if p[0] == MARK and p[-1] != MARK and JOINT not in p] if self.part else []
+        found = {}
+        if plain:
+            ids = np.array(self.tokenizer.encode_batch_fast([JOINT.join(plain)], add_special_tokens=False)[0].ids, "<u4")
+            if ids.tobytes() == self._reference("".join(plain)):
+                begins = np.flatnonzero(self.opens[ids[1:]] & ~self.marked[ids[:-1]]) + 1
+                if len(begins) + 1 == len(plain):
+                    found = dict(zip(plain, cut(ids, np.append(begins, len(ids))), strict=True))
+        for p in parts if len(found) < len(parts) else ():
+            if p not in found:
+                found[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+                want = self._reference(p)
+                if found[p] != want:
+                    found[p] = want
+                    self.differ.add(p)
+        return [found[p] for p in parts]
+
+    def _reference(self, normalized: str) -> bytes:
+        """sentencepiece's ids of what is normalised already. Marks alone stand behind a letter, since a text without
+        characters gets no prefix."""
+        behind = self.part is not None and not normalized.strip(MARK)
+        text = ("a" if behind else "") + normalized[self.model.add_dummy_prefix and not behind :]
+        text = text.replace(MARK, " ") if self.model.escape_whitespaces else text
+        ids = self.reference.encode(text)
+        return array.array("I", ids[len(self.reference.encode("a")) if behind else 0 :]).tobytes()
 
     def decode(self, ids: list[int]) -> bytes:
         """The text's bytes: pieces joined, marks as spaces, the dummy prefix taken off."""
@@ -187,7 +225,7 @@ def encode_sentencepiece(docs: DataFrame, model_path: str, id_col: str = "doc_id
             for s in range(0, whole.num_rows, batch):
                 part = whole.slice(s, batch)
                 texts = part.column(1).to_pylist()
-                found, same = codec.encode_checked(texts)
+                found, same = codec.encode(texts)
                 arrays = [np.frombuffer(f, "<u4").astype(np.int32) for f in found]
                 back = [codec.decode(a.tolist()) for a in arrays]
                 lossless = [b == codec.normalized(t).replace(MARK, " ")[codec.model.add_dummy_prefix :].encode() for b, t in zip(back, texts, strict=True)]

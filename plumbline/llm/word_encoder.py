@@ -10,6 +10,8 @@ import numpy as np
 THREADS = "2"
 #: Words that the cache keeps in each of its two generations, and the longest word that it keeps.
 KEEP, LONGEST = 300_000, 64
+#: Characters that are neither letters nor digits nor white space.
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def library():
@@ -24,43 +26,76 @@ class Cache:
     """Two generations of a dictionary: what the old one holds and is asked for again moves to the young one."""
 
     def __init__(self, keep: int = KEEP):
-        self.young, self.old, self.keep = {}, {}, keep
-
-    def fill(self, words: set, encode_batch) -> dict:
-        """A dictionary that holds all words."""
+        self.young, self.old, self.keep, self.long = {}, {}, keep, []
+
+    def fill(self, words: set, encode) -> dict:
+        """A dictionary that holds all words; encode gives the ids of a list of words as bytes. Long words go with the
+        next call."""
+        for w in self.long:
+            del self.young[w]
+        if len(self.young) > self.keep:
+            self.young, self.old = {}, self.young
         young, old = self.young, self.old
         new = []
-        for w in words - young.keys():
+        for w in words.difference(young):
             data = old.get(w)
             if data is None:
                 new.append(w)
             else:
                 young[w] = data
-        extra = {}
-        if new:
-            for w, ids in zip(new, encode_batch(new), strict=True):
-                (young if len(w) <= LONGEST else extra)[w] = np.array(ids, "<u4").tobytes()
-        if len(young) > self.keep:
-            self.young, self.old = {}, young
-        return young | extra if extra else young
+        self.long = [w for w in new if len(w) > LONGEST]
+        young.update(zip(new, encode(new), strict=True) if new else ())
+        return young
+
+
+def cut(data: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The pieces of an id array up to each of the ends, as bytes."""
+    raw, at = data.tobytes(), [0, *(4 * ends).tolist()]
+    return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
 class WordEncoder:
     """Texts to ids as little-endian u32 bytes, by encode(), without special tokens being added.
 
-    ASCII white space is a boundary that no token, normalisation or match crosses in such tokenizers: each distinct
-    word is encoded by the library once and looked up later.
+    For byte-pair tokenizers whose last token of a word is marked and which part words at white space and between
+    letters and other characters. ASCII white space is a boundary that no token, normalisation or match crosses in
+    them: each distinct word is encoded by the library once and looked up later. New words of letters, with signs
+    behind or not, go to the library in one text; the marked tokens show where each ends, and words
+    are taken one by one if their number isn't what it must be at least.
     """
 
     _cached: dict = {}
 
     def __init__(self, path: str):
         if path not in self._cached:
-            self._cached[path] = (library().Tokenizer.from_file(path), Cache())
-        self.tokenizer, self.cache = self._cached[path]
+            tokenizer = library().Tokenizer.from_file(path)
+            suffix = tokenizer.model.end_of_word_suffix or ""
+            marked = np.zeros(tokenizer.get_vocab_size(), bool)
+            marked[[i for t, i in tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
+            same = [tokenizer.encode(w, add_special_tokens=False).ids for w in ("AZ", "az")]
+            if same[0] != same[1] or not all("<|" in t.content for t in tokenizer.get_added_tokens_decoder().values()):
+                raise ValueError("a tokenizer of lower-case words is needed, with special tokens that hold <|")
+            self._cached[path] = (tokenizer, Cache(), marked)
+        self.tokenizer, self.cache, self.marked = self._cached[path]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        batch = lambda ws: [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in ws], add_special_tokens=False)]
-        known = self.cache.fill(set().union(*split), batch)
+        # small and capital ASCII letters give the same ids; only the strings of special tokens must stay as they are
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        known = self.cache.fill(set().union(*split), self._new)
         return [b"".join(map(known.__getitem__, ws)) for ws in split]
+
+    def _new(self, words: list[bytes]) -> list[bytes]:
+        texts = [w.decode() for w in words]
+        cores = [w.rstrip(SIGNS) for w in texts]
+        parts = [(1 + (len(c) < len(w))) * c.isalpha() for w, c in zip(texts, cores, strict=True)]
+        joined = [w for w, n in zip(texts, parts, strict=True) if n]
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(joined)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.marked[ids]) + 1
+        last = np.cumsum([n for n in parts if n])
+        if len(last) and len(ends) != last[-1]:
+            parts, found = [0] * len(texts), iter(())
+        else:
+            found = iter(cut(ids, ends[last - 1]) if len(last) else ())
+        rest = [w for w, n in zip(texts, parts, strict=True) if not n]
+        single = iter(self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else ())
+        return [next(found) if n else np.array(next(single).ids, "<u4").tobytes() for n in parts]

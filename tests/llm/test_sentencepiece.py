@@ -14,12 +14,15 @@ ODD = ["", " ", "  ", " a", "a ", "a  b", "Hello world", "tab\there\nline", "é
 
 
 def ids(codec, texts):
-    return [np.frombuffer(b, "<u4").tolist() for b in codec.encode(texts)]
+    found, same = codec.encode(texts)
+    assert all(same)
+    return [np.frombuffer(b, "<u4").tolist() for b in found]
 
 
 def test_parity_on_odd_texts():
     codec = S.SentencePieceCodec(PATH)
     assert ids(codec, ODD) == REF.encode(ODD)
+    assert all(codec.normalized(t) == codec.normalizer.normalize_str(t) for t in ODD if t)
     for t in ODD:
         assert codec.decode(REF.encode(t)).decode() == t.replace("▁", " ")
 
@@ -31,6 +34,16 @@ def test_parity_on_any_text(texts):
     assert ids(S.SentencePieceCodec(PATH), texts) == REF.encode(texts)
 
 
+def test_parts_that_differ_are_told_and_mended():
+    with open(PATH, "rb") as f:
+        codec = S.SentencePieceCodec.of(f.read())
+    merges = [m for m in S.build_merges(codec.model) if m != ("▁t", "he")]
+    codec.tokenizer.model = type(codec.tokenizer.model)({p: i for i, (p, _, _) in enumerate(codec.model.pieces)}, [m for m in merges if "".join(m) != "▁the"], unk_token="<unk>", fuse_unk=True, byte_fallback=True)
+    found, same = codec.encode(["in the end", "no such word"])
+    assert same == [False, True]
+    assert [np.frombuffer(b, "<u4").tolist() for b in found] == REF.encode(["in the end", "no such word"])
+
+
 def message(*fields):
     out = b""
     for number, value in fields:
