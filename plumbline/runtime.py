@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,3 +49,16 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Let go of the shuffle files of finished jobs, and delete tables of materialize that nothing reads any more.
+
+    Spark's cleaner drops shuffle files once the driver has collected the objects that stand for them, which else may
+    be long after; in an operator of many jobs that would keep every stage's files on the disks until the end.
+    """
+    for df in tables:
+        for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            drop_path(spark, f)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
