@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.runtime import materialize
+from plumbline.runtime import materialize, release
 
 #: Odd multipliers of the rolling hashes; two of them make 128 bits.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -81,108 +81,108 @@ def anchors_of(short: np.ndarray, windows: int, spread: int) -> np.ndarray:
 
 
 def runs_of(text: bytes, min_words: int, first: int):
-    """(anchor hash, first window, end of windows) of every run in a text, and the words' hashes."""
+    """The runs of a text: (anchor hash, first window, windows, class key, the hashes of all windows), or None."""
     words = text.split()
     n = len(words) - min_words + 1
     if n <= 0:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), None
+        return None
     a = mixed(word_hashes(words))
     short = mixed(window_hashes(a, first, BASES[0]))
     place = anchors_of(short, n, min_words - first + 1)
     start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-    return short[place[start]], start, np.r_[start[1:], n], a
+    size = np.diff(np.r_[start, n])
+    inner = (np.arange(n) - np.repeat(start, size)).astype(np.uint64) * np.uint64(BASES[1])
+    long = [mixed(window_hashes(a, min_words, b)) for b in BASES]
+    anchor = short[place[start]]
+    # the anchor and the windows in their order decide the key
+    keys = [mixed(np.add.reduceat(mixed(h + inner), start) + anchor) for h in long]
+    return anchor, start, size, keys, long
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
 
 
-def _anchor_rows(texts: DataFrame, min_words: int, first: int) -> DataFrame:
-    """(anchor, id, lo): a row for each run of each text."""
+RUN = "anchor long, id long, lo int, n short, k1 long, k2 int"
+
+
+def _run_rows(texts: DataFrame, min_words: int, first: int) -> DataFrame:
+    """RUN rows of all texts; the 96 bits (k1, k2) stand for the anchor and the run's windows."""
 
     def run(batches):
         for batch in batches:
             for s in range(0, batch.num_rows, 512):
                 part = batch.slice(s, 512)
-                found, ids, at = [], [], []
-                for doc, t in zip(part.column(0), part.column(1), strict=True):
-                    hashes, start, _, _ = runs_of(t.as_py(), min_words, first)
-                    found.append(hashes)
-                    at.append(start)
-                    ids.append(np.full(len(start), doc.as_py(), np.int64))
-                cols = [np.concatenate(found).view(np.int64), np.concatenate(ids), np.concatenate(at).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["anchor", "id", "lo"])
-
-    return texts.mapInArrow(run, "anchor long, id long, lo int")
-
-
-RUN = "id long, lo int, n int, k1 long, k2 long, anchor long, windows binary"
-
-
-def _run_rows(live: DataFrame, min_words: int, first: int) -> DataFrame:
-    """RUN rows for the runs of a text that are listed in its column los: the class key (k1, k2) of the whole run, and
-    its windows' hashes, 16 bytes each."""
+                found = [(doc.as_py(), runs_of(t.as_py(), min_words, first)) for doc, t in zip(part.column(0), part.column(1), strict=True)]
+                found = [(doc, r) for doc, r in found if r is not None]
+                if not found:
+                    continue
+                join = lambda f, kind: pa.array(np.concatenate([f(r) for _, r in found]).astype(kind, copy=False))
+                ids = np.repeat(np.array([doc for doc, _ in found], np.int64), [len(r[0]) for _, r in found])
+                cols = [
+                    join(lambda r: r[0].view(np.int64), np.int64),
+                    pa.array(ids),
+                    join(lambda r: r[1], np.int32),
+                    join(lambda r: r[2], np.int16),
+                    join(lambda r: r[3][0].view(np.int64), np.int64),
+                    join(lambda r: r[3][1].astype(np.uint32).view(np.int32), np.int32),
+                ]
+                yield pa.RecordBatch.from_arrays(cols, names=["anchor", "id", "lo", "n", "k1", "k2"])
+
+    return texts.mapInArrow(run, RUN)
+
+
+def _window_rows(live: DataFrame, min_words: int, first: int) -> DataFrame:
+    """(h1, h2, id, at): a row for each window of the runs of a text that begin at one of its los."""
 
     def run(batches):
         for batch in batches:
-            for s in range(0, batch.num_rows, 128):
-                part = batch.slice(s, 128)
-                out = []
-                for i in range(part.num_rows):
-                    doc, text, los = part.column(0)[i].as_py(), part.column(1)[i].as_py(), part.column(2)[i].values.to_numpy()
-                    hashes, start, end, a = runs_of(text, min_words, first)
-                    long = np.stack([mixed(window_hashes(a, min_words, b)) for b in BASES], axis=1)
-                    for k in np.flatnonzero(np.isin(start, los)):
-                        data = long[start[k] : end[k]].astype("<u8").tobytes()
-                        key = xxhash.xxh3_128_digest(hashes[k].tobytes() + data)
-                        out.append((doc, int(start[k]), int(end[k] - start[k]), *np.frombuffer(key, "<i8").tolist(), int(hashes[k].astype(np.int64)), data))
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                cols = zip(*out, strict=True) if out else [[]] * 7
-                arrays = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in RUN.split(", ")])
+            for i in range(batch.num_rows):
+                doc, text, los = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].values.to_numpy()
+                _, start, size, _, long = runs_of(text, min_words, first)
+                at = np.flatnonzero(np.repeat(np.isin(start, los), size))
+                cols = [long[0][at].view(np.int64), long[1][at].view(np.int64), np.full(len(at), doc, np.int64), at.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h1", "h2", "id", "at"])
 
-    return live.mapInArrow(run, RUN)
+    return live.select("id", "t", "los").mapInArrow(run, "h1 long, h2 long, id long, at int")
 
 
-def _windows(runs: DataFrame) -> DataFrame:
-    """(h1, h2, id, at): a row for each window of the runs."""
+def repeated_spans(docs: DataFrame, min_words: int = 20, first: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, spans): for each document the ranges [lo, hi) of words that windows cover whose words also start earlier.
 
-    def run(batches):
-        for batch in batches:
-            n = batch.column(2).to_numpy()
-            raw = b"".join(x.as_py() for x in batch.column(3))
-            both = np.frombuffer(raw, "<i8").reshape(-1, 2)
-            ids, lo = np.repeat(batch.column(0).to_numpy(), n), np.repeat(batch.column(1).to_numpy(), n)
-            inner = np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
-            cols = [both[:, 0], both[:, 1], ids, (lo + inner).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["h1", "h2", "id", "at"])
-
-    return runs.select("id", "lo", "n", "windows").mapInArrow(run, "h1 long, h2 long, id long, at int")
-
-
-def repeated_intervals(docs: DataFrame, min_words: int = 20, first: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lo, hi): half-open ranges of words that windows cover whose words also start earlier."""
+    The result is written; what was written on the way goes. Shuffle files of finished steps are released, so that
+    the disks hold one step's at a time.
+    """
+    spark = docs.sparkSession
     first = first or max(1, -(-min_words // 2))
     texts = _texts(docs, id_col, text_col)
-    rows = _anchor_rows(texts, min_words, first)
-    repeated = rows.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    live = rows.join(repeated, "anchor", "left_semi").groupBy("id").agg(F.collect_list("lo").alias("los"))
-    live = materialize(live, "anchors")
-    runs = materialize(_run_rows(texts.join(live, "id").select("id", "t", "los"), min_words, first), "runs")
-
-    classes = runs.groupBy("k1", "k2").agg(F.min(F.struct("id", "lo")).alias("one"), F.first("anchor").alias("anchor"))
-    classes = materialize(classes, "run-classes")
-    copies = runs.select("id", "lo", "n", "k1", "k2").join(classes.select("k1", "k2", "one"), ["k1", "k2"])
-    copies = copies.where("NOT (id = one.id AND lo = one.lo)").select("id", "lo", (F.col("lo") + F.col("n") - 1 + min_words).alias("hi"))
-
+    every = materialize(_run_rows(texts, min_words, first), "runs")
+    repeated = every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    runs = materialize(every.join(repeated, "anchor", "left_semi"), "repeated-runs")
+    del repeated
+    release(spark, every)
+
+    one = F.min(F.struct("id", "lo")).alias("one")
+    classes = materialize(runs.groupBy("k1", "k2").agg(one, F.first("anchor").alias("anchor")), "run-classes")
+    release(spark)
     # the earliest run of each class, where an anchor has several classes: their windows one by one
     several = classes.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    heads = classes.join(several, "anchor", "left_semi").select(F.col("one.id").alias("id"), F.col("one.lo").alias("lo"))
-    windows = _windows(runs.join(heads, ["id", "lo"], "left_semi"))
+    heads = classes.join(several, "anchor", "left_semi").groupBy(F.col("one.id").alias("id")).agg(F.collect_set("one.lo").alias("los"))
+    heads = materialize(heads, "heads")
+    windows = materialize(_window_rows(texts.join(heads, "id"), min_words, first), "windows")
+    del several
+    release(spark, heads)
+
     earliest = windows.groupBy("h1", "h2").agg(F.min(F.struct("id", "at")).alias("one"), F.count("*").alias("c")).where("c > 1")
     later = windows.join(earliest, ["h1", "h2"]).where("NOT (id = one.id AND at = one.at)")
     later = later.select("id", F.col("at").alias("lo"), (F.col("at") + min_words).alias("hi"))
-    return copies.unionByName(later)
+    copies = runs.select("id", "lo", "n", "k1", "k2").join(classes.select("k1", "k2", "one"), ["k1", "k2"])
+    copies = copies.where("NOT (id = one.id AND lo = one.lo)").select("id", "lo", (F.col("lo") + F.col("n") - 1 + min_words).alias("hi"))
+    spans = copies.unionByName(later).groupBy("id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    spans = materialize(spans, "spans")
+    del earliest, later, copies
+    release(spark, runs, classes, windows)
+    return spans
 
 
 OUT = "id long, n_words long, n_removed long, kept_sha256 string, kept binary"
@@ -219,8 +219,8 @@ def remove_repeats(
     """One row per document: (id, n_words, n_removed, kept_sha256, kept), kept being the words that stay, or null.
 
     A word goes if a window of min_words consecutive words covers it whose words also start earlier: in a document of
-    smaller id, or in the same one further to the front. Windows are judged on the texts as they came. Windows and runs
-    are known by 128-bit hashes. A word is what lies between ASCII white space, unchanged.
+    smaller id, or in the same one further to the front. Windows are judged on the texts as they came. Windows
+    are known by 128 bits of hashes, runs by 96. A word is what lies between ASCII white space, unchanged.
 
     Nulls: a null text has no words; rows with a null id take no part in comparisons and keep all their words. Rows
     that repeat an id are taken for the same document, whose windows start at the same places: they don't remove each
@@ -228,6 +228,5 @@ def remove_repeats(
     held whole by a task. Other columns are not read.
     """
     texts = _texts(docs, id_col, text_col)
-    spans = repeated_intervals(docs.where(F.col(id_col).isNotNull()), min_words, first, id_col, text_col)
-    spans = spans.groupBy("id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    return _kept(texts.join(materialize(spans, "spans"), "id", "left"), with_text).withColumnRenamed("id", id_col)
+    spans = repeated_spans(docs.where(F.col(id_col).isNotNull()), min_words, first, id_col, text_col)
+    return _kept(texts.join(spans, "id", "left"), with_text).withColumnRenamed("id", id_col)
