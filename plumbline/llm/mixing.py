@@ -100,14 +100,20 @@ def mix(
 def repeat_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents of docs as often as mixed, a result of mix, says: whole repetitions, then the first words of one.
 
-    A document that takes nothing goes. Needs ids without repeats or nulls in docs.
+    A document that takes nothing goes. Rows of docs and of mixed meet by id, null or not, and size; rows that repeat
+    both meet one by one. The column n_chars, where docs has it, follows a cut text.
     """
-    m = mixed.select(F.col(id_col).alias("_id"), "size", "taken")
-    whole = F.floor(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
-    part = (F.col("taken") - whole * F.col("size")).cast("int")
+    same = Window.partitionBy("_id", "_size").orderBy(F.lit(0))
+    m = mixed.select(F.col(id_col).alias("_id"), F.col("size").alias("_size"), "taken").withColumn("_n", F.row_number().over(same))
+    m = m.where("taken > 0").select(F.col("_id").alias("m_id"), F.col("_size").alias("m_size"), F.col("_n").alias("m_n"), F.col("taken").alias("_taken"))
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.withColumns({"_id": F.col(id_col), "_size": size}).withColumn("_n", F.row_number().over(same))
+    out = rows.join(m, F.col("_id").eqNullSafe(F.col("m_id")) & (F.col("_size") == F.col("m_size")) & (F.col("_n") == F.col("m_n")))
+    whole = F.floor(F.col("_taken") / F.greatest("_size", F.lit(1))).cast("int")
+    part = (F.col("_taken") - whole * F.col("_size")).cast("int")
     cuts = F.concat(F.array_repeat(F.lit(-1), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
     first_words = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), 1, F.greatest("_cut", F.lit(0))), " ")
-    out = docs.join(m, F.col(id_col) == F.col("_id")).withColumn("_cut", F.explode(cuts))
+    out = out.withColumn("_cut", F.explode(cuts))
     out = out.withColumn(text_col, F.when(F.col("_cut") < 0, F.col(text_col)).otherwise(first_words))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

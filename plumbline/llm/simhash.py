@@ -193,3 +193,10 @@ def simhash_components(
     return fp.join(of_class, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose id is the smallest of its component, with the others gone; rows with a null id stay."""
+    found = simhash_components(docs, id_col, text_col)
+    gone = materialize(found.where(F.col(id_col) > F.col("component_id")).select(id_col).distinct(), "copies")
+    return docs.join(gone, id_col, "left_anti").select(docs.columns)

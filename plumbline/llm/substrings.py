@@ -188,6 +188,14 @@ def repeated_spans(docs: DataFrame, min_words: int = 20, first: int | None = Non
 OUT = "id long, n_words long, n_removed long, kept_sha256 string, kept binary"
 
 
+def outside(words: list[bytes], spans) -> list[bytes]:
+    """The words that lie in none of the spans."""
+    edge = np.zeros(len(words) + 1, np.int64)
+    np.add.at(edge, [x["lo"] for x in spans], 1)
+    np.add.at(edge, [x["hi"] for x in spans], -1)
+    return [words[k] for k in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
+
+
 def _kept(rows: DataFrame, with_text: bool) -> DataFrame:
     """OUT rows from (id, t, spans): the words outside of the spans."""
 
@@ -198,13 +206,8 @@ def _kept(rows: DataFrame, with_text: bool) -> DataFrame:
                 out = []
                 for i in range(part.num_rows):
                     words = part.column(1)[i].as_py().split()
-                    spans = part.column(2)[i].as_py() or ()
-                    n = len(words)
-                    if spans:
-                        edge = np.zeros(n + 1, np.int64)
-                        np.add.at(edge, [x["lo"] for x in spans], 1)
-                        np.add.at(edge, [x["hi"] for x in spans], -1)
-                        words = [words[k] for k in np.flatnonzero(np.cumsum(edge[:n]) == 0)]
+                    spans, n = part.column(2)[i].as_py(), len(words)
+                    words = outside(words, spans) if spans else words
                     kept = b" ".join(words)
                     out.append((part.column(0)[i].as_py(), n, n - len(words), hashlib.sha256(kept).hexdigest(), kept if with_text else None))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
@@ -230,3 +233,30 @@ def remove_repeats(
     texts = _texts(docs, id_col, text_col)
     spans = repeated_spans(docs.where(F.col(id_col).isNotNull()), min_words, first, id_col, text_col)
     return _kept(texts.join(spans, "id", "left"), with_text).withColumnRenamed("id", id_col)
+
+
+def strip_repeats(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """The rows of docs without their repeated words, as remove_repeats finds them, in the columns of docs.
+
+    A text that loses words becomes its kept words, joined by spaces; one that loses none stays as it is, null too. The
+    column chars_col, where docs has it, follows. A text that loses all words is empty and its row stays.
+    """
+    spans = repeated_spans(docs.where(F.col(id_col).isNotNull()), min_words, None, id_col, text_col)
+    joined = docs.join(spans.select(F.col("id").alias("_id"), F.col("spans").alias("_spans")), F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
+    names = docs.columns
+
+    def run(batches):
+        for batch in batches:
+            for s in range(0, batch.num_rows, 256):
+                part = batch.slice(s, 256)
+                spans = part.column(len(names)).to_pylist()
+                cols = dict(zip(names, part.columns, strict=False))
+                texts = cols[text_col].to_pylist()
+                texts = [b" ".join(outside(t.encode().split(), x)).decode() if x else t for t, x in zip(texts, spans, strict=True)]
+                cols[text_col] = pa.array(texts, cols[text_col].type)
+                if chars_col in cols:
+                    chars = [len(t) if x else c for t, x, c in zip(texts, spans, cols[chars_col].to_pylist(), strict=True)]
+                    cols[chars_col] = pa.array(chars, cols[chars_col].type)
+                yield pa.RecordBatch.from_arrays(list(cols.values()), names=names)
+
+    return joined.mapInArrow(run, docs.schema)

@@ -335,3 +335,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     return rows.mapInArrow(run, f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)
+
+
+def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose whole text scores under 0.5, as they are; null and empty texts stay."""
+
+    def run(batches):
+        scorer = model.scorer()
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            for s in range(0, batch.num_rows, 256):
+                part = batch.slice(s, 256)
+                p = scorer.scores([t or "" for t in part.column(at).to_pylist()])
+                yield part.filter(pa.array(p < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
