@@ -12,6 +12,7 @@ in, so that the border leaves room for gaps. A document is as toxic as its worst
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -193,15 +194,11 @@ def choose_landmarks(docs: list[set[str]], labels: np.ndarray, most: int = LANDM
     """Beginnings of words, or whole ones, that toxic documents have and others hardly: the most worth first, where a
     clean document counts as much as several toxic ones, the longest of equal worth, and one of each family of
     beginnings."""
-    found: list[dict[str, list[int]]] = [{}, {}]
-    for i, words in enumerate(docs):
-        own = {w[:k] for w in words for k in range(ORDER, min(len(w), LONGEST) + 1)}
-        side = found[int(labels[i])]
-        for s in own:
-            side.setdefault(s, []).append(i)
-    clean, toxic = found
+    clean, toxic = Counter(), Counter()
+    for words, y in zip(docs, labels, strict=True):
+        (toxic if y else clean).update({w[:k] for w in words for k in range(ORDER, min(len(w), LONGEST) + 1)})
     ratio = max(1.0, (labels == 1).sum() / max(1, (labels == 0).sum()))
-    worth = {s: len(ids) - 5 * ratio * len(clean.get(s, ())) for s, ids in toxic.items()}
+    worth = {s: n - 5 * ratio * clean[s] for s, n in toxic.items()}
     least = max(3.0, 0.02 * (labels == 1).sum())
     chosen: list[str] = []
     for s in sorted(worth, key=lambda s: (-worth[s], -len(s), s)):
@@ -268,7 +265,9 @@ def train(texts: list[str], labels: list[int], rounds: int = 4) -> Model:
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
     scorer = Scorer(Model(marks, np.zeros(len(marks)), 0.0, 1.0, 0.0))
-    doc, kernels = scorer.sentence_kernels(texts)
+    steps = range(0, len(texts), 256)
+    found = [scorer.sentence_kernels(texts[k : k + 256]) for k in steps]
+    doc, kernels = np.concatenate([d + k for k, (d, _) in zip(steps, found, strict=True)]), np.concatenate([x for _, x in found])
     x = kernels @ root
     scale, margin = max(1.0, float(np.abs(x).max())), kernels.max(axis=1)
     x, gaps = x / scale, kernel.of(gapped(words, y, marks)) @ root / scale
@@ -287,7 +286,9 @@ def train(texts: list[str], labels: list[int], rounds: int = 4) -> Model:
         w, b = squared_hinge(every, side, np.r_[weight, 1000.0, np.full(len(gaps), GAPPED / max(len(gaps), 1))])
         margin = x @ w + b
     model = Model(marks, root @ w / scale, b, 1.0, 0.0)
-    model.slope, model.offset = calibrated(model.scorer().margins(texts), y)
+    scorer.model = model
+    margins = np.concatenate([scorer.margins(texts[k : k + 256]) for k in steps])
+    model.slope, model.offset = calibrated(margins, y)
     return model
 
 
