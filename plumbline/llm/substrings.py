@@ -157,31 +157,31 @@ def repeated_spans(docs: DataFrame, min_words: int = 20, first: int | None = Non
     first = first or max(1, -(-min_words // 2))
     texts = _texts(docs, id_col, text_col)
     every = materialize(_run_rows(texts, min_words, first), "runs")
-    repeated = every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    # counts are written before they are joined: then both sides of a join are plain shuffles, whose hot keys can be split
+    repeated = materialize(every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "anchors")
     runs = materialize(every.join(repeated, "anchor", "left_semi"), "repeated-runs")
-    del repeated
-    release(spark, every)
+    release(spark, every, repeated)
 
     one = F.min(F.struct("id", "lo")).alias("one")
     classes = materialize(runs.groupBy("k1", "k2").agg(one, F.first("anchor").alias("anchor")), "run-classes")
     release(spark)
     # the earliest run of each class, where an anchor has several classes: their windows one by one
-    several = classes.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    several = materialize(classes.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "several")
     heads = classes.join(several, "anchor", "left_semi").groupBy(F.col("one.id").alias("id")).agg(F.collect_set("one.lo").alias("los"))
     heads = materialize(heads, "heads")
     windows = materialize(_window_rows(texts.join(heads, "id"), min_words, first), "windows")
-    del several
-    release(spark, heads)
+    release(spark, heads, several)
 
     earliest = windows.groupBy("h1", "h2").agg(F.min(F.struct("id", "at")).alias("one"), F.count("*").alias("c")).where("c > 1")
+    earliest = materialize(earliest.select("h1", "h2", "one"), "earliest")
     later = windows.join(earliest, ["h1", "h2"]).where("NOT (id = one.id AND at = one.at)")
     later = later.select("id", F.col("at").alias("lo"), (F.col("at") + min_words).alias("hi"))
     copies = runs.select("id", "lo", "n", "k1", "k2").join(classes.select("k1", "k2", "one"), ["k1", "k2"])
     copies = copies.where("NOT (id = one.id AND lo = one.lo)").select("id", "lo", (F.col("lo") + F.col("n") - 1 + min_words).alias("hi"))
     spans = copies.unionByName(later).groupBy("id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     spans = materialize(spans, "spans")
-    del earliest, later, copies
-    release(spark, runs, classes, windows)
+    del later, copies
+    release(spark, runs, classes, windows, earliest)
     return spans
 
 
