@@ -33,7 +33,12 @@ BITS = np.array([b for _, b in SELECTORS])
 ESCAPE = 60
 
 
+SMALL = np.array([n.bit_length() for n in range(1 << 16)], np.uint8)
+
+
 def _bit_lengths(v: np.ndarray) -> np.ndarray:
+    if v.max(initial=0) < len(SMALL):
+        return SMALL[v]
     out = np.zeros(len(v), np.uint8)
     for b in (32, 16, 8, 4, 2, 1):
         high = (v >> np.uint64(b)) > 0
@@ -182,8 +187,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str
     def run(batches):
         encoder, writer, path, ids = WordEncoder(tokenizer), None, None, []
         for batch in batches:
-            for s in range(0, batch.num_rows, 256):
-                part = batch.slice(s, 256)
+            for s in range(0, batch.num_rows, 1024):
+                part = batch.slice(s, 1024)
                 if writer is None:
                     path = f"{folder}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.tok"
                     writer = TokenFileWriter(open_output(path))
@@ -221,5 +226,6 @@ def token_index(manifest: DataFrame) -> DataFrame:
                 cols = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
                 yield pa.RecordBatch.from_arrays([ids, *cols], names=["id", "start", "n_tokens", "ids_crc32"])
 
-    spread = files.select("ids", "path", "before").repartition(F.col("path"))
+    # a number of its own, since the small manifest would else be read by one task
+    spread = files.select("ids", "path", "before").repartition(max(1, manifest.count()), "path")
     return spread.mapInArrow(run, f"id {kind}, start long, n_tokens long, ids_crc32 long")

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 
 import numpy as np
 
 #: Threads of the library in one Python worker; it reads the setting once, at its first batch.
 THREADS = "2"
 #: Words that the cache keeps in each of its two generations, and the longest word that it keeps.
-KEEP, LONGEST = 300_000, 64
+KEEP, LONGEST = 500_000, 64
 #: Characters that are neither letters nor digits nor white space.
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -36,13 +37,10 @@ class Cache:
         if len(self.young) > self.keep:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
-        new = []
-        for w in words.difference(young):
-            data = old.get(w)
-            if data is None:
-                new.append(w)
-            else:
-                young[w] = data
+        new = words.difference(young)
+        again = new.intersection(old)
+        young.update(zip(again, map(old.__getitem__, again), strict=True))
+        new = list(new.difference(again))
         self.long = [w for w in new if len(w) > LONGEST]
         young.update(zip(new, encode(new), strict=True) if new else ())
         return young
@@ -57,11 +55,11 @@ def cut(data: np.ndarray, ends: np.ndarray) -> list[bytes]:
 class WordEncoder:
     """Texts to ids as little-endian u32 bytes, by encode(), without special tokens being added.
 
-    For byte-pair tokenizers whose last token of a word is marked and which part words at white space and between
-    letters and other characters. ASCII white space is a boundary that no token, normalisation or match crosses in
-    them: each distinct word is encoded by the library once and looked up later. New words of letters, with signs
-    behind or not, go to the library in one text; the marked tokens show where each ends, and words
-    are taken one by one if their number isn't what it must be at least.
+    For byte-pair tokenizers of lower-case words whose last token is marked, and which part words at white space and
+    between letters and other characters. ASCII white space is a boundary that no token, normalisation or match
+    crosses in them: each distinct word is encoded by the library once and looked up later. New words of small letters,
+    with signs behind or not, go to the library in one text, parted already and without the normaliser, which leaves
+    them as they are; the marked tokens show where each ends. Other words go one by one.
     """
 
     _cached: dict = {}
@@ -75,8 +73,11 @@ class WordEncoder:
             same = [tokenizer.encode(w, add_special_tokens=False).ids for w in ("AZ", "az")]
             if same[0] != same[1] or not all("<|" in t.content for t in tokenizer.get_added_tokens_decoder().values()):
                 raise ValueError("a tokenizer of lower-case words is needed, with special tokens that hold <|")
-            self._cached[path] = (tokenizer, Cache(), marked)
-        self.tokenizer, self.cache, self.marked = self._cached[path]
+            parted = library().Tokenizer.from_file(path)
+            t = library().pre_tokenizers
+            parted.normalizer, parted.pre_tokenizer = None, t.Sequence([t.WhitespaceSplit(), t.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self._cached[path] = (tokenizer, parted, Cache(), marked)
+        self.tokenizer, self.parted, self.cache, self.marked = self._cached[path]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         # small and capital ASCII letters give the same ids; only the strings of special tokens must stay as they are
@@ -85,17 +86,26 @@ class WordEncoder:
         return [b"".join(map(known.__getitem__, ws)) for ws in split]
 
     def _new(self, words: list[bytes]) -> list[bytes]:
-        texts = [w.decode() for w in words]
+        found: dict[bytes, bytes] = {}
+        plain = [w for w in words if w.isalpha()]  # ASCII letters, which encode() has made small
+        self._parted(plain, plain, [1] * len(plain), found)
+        rest = [w for w in words if w not in found]
+        texts = [w.decode() for w in rest]
         cores = [w.rstrip(SIGNS) for w in texts]
-        parts = [(1 + (len(c) < len(w))) * c.isalpha() for w, c in zip(texts, cores, strict=True)]
-        joined = [w for w, n in zip(texts, parts, strict=True) if n]
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(joined)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(self.marked[ids]) + 1
-        last = np.cumsum([n for n in parts if n])
-        if len(last) and len(ends) != last[-1]:
-            parts, found = [0] * len(texts), iter(())
-        else:
-            found = iter(cut(ids, ends[last - 1]) if len(last) else ())
-        rest = [w for w, n in zip(texts, parts, strict=True) if not n]
-        single = iter(self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else ())
-        return [next(found) if n else np.array(next(single).ids, "<u4").tobytes() for n in parts]
+        parts = [(1 + (len(c) < len(w))) * (c.isalpha() and c.lower() == c) for w, c in zip(texts, cores, strict=True)]
+        apart = [(c if n == 1 else f"{c} {w[len(c) :]}").encode() for w, c, n in zip(texts, cores, parts, strict=True) if n]
+        self._parted([w for w, n in zip(rest, parts, strict=True) if n], apart, [n for n in parts if n], found)
+        rest = [w for w in rest if w not in found]
+        if rest:
+            single = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
+            found.update(zip(rest, (np.array(e.ids, "<u4").tobytes() for e in single), strict=True))
+        return list(map(found.__getitem__, words))
+
+    def _parted(self, words: list[bytes], apart: list[bytes], parts: list[int], found: dict) -> None:
+        """Encode words in one text, each as many marked tokens as parts says; none if a normaliser could change them."""
+        joined = b" ".join(apart).decode()
+        if words and unicodedata.is_normalized("NFC", joined):
+            ids = np.array(self.parted.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            ends, last = np.flatnonzero(self.marked[ids]) + 1, np.cumsum(parts)
+            if len(ends) == last[-1]:
+                found.update(zip(words, cut(ids, ends[last - 1]), strict=True))
