@@ -179,6 +179,11 @@ def write_archives(records: DataFrame, level: int = 1) -> DataFrame:
     return materialize(records.mapInArrow(run, MANIFEST), "warc-whole")
 
 
+def _spread(manifest: DataFrame) -> DataFrame:
+    """The paths, over as many tasks as there are files: without a number, so small a table would go to one task."""
+    return manifest.select("path").repartition(max(1, manifest.count()), "path")
+
+
 def normalise_archives(manifest: DataFrame, level: int = 4) -> DataFrame:
     """Normalise every archive of a manifest, one to a task; the new manifest, written too. The whole streams go."""
 
@@ -195,7 +200,7 @@ def normalise_archives(manifest: DataFrame, level: int = 4) -> DataFrame:
                 delete(source)
             yield batch
 
-    out = materialize(manifest.select("path").repartition(F.col("path")).mapInArrow(run, MANIFEST), "warc-records")
+    out = materialize(_spread(manifest).mapInArrow(run, MANIFEST), "warc-records")
     manifest.select("path").mapInArrow(remove, "path string").write.format("noop").mode("overwrite").save()
     return out
 
@@ -232,7 +237,7 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
         arrays = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
         return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in READ.split(", ")])
 
-    return manifest.select("path").repartition(F.col("path")).mapInArrow(run, READ)
+    return _spread(manifest).mapInArrow(run, READ)
 
 
 def archive_pages(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
