@@ -142,7 +142,7 @@ class SentencePieceCodec:
         self.model = parse_model(data)
         self.normalizer, self.tokenizer = build_normalizer(self.model), build_tokenizer(self.model)
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.cache = Cache()
+        self.cache = Cache(150_000)
         self.differ: set[str] = set()
         self.opens = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
         self.marked = np.array([p.endswith(MARK) for p, _, _ in self.model.pieces])

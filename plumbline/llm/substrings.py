@@ -26,7 +26,7 @@ from plumbline.runtime import materialize, release
 #: Odd multipliers of the rolling hashes; two of them make 128 bits.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Hash values of words that a worker keeps.
-KEEP = 200_000
+KEEP = 100_000
 _WORDS: dict[bytes, int] = {}
 
 

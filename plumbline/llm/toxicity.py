@@ -27,7 +27,7 @@ LANDMARKS, LONGEST, WINDOW = 32, 12, 32
 DOCS, SENTENCES = 3000, 200
 #: Weight of the words with a sign put in, where toxic and clean sentences weigh 2000 each.
 GAPPED = 100.0
-KEEP = 300_000
+KEEP = 200_000
 #: Letters one by one, with at most one sign or space between: they are read as a word as well.
 SPACED = re.compile(r"(?<![^\W\d_])[^\W\d_](?:[ .*_\-][^\W\d_]){3,}(?![^\W\d_])")
 #: A word of letters with a few signs within, which is read without them as well.
