@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plumbline.plans import census
+from plumbline.plans import census, relational
 
-MODULES = (census,)
+MODULES = (census, relational)
 
 
 def queries() -> dict:
