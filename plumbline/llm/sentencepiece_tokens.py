@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.word_encoder import Cache, cut, library
+from plumbline.llm.word_encoder import TOGETHER, Cache, cut, library
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -181,12 +181,8 @@ class SentencePieceCodec:
         and all if the texts' ids differ, are taken one by one."""
         plain = [p for p in parts if p[0] == MARK and p[-1] != MARK and JOINT not in p] if self.part else []
         found = {}
-        if plain:
-            ids = np.array(self.tokenizer.encode_batch_fast([JOINT.join(plain)], add_special_tokens=False)[0].ids, "<u4")
-            if ids.tobytes() == self._reference("".join(plain)):
-                begins = np.flatnonzero(self.opens[ids[1:]] & ~self.marked[ids[:-1]]) + 1
-                if len(begins) + 1 == len(plain):
-                    found = dict(zip(plain, cut(ids, np.append(begins, len(ids))), strict=True))
+        for k in range(0, len(plain), TOGETHER):
+            self._joined(plain[k : k + TOGETHER], found)
         for p in parts if len(found) < len(parts) else ():
             if p not in found:
                 found[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
@@ -196,6 +192,14 @@ class SentencePieceCodec:
                     self.differ.add(p)
         return [found[p] for p in parts]
 
+    def _joined(self, plain: list[str], found: dict[str, bytes]) -> None:
+        if plain:
+            ids = np.array(self.tokenizer.encode_batch_fast([JOINT.join(plain)], add_special_tokens=False)[0].ids, "<u4")
+            if ids.tobytes() == self._reference("".join(plain)):
+                begins = np.flatnonzero(self.opens[ids[1:]] & ~self.marked[ids[:-1]]) + 1
+                if len(begins) + 1 == len(plain):
+                    found.update(zip(plain, cut(ids, np.append(begins, len(ids))), strict=True))
+
     def _reference(self, normalized: str) -> bytes:
         """sentencepiece's ids of what is normalised already. Marks alone stand behind a letter, since a text without
         characters gets no prefix."""

@@ -10,7 +10,9 @@ import numpy as np
 #: Threads of the library in one Python worker; it reads the setting once, at its first batch.
 THREADS = "2"
 #: Words that the cache keeps in each of its two generations, and the longest word that it keeps.
-KEEP, LONGEST = 500_000, 64
+KEEP, LONGEST = 250_000, 64
+#: Words that go to the library in one text: what it returns takes many times their bytes.
+TOGETHER = 20_000
 #: Characters that are neither letters nor digits nor white space.
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -88,13 +90,17 @@ class WordEncoder:
     def _new(self, words: list[bytes]) -> list[bytes]:
         found: dict[bytes, bytes] = {}
         plain = [w for w in words if w.isalpha()]  # ASCII letters, which encode() has made small
-        self._parted(plain, plain, [1] * len(plain), found)
+        for k in range(0, len(plain), TOGETHER):
+            part = plain[k : k + TOGETHER]
+            self._parted(part, part, [1] * len(part), found)
         rest = [w for w in words if w not in found]
         texts = [w.decode() for w in rest]
         cores = [w.rstrip(SIGNS) for w in texts]
         parts = [(1 + (len(c) < len(w))) * (c.isalpha() and c.lower() == c) for w, c in zip(texts, cores, strict=True)]
         apart = [(c if n == 1 else f"{c} {w[len(c) :]}").encode() for w, c, n in zip(texts, cores, parts, strict=True) if n]
-        self._parted([w for w, n in zip(rest, parts, strict=True) if n], apart, [n for n in parts if n], found)
+        whole, parts = [w for w, n in zip(rest, parts, strict=True) if n], [n for n in parts if n]
+        for k in range(0, len(whole), TOGETHER):
+            self._parted(whole[k : k + TOGETHER], apart[k : k + TOGETHER], parts[k : k + TOGETHER], found)
         rest = [w for w in rest if w not in found]
         if rest:
             single = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
