@@ -12,9 +12,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """Every node of the edges with the smallest node of its component: (node, component).
 
     Each round hooks every node on its smallest neighbour, jumps pointers once or more until the trees are flat, and
-    contracts the edges to the roots. A component loses at least half of its nodes in a round, so the rounds grow with
-    the logarithm of the largest component. Nothing but counts reaches the driver, and each round is written to the
-    shared folder.
+    contracts the edges to the roots. Every node with a smaller neighbour goes in a round, so that a chain or a star is
+    done in few rounds. Nothing but whether rows are left reaches the driver, and each round is written to the shared
+    folder.
 
     Nulls: an edge with a null end is ignored. Self loops give a node that is its own component. Repeated and reversed
     edges count once. An empty table gives no rows.

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plumbline.plans import census, relational
+from plumbline.plans import census, custom, relational
 
-MODULES = (census, relational)
+MODULES = (census, relational, custom)
 
 
 def queries() -> dict:
