@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.functions.exact import fisher_p
+from plumbline.functions.identity import canonical, stable_id
 from plumbline.functions.shapes import scan_cells
+from plumbline.functions.structured import scan_structured
 from plumbline.operators.components import connected_components
 from plumbline.operators.lineage import trace_cases
 from plumbline.operators.matching import greedy_match, match_cascade
 from plumbline.operators.ranges import run_length_ranges
+from plumbline.operators.reconcile import reconcile
+from plumbline.operators.resampling import cluster_bootstrap
 from plumbline.runtime import table
 
 
@@ -73,3 +78,38 @@ SELECT o.user_id AS case, opened_id, opened_at, CAST(count(e.event_id) FILTER (W
        closed_at, closed_at < opened_at + INTERVAL 30 DAYS AS censored
 FROM o JOIN e ON o.user_id = e.user_id AND o.nth = e.nth GROUP BY ALL""",
 }
+
+
+def sta08_cluster_bootstrap(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    return cluster_bootstrap(rows, "source", "toxic", 500)
+
+
+def sta03_fisher_by_language(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    n = lambda q, t: F.count_if((F.col("quality") == q) & (F.col("toxic") == t))
+    counts = rows.groupBy("lang").agg(n(1, 1).alias("a"), n(1, 0).alias("b"), n(0, 1).alias("c"), n(0, 0).alias("d"))
+    return counts.withColumn("p", fisher_p(*map(F.col, "abcd")))
+
+
+def txt12_structured_scan(spark, sf_dir):
+    cells = table(spark, sf_dir, "events").select("event_id", "props")
+    return scan_structured(cells, "event_id", "props").select("id", "status", F.size("fields").cast("long").alias("n_fields"))
+
+
+def txt11_reconcile(spark, sf_dir):
+    found = scan_cells(table(spark, sf_dir, "documents"), "doc_id", "text").select("id", F.explode("matches").alias("m")).select("id", "m.*")
+    again = found.where("id % 3 = 0")
+    done = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.lit(True).alias("complete"))
+    out = reconcile(found, again, done, ["id"], ["start", "end", "category", "subtype"], ["rule"])
+    return out.withColumn("variants", F.array_join("variants", ";"))
+
+
+def fun01_canonical_props(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    return rows.select("event_id", canonical(F.col("props")).alias("canonical"), stable_id(F.col("event_id"), F.col("event_type")).alias("stable_id"))
+
+
+QUERIES |= {f.__name__: f for f in (sta08_cluster_bootstrap, sta03_fisher_by_language, txt12_structured_scan, txt11_reconcile, fun01_canonical_props)}
+ORACLES["fun01_canonical_props"] = """
+SELECT event_id, replace(replace(props, ' ', ''), chr(10), '') AS canonical, substring(sha256('["2.0",' || event_id || ',"' || event_type || '"]'), 1, 24) AS stable_id FROM events"""
