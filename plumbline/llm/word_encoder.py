@@ -10,9 +10,9 @@ import numpy as np
 #: Threads of the library in one Python worker; it reads the setting once, at its first batch.
 THREADS = "2"
 #: Words that the cache keeps in each of its two generations, and the longest word that it keeps.
-KEEP, LONGEST = 300_000, 64
+KEEP, LONGEST = 500_000, 64
 #: Words that go to the library in one text: what it returns takes many times their bytes.
-TOGETHER = 20_000
+TOGETHER = 5_000
 #: Characters that are neither letters nor digits nor white space.
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
