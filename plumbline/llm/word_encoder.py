@@ -89,7 +89,7 @@ class WordEncoder:
 
     def _new(self, words: list[bytes]) -> list[bytes]:
         found: dict[bytes, bytes] = {}
-        plain = [w for w in words if w.isalpha()]  # ASCII letters, which encode() has made small
+        plain = [w for w in words if w.isalpha() and w.islower()]  # ASCII letters; texts with <| may hold capital ones
         for k in range(0, len(plain), TOGETHER):
             part = plain[k : k + TOGETHER]
             self._parted(part, part, [1] * len(part), found)

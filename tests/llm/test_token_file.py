@@ -62,6 +62,13 @@ def test_words_encode_as_whole_texts(texts):
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_capitals_beside_special_tokens():
+    t = Tokenizer.from_file(PATH)
+    texts = ["Hello World <|x|> The USA", "Hello, USA! <|endoftext|> The<|endoftext|>End", "hello The USA"]
+    got = WordEncoder(PATH).encode([x.encode() for x in texts])
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_query_against_plain_encoding(spark, tmp_path):
     t = Tokenizer.from_file(PATH)
     texts = [None, "", "Hello world", "x" * 5000, "ab cd " * 60_000, "same", "same", "  \n "]
