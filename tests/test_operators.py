@@ -81,6 +81,21 @@ def test_shapes_and_their_spans(spark):
     assert {r.id: r.status for r in scan_cells(df, "id", "t").collect()} == {1: "null", 2: "empty", 3: "matched", 4: "no_candidate"}
 
 
+def test_credential_prefixes_and_key_envelopes(spark):
+    long = "a1B2" * 6
+    tokens = {f"{p}{long}": "access_token" for p in ("gho_", "ghp_", "ghs_", "ghu_", "github_pat_", "glpat-")} | {f"sk-{long}": "api_key"}
+    kinds = ("PRIVATE KEY", "RSA PRIVATE KEY", "EC PRIVATE KEY", "DSA PRIVATE KEY", "ENCRYPTED PRIVATE KEY", "OPENSSH PRIVATE KEY")
+    keys = {f"-----BEGIN {k}-----\nabc\n-----END {k}-----": "private_key" for k in kinds}
+    want = tokens | keys
+    text = " é ".join(want)
+    found, cut = literal_candidates(text)
+    assert not cut and {text[m["start"] : m["end"]]: m["subtype"] for m in found} == want
+    holds = [*want, "ghp_short", "-----BEGIN RSA PRIVATE KEY----- open", "-----BEGIN PRIVATE KEY-----x-----END EC PRIVATE KEY-----", f"xghp_{long}"]
+    df = spark.createDataFrame(list(enumerate(holds)), "id long, t string")
+    got = {r.id: r.status for r in scan_cells(df, "id", "t").collect()}
+    assert got == {i: "matched" if i < len(want) else "no_candidate" for i in range(len(holds))}
+
+
 def test_scan_goes_on_where_it_ended(spark, tmp_path):
     src, out, mark = (str(tmp_path / x) for x in ("src", "out", "mark"))
     spark.range(5).selectExpr("id", "concat('a', id, '@mail.org') AS t").coalesce(1).write.parquet(src)
