@@ -13,15 +13,16 @@ OWN_DIR = "file:///tmp/checkpoints/plumbline"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    It is spark.checkpoint.dir of the session. Where that is unset, as in tests, a local folder is set.
+    It is spark.checkpoint.dir of the session, or else the context's checkpoint folder. Where neither is set, as in
+    tests, a local folder is set; on a cluster, whose machines don't share one, that is an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    own = f"{OWN_DIR}/{spark.sparkContext.applicationId}"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(own)
-    return own
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(f"{OWN_DIR}/{spark.sparkContext.applicationId}")
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
@@ -47,6 +48,14 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free_name(columns: list[str], wanted: str) -> str:
+    """wanted, with as many underscores behind it as make it none of the columns, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -54,11 +63,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def release(spark: SparkSession, *tables: DataFrame) -> None:
     """Let go of the shuffle files of finished jobs, and delete tables of materialize that nothing reads any more.
 
-    Spark's cleaner drops shuffle files once the driver has collected the objects that stand for them, which else may
+    Only folders that materialize made are deleted; any other table that is given stays as it is. Spark's cleaner drops shuffle files once the driver has collected the objects that stand for them, which else may
     be long after; in an operator of many jobs that would keep every stage's files on the disks until the end.
     """
+    own = f"{shared_dir(spark).split(':', 1)[-1].lstrip('/')}/plumbline/"
     for df in tables:
         for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            drop_path(spark, f)
+            if own in f:
+                drop_path(spark, f)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
