@@ -1,14 +1,12 @@
 """Exact removal of repeated passages, by level-wise doubling of window lengths.
 
-Windows of the first length are counted; only where one is repeated is the text looked at again, at twice the length,
-and so on up to the length asked for. A passage repeated at the last length holds repeated windows of every shorter
-length, so that no level loses one.
-
-At the first level not every window needs counting. Each window of the last length names one first-level window in
-it, the one with the smallest hash: its anchor. Equal windows name equal anchors at the same offset, so a repeated
-window has a repeated anchor, and only anchors, about two in each first-level length, are counted. The windows that
-share an anchor follow one another; such a run is a row, and equal runs, as copies have, fall into one class before
-their windows are compared one by one.
+A window is min_words consecutive words. At each level a shorter length stands for the windows: each window names one
+stretch of that length within it, the one with the smallest hash, its anchor. Equal windows name equal anchors at the
+same offset, so that a repeated window has a repeated anchor, and only anchors are counted. The windows that share an
+anchor follow one another; such a run is a row. Equal runs, as copies have, fall into one class, of which the earliest
+run stays; the windows of the others start earlier and are decided. Where one anchor has several classes, their
+earliest runs are candidates still: their windows alone are looked at again at twice the length, until none is left or
+the length is that of a window, whose anchor is the window itself.
 """
 
 from __future__ import annotations
@@ -23,7 +21,7 @@ from pyspark.sql import functions as F
 
 from plumbline.runtime import materialize, release
 
-#: Odd multipliers of the rolling hashes; two of them make 128 bits.
+#: Odd multipliers of the rolling hashes, one for each half of a key.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Hash values of words that a worker keeps.
 KEEP = 100_000
@@ -80,112 +78,129 @@ def anchors_of(short: np.ndarray, windows: int, spread: int) -> np.ndarray:
     return place[:windows]
 
 
-def runs_of(text: bytes, min_words: int, first: int):
-    """The runs of a text: (anchor hash, first window, windows, class key, the hashes of all windows), or None."""
+def runs_of(text: bytes, min_words: int, length: int, live: list | None = None):
+    """The runs of a text: (anchor hash, first window, windows, two halves of the class key) arrays, or None.
+
+    live holds the (first window, windows) that are to be looked at; without it all are.
+    """
     words = text.split()
     n = len(words) - min_words + 1
     if n <= 0:
         return None
     a = mixed(word_hashes(words))
-    short = mixed(window_hashes(a, first, BASES[0]))
-    place = anchors_of(short, n, min_words - first + 1)
-    start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-    size = np.diff(np.r_[start, n])
-    inner = (np.arange(n) - np.repeat(start, size)).astype(np.uint64) * np.uint64(BASES[1])
-    long = [mixed(window_hashes(a, min_words, b)) for b in BASES]
-    anchor = short[place[start]]
+    short = mixed(window_hashes(a, length, BASES[0]))
+    place = anchors_of(short, n, min_words - length + 1)
+    begins = np.r_[True, place[1:] != place[:-1]]
+    if live is None:
+        start = np.flatnonzero(begins)
+        size = np.diff(np.r_[start, n])
+    else:
+        edge = np.zeros(n + 1, np.int64)
+        np.add.at(edge, [x["lo"] for x in live], 1)
+        np.add.at(edge, [x["lo"] + x["n"] for x in live], -1)
+        looked = np.cumsum(edge[:-1]) > 0
+        begins = looked & (begins | np.r_[True, ~looked[:-1]])
+        start = np.flatnonzero(begins)
+        number = np.cumsum(begins) - 1
+        size = np.bincount(number[looked], minlength=len(start))
+    at = np.repeat(start, size) + (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
+    inner = (at - np.repeat(start, size)).astype(np.uint64) * np.uint64(BASES[1])
+    anchor, first = short[place[start]], np.cumsum(size) - size
     # the anchor and the windows in their order decide the key
-    keys = [mixed(np.add.reduceat(mixed(h + inner), start) + anchor) for h in long]
-    return anchor, start, size, keys, long
+    keys = [mixed(np.add.reduceat(mixed(mixed(window_hashes(a, min_words, b))[at] + inner), first) + anchor) for b in BASES]
+    return anchor, start, size, keys
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
-
+    """(id, h, t): a row's key is its id and a hash of its text, so that rows under one id are apart if they differ."""
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("t"))
 
-RUN = "anchor long, id long, lo int, n short, k1 long, k2 int"
 
-
-def _run_rows(texts: DataFrame, min_words: int, first: int) -> DataFrame:
-    """RUN rows of all texts; the 96 bits (k1, k2) stand for the anchor and the run's windows."""
+def _run_rows(texts: DataFrame, min_words: int, length: int) -> DataFrame:
+    """A row for each run of the texts (id, h, t), or of their live windows, where a column live says which; the 96
+    bits (k1, k2) stand for the anchor and the run's windows."""
+    names = ["anchor", "id", "h", "lo", "n", "k1", "k2"]
 
     def run(batches):
         for batch in batches:
             for s in range(0, batch.num_rows, 512):
                 part = batch.slice(s, 512)
-                found = [(doc.as_py(), runs_of(t.as_py(), min_words, first)) for doc, t in zip(part.column(0), part.column(1), strict=True)]
-                found = [(doc, r) for doc, r in found if r is not None]
-                if not found:
+                live = part.column(3).to_pylist() if part.num_columns > 3 else [None] * part.num_rows
+                found = [runs_of(t.as_py(), min_words, length, x) for t, x in zip(part.column(2), live, strict=True)]
+                own = [i for i, r in enumerate(found) if r is not None and len(r[0])]
+                if not own:
                     continue
-                join = lambda f, kind: pa.array(np.concatenate([f(r) for _, r in found]).astype(kind, copy=False))
-                ids = np.repeat(np.array([doc for doc, _ in found], np.int64), [len(r[0]) for _, r in found])
+                join = lambda f, kind: pa.array(np.concatenate([f(found[i]) for i in own]).astype(kind, copy=False))
+                rows = pa.array(np.repeat(own, [len(found[i][0]) for i in own]))
                 cols = [
                     join(lambda r: r[0].view(np.int64), np.int64),
-                    pa.array(ids),
+                    part.column(0).take(rows),
+                    part.column(1).take(rows),
                     join(lambda r: r[1], np.int32),
                     join(lambda r: r[2], np.int16),
                     join(lambda r: r[3][0].view(np.int64), np.int64),
                     join(lambda r: r[3][1].astype(np.uint32).view(np.int32), np.int32),
                 ]
-                yield pa.RecordBatch.from_arrays(cols, names=["anchor", "id", "lo", "n", "k1", "k2"])
-
-    return texts.mapInArrow(run, RUN)
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
-
-def _window_rows(live: DataFrame, min_words: int, first: int) -> DataFrame:
-    """(h1, h2, id, at): a row for each window of the runs of a text that begin at one of its los."""
-
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                doc, text, los = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].values.to_numpy()
-                _, start, size, _, long = runs_of(text, min_words, first)
-                at = np.flatnonzero(np.repeat(np.isin(start, los), size))
-                cols = [long[0][at].view(np.int64), long[1][at].view(np.int64), np.full(len(at), doc, np.int64), at.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h1", "h2", "id", "at"])
-
-    return live.select("id", "t", "los").mapInArrow(run, "h1 long, h2 long, id long, at int")
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.mapInArrow(run, f"anchor long, id {kind}, h long, lo int, n short, k1 long, k2 int")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = 20, first: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, spans): for each document the ranges [lo, hi) of words that windows cover whose words also start earlier.
+    """(id, h, spans): for each document the ranges [lo, hi) of words that windows cover whose words also start earlier.
 
-    The result is written; what was written on the way goes. Shuffle files of finished steps are released, so that
-    the disks hold one step's at a time.
+    h is the xxhash64 of the text's bytes. Levels have the lengths first, 2 * first and so on to min_words. The result
+    is written; what was written on the way goes. Shuffle files of finished steps are released, so that the disks hold
+    one step's at a time.
     """
     spark = docs.sparkSession
-    first = first or max(1, -(-min_words // 2))
+    length = min(min_words, first or max(1, -(-min_words // 2)))
     texts = _texts(docs, id_col, text_col)
-    every = materialize(_run_rows(texts, min_words, first), "runs")
-    # counts are written before they are joined: then both sides of a join are plain shuffles, whose hot keys can be split
-    repeated = materialize(every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "anchors")
-    runs = materialize(every.join(repeated, "anchor", "left_semi"), "repeated-runs")
-    release(spark, every, repeated)
-
-    one = F.min(F.struct("id", "lo")).alias("one")
-    classes = materialize(runs.groupBy("k1", "k2").agg(one, F.first("anchor").alias("anchor")), "run-classes")
-    release(spark)
-    # the earliest run of each class, where an anchor has several classes: their windows one by one
-    several = materialize(classes.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "several")
-    heads = classes.join(several, "anchor", "left_semi").groupBy(F.col("one.id").alias("id")).agg(F.collect_set("one.lo").alias("los"))
-    heads = materialize(heads, "heads")
-    windows = materialize(_window_rows(texts.join(heads, "id"), min_words, first), "windows")
-    release(spark, heads, several)
-
-    earliest = windows.groupBy("h1", "h2").agg(F.min(F.struct("id", "at")).alias("one"), F.count("*").alias("c")).where("c > 1")
-    earliest = materialize(earliest.select("h1", "h2", "one"), "earliest")
-    later = windows.join(earliest, ["h1", "h2"]).where("NOT (id = one.id AND at = one.at)")
-    later = later.select("id", F.col("at").alias("lo"), (F.col("at") + min_words).alias("hi"))
-    copies = runs.select("id", "lo", "n", "k1", "k2").join(classes.select("k1", "k2", "one"), ["k1", "k2"])
-    copies = copies.where("NOT (id = one.id AND lo = one.lo)").select("id", "lo", (F.col("lo") + F.col("n") - 1 + min_words).alias("hi"))
-    spans = copies.unionByName(later).groupBy("id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    spans = materialize(spans, "spans")
-    del later, copies
-    release(spark, runs, classes, windows, earliest)
+    rows, found = texts, []
+    while True:
+        every = materialize(_run_rows(rows, min_words, length), "runs")
+        last = length == min_words
+        # counts are written before they are joined: then both sides of a join are plain shuffles, whose hot keys can be split
+        several = every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+        if not last:
+            several = materialize(several, "anchors")
+            runs = materialize(every.join(several, "anchor", "left_semi"), "repeated-runs")
+            release(spark, every, several)
+        else:
+            runs = every
+        one = F.min(F.struct("id", "h", "lo")).alias("one")
+        classes = runs.groupBy("k1", "k2").agg(one, F.first("anchor").alias("anchor"), F.count("*").alias("c"))
+        classes = materialize(classes.where("c > 1") if last else classes, "run-classes")
+        release(spark)
+        copies = runs.select("id", "h", "lo", "n", "k1", "k2").join(classes.where("c > 1").select("k1", "k2", "one"), ["k1", "k2"])
+        copies = copies.where("NOT (id = one.id AND h = one.h AND lo = one.lo)")
+        copies = copies.select("id", "h", "lo", (F.col("lo") + F.col("n") - 1 + min_words).alias("hi"))
+        found.append(materialize(copies, "copies"))
+        if last:
+            release(spark, runs, classes)
+            break
+        # the earliest run of each class, where an anchor has several classes, goes to the next level
+        several = materialize(classes.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "several")
+        heads = classes.join(several, "anchor", "left_semi").select("one", "k1", "k2")
+        heads = heads.join(runs.select("id", "h", "lo", "n", "k1", "k2"), ["k1", "k2"]).where("id = one.id AND h = one.h AND lo = one.lo")
+        heads = heads.groupBy("id", "h").agg(F.collect_set(F.struct("lo", "n")).alias("live"))
+        heads = materialize(heads, "heads")
+        release(spark, runs, classes, several)
+        if heads.isEmpty():
+            break
+        length = min(2 * length, min_words)
+        rows = texts.join(heads, ["id", "h"]).select("id", "h", "t", "live")
+    spans = found[0]
+    for more in found[1:]:
+        spans = spans.unionByName(more)
+    spans = materialize(spans.groupBy("id", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
+    release(spark, *found)
     return spans
 
 
-OUT = "id long, n_words long, n_removed long, kept_sha256 string, kept binary"
+KEPT = "n_words long, n_removed long, kept_sha256 string, kept binary"
 
 
 def outside(words: list[bytes], spans) -> list[bytes]:
@@ -197,7 +212,7 @@ def outside(words: list[bytes], spans) -> list[bytes]:
 
 
 def _kept(rows: DataFrame, with_text: bool) -> DataFrame:
-    """OUT rows from (id, t, spans): the words outside of the spans."""
+    """(id, KEPT) rows from (id, t, spans): the words outside of the spans."""
 
     def run(batches):
         for batch in batches:
@@ -209,11 +224,13 @@ def _kept(rows: DataFrame, with_text: bool) -> DataFrame:
                     spans, n = part.column(2)[i].as_py(), len(words)
                     words = outside(words, spans) if spans else words
                     kept = b" ".join(words)
-                    out.append((part.column(0)[i].as_py(), n, n - len(words), hashlib.sha256(kept).hexdigest(), kept if with_text else None))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in OUT.split(", ")])
+                    out.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary())
+                cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["id", *(x.split()[0] for x in KEPT.split(", "))])
 
-    return rows.select("id", "t", "spans").mapInArrow(run, OUT)
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.select("id", "t", "spans").mapInArrow(run, f"id {kind}, {KEPT}")
 
 
 def remove_repeats(
@@ -222,35 +239,40 @@ def remove_repeats(
     """One row per document: (id, n_words, n_removed, kept_sha256, kept), kept being the words that stay, or null.
 
     A word goes if a window of min_words consecutive words covers it whose words also start earlier: in a document of
-    smaller id, or in the same one further to the front. Windows are judged on the texts as they came. Windows
-    are known by 128 bits of hashes, runs by 96. A word is what lies between ASCII white space, unchanged.
+    smaller id, or in the same one further to the front. Windows are judged on the texts as they came. Windows and runs
+    are known by 96 bits of hashes over 64-bit hashes of their words. A word is what lies between ASCII white space,
+    unchanged.
 
     Nulls: a null text has no words; rows with a null id take no part in comparisons and keep all their words. Rows
-    that repeat an id are taken for the same document, whose windows start at the same places: they don't remove each
-    other's words, and each loses the same. Texts shorter than a window keep all. Empty table: no rows. A document is
-    held whole by a task. Other columns are not read.
+    that repeat an id and a text are the same document: they don't remove each other's words, and each loses the same.
+    Rows that share an id but not the text are documents of their own, of which that with the smaller hash of the text
+    comes first. Texts shorter than a window keep all. Empty table: no rows. A document is held whole by a task. Ids
+    are of any type that can be ordered. Other columns are not read.
     """
-    texts = _texts(docs, id_col, text_col)
     spans = repeated_spans(docs.where(F.col(id_col).isNotNull()), min_words, first, id_col, text_col)
-    return _kept(texts.join(spans, "id", "left"), with_text).withColumnRenamed("id", id_col)
+    return _kept(_texts(docs, id_col, text_col).join(spans, ["id", "h"], "left"), with_text).withColumnRenamed("id", id_col)
 
 
 def strip_repeats(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """The rows of docs without their repeated words, as remove_repeats finds them, in the columns of docs.
 
     A text that loses words becomes its kept words, joined by spaces; one that loses none stays as it is, null too. The
-    column chars_col, where docs has it, follows. A text that loses all words is empty and its row stays.
+    column chars_col, where docs has it, follows. A text that loses all words is empty and its row stays. Null and
+    repeated ids are taken as remove_repeats does. Empty table: no rows. Columns of docs may have any names.
     """
     spans = repeated_spans(docs.where(F.col(id_col).isNotNull()), min_words, None, id_col, text_col)
-    joined = docs.join(spans.select(F.col("id").alias("_id"), F.col("spans").alias("_spans")), F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
     names = docs.columns
+    # rows travel whole in one column, so that no name of theirs meets one of the spans'
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    joined = rows.join(spans, ["id", "h"], "left").select("row", "spans")
 
     def run(batches):
         for batch in batches:
             for s in range(0, batch.num_rows, 256):
                 part = batch.slice(s, 256)
-                spans = part.column(len(names)).to_pylist()
-                cols = dict(zip(names, part.columns, strict=False))
+                spans = part.column(1).to_pylist()
+                cols = dict(zip(names, part.column(0).flatten(), strict=True))
                 texts = cols[text_col].to_pylist()
                 texts = [b" ".join(outside(t.encode().split(), x)).decode() if x else t for t, x in zip(texts, spans, strict=True)]
                 cols[text_col] = pa.array(texts, cols[text_col].type)

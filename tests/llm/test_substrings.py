@@ -43,7 +43,7 @@ def corpus(seed, n=120, vocabulary=60):
     return rows
 
 
-@pytest.mark.parametrize("seed,k,first", [(1, 20, None), (2, 20, 5), (3, 7, None), (4, 1, None)])
+@pytest.mark.parametrize("seed,k,first", [(1, 20, None), (2, 20, 5), (3, 7, None), (4, 1, None), (5, 20, 1), (6, 20, 20), (7, 23, 3)])
 def test_against_brute_force(spark, seed, k, first):
     rows = corpus(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
@@ -68,6 +68,43 @@ def test_odd_tables(spark):
     assert sorted((str(r.doc_id), r.n_removed) for r in S.remove_repeats(df).collect()) == [("3", 0), ("3", 0), ("4", 30), ("None", 0), ("None", 0)]
 
 
+def test_rows_that_share_an_id(spark):
+    own = " ".join(f"own{i}" for i in range(90))
+    shared = " ".join(f"sh{i}" for i in range(40))
+    rows = [("b", own), ("b", shared), ("b", shared), ("b", "few words"), ("c", "x " + shared), (None, shared), ("a", None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed) for r in S.remove_repeats(df).collect())
+    assert got == [("None", 40, 0), ("a", 0, 0), ("b", 2, 0), ("b", 40, 0), ("b", 40, 0), ("b", 90, 0), ("c", 41, 40)]
+    rows = [(1, own + " " + shared), (1, "y " + shared), (2, shared)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.n_words, r.n_removed) for r in S.remove_repeats(df).collect()]
+    assert sorted(got) in ([(1, 41, 0), (1, 130, 40), (2, 40, 40)], [(1, 41, 40), (1, 130, 0), (2, 40, 40)])
+
+
+def test_strip_repeats_with_clashing_columns(spark):
+    shared = " ".join(f"sh{i}" for i in range(25))
+    rows = [(1, shared, "p", 3, 0), (2, "a  b " + shared, "q", 4, 0), (None, shared, "r", 5, 0), (3, None, "s", 6, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string, h int, n_chars int").selectExpr("*", "'x' AS _id", "1 AS `a.b`", "2 AS row", "3 AS id")
+    got = sorted((tuple(r) for r in S.strip_repeats(df).collect()), key=repr)
+    rest = ("x", 1, 2, 3)
+    want = [(1, shared, "p", 3, 0, *rest), (2, "a b", "q", 4, 3, *rest), (None, shared, "r", 5, 0, *rest), (3, None, "s", 6, None, *rest)]
+    assert got == sorted(want, key=repr)
+    assert S.strip_repeats(df.limit(0)).columns == df.columns and S.strip_repeats(df.limit(0)).count() == 0
+
+
+def test_levels_end_when_no_candidate_is_left(spark, monkeypatch):
+    seen = []
+    real = S._run_rows
+    monkeypatch.setattr(S, "_run_rows", lambda texts, k, length: seen.append(length) or real(texts, k, length))
+    words = [f"u{i}" for i in range(60)]
+    S.repeated_spans(spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[::-1]))], "doc_id long, text string"), 20, 5)
+    assert seen == [5]
+    seen.clear()
+    rows = [(1, " ".join(words)), (2, " ".join(words[:40] + ["v"] * 30)), (3, " ".join(["z"] + words[10:35] + ["w"] * 9))]
+    got = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 20, 5)
+    assert sorted((r.doc_id, r.n_removed) for r in got.collect()) == [(1, 0), (2, 69), (3, 25)] and seen == [5, 10, 20]
+
+
 @pytest.mark.parametrize("length", [1, 2, 3, 5, 10, 20, 31])
 def test_window_hashes(length):
     a = np.random.default_rng(0).integers(0, 2**63, 200).astype(np.uint64)
