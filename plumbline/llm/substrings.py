@@ -156,7 +156,7 @@ def repeated_spans(docs: DataFrame, min_words: int = 20, first: int | None = Non
     one step's at a time.
     """
     spark = docs.sparkSession
-    length = min(min_words, first or max(1, -(-min_words // 2)))
+    length = min(min_words, first or max(1, -(-min_words // 4)))
     texts = _texts(docs, id_col, text_col)
     rows, found = texts, []
     while True:
