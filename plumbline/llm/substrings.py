@@ -23,8 +23,8 @@ from plumbline.runtime import materialize, release
 
 #: Odd multipliers of the rolling hashes, one for each half of a key.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-#: Hash values of words that a worker keeps.
-KEEP = 100_000
+#: Hash values of words that a worker keeps, and words of the texts that are hashed together.
+KEEP, TOGETHER = 100_000, 100_000
 _WORDS: dict[bytes, int] = {}
 
 
@@ -78,37 +78,42 @@ def anchors_of(short: np.ndarray, windows: int, spread: int) -> np.ndarray:
     return place[:windows]
 
 
-def runs_of(text: bytes, min_words: int, length: int, live: list | None = None):
-    """The runs of a text: (anchor hash, first window, windows, two halves of the class key) arrays, or None.
+def runs_of(texts: list[list[bytes]], min_words: int, length: int, live: list | None = None):
+    """The runs of texts in words, one after the other: (text, anchor hash, first window, windows, two halves of the
+    class key) arrays.
 
-    live holds the (first window, windows) that are to be looked at; without it all are.
+    live holds for each text the (first window, windows) that are to be looked at; without it all are.
     """
-    words = text.split()
-    n = len(words) - min_words + 1
+    sizes = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    a = mixed(word_hashes([w for t in texts for w in t]))
+    n = len(a) - min_words + 1
     if n <= 0:
         return None
-    a = mixed(word_hashes(words))
+    text = np.repeat(np.arange(len(texts)), sizes)[:n]
+    at = np.arange(n) - starts[text]
+    # windows that end in their text
+    looked = at <= sizes[text] - min_words
+    if live is not None:
+        edge = np.zeros(n + 1, np.int64)
+        for s, own in zip(starts, live, strict=True):
+            np.add.at(edge, [s + x["lo"] for x in own], 1)
+            np.add.at(edge, [s + x["lo"] + x["n"] for x in own], -1)
+        looked &= np.cumsum(edge[:-1]) > 0
     short = mixed(window_hashes(a, length, BASES[0]))
     place = anchors_of(short, n, min_words - length + 1)
-    begins = np.r_[True, place[1:] != place[:-1]]
-    if live is None:
-        start = np.flatnonzero(begins)
-        size = np.diff(np.r_[start, n])
-    else:
-        edge = np.zeros(n + 1, np.int64)
-        np.add.at(edge, [x["lo"] for x in live], 1)
-        np.add.at(edge, [x["lo"] + x["n"] for x in live], -1)
-        looked = np.cumsum(edge[:-1]) > 0
-        begins = looked & (begins | np.r_[True, ~looked[:-1]])
-        start = np.flatnonzero(begins)
-        number = np.cumsum(begins) - 1
-        size = np.bincount(number[looked], minlength=len(start))
-    at = np.repeat(start, size) + (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
-    inner = (at - np.repeat(start, size)).astype(np.uint64) * np.uint64(BASES[1])
+    begins = looked & np.r_[True, (place[1:] != place[:-1]) | ~looked[:-1] | (at[1:] == 0)]
+    start = np.flatnonzero(begins)
+    if not len(start):
+        return None
+    of_run = (np.cumsum(begins) - 1)[looked]
+    size = np.bincount(of_run, minlength=len(start))
+    inner = (np.flatnonzero(looked) - start[of_run]).astype(np.uint64) * np.uint64(BASES[1])
     anchor, first = short[place[start]], np.cumsum(size) - size
     # the anchor and the windows in their order decide the key
-    keys = [mixed(np.add.reduceat(mixed(mixed(window_hashes(a, min_words, b))[at] + inner), first) + anchor) for b in BASES]
-    return anchor, start, size, keys
+    keys = [mixed(np.add.reduceat(mixed(mixed(window_hashes(a, min_words, b))[looked] + inner), first) + anchor) for b in BASES]
+    return text[start], anchor, at[start], size, keys
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -124,25 +129,21 @@ def _run_rows(texts: DataFrame, min_words: int, length: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for s in range(0, batch.num_rows, 512):
-                part = batch.slice(s, 512)
-                live = part.column(3).to_pylist() if part.num_columns > 3 else [None] * part.num_rows
-                found = [runs_of(t.as_py(), min_words, length, x) for t, x in zip(part.column(2), live, strict=True)]
-                own = [i for i, r in enumerate(found) if r is not None and len(r[0])]
-                if not own:
-                    continue
-                join = lambda f, kind: pa.array(np.concatenate([f(found[i]) for i in own]).astype(kind, copy=False))
-                rows = pa.array(np.repeat(own, [len(found[i][0]) for i in own]))
-                cols = [
-                    join(lambda r: r[0].view(np.int64), np.int64),
-                    part.column(0).take(rows),
-                    part.column(1).take(rows),
-                    join(lambda r: r[1], np.int32),
-                    join(lambda r: r[2], np.int16),
-                    join(lambda r: r[3][0].view(np.int64), np.int64),
-                    join(lambda r: r[3][1].astype(np.uint32).view(np.int32), np.int32),
-                ]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+            rows, words, held = [], [], 0
+            for i in range(batch.num_rows):
+                words.append(batch.column(2)[i].as_py().split())
+                rows.append(i)
+                held += len(words[-1])
+                if held >= TOGETHER or i + 1 == batch.num_rows:
+                    live = [batch.column(3)[k].as_py() for k in rows] if batch.num_columns > 3 else None
+                    found = runs_of(words, min_words, length, live)
+                    if found is not None:
+                        text, anchor, lo, n, keys = found
+                        own = pa.array(np.array(rows)[text])
+                        cols = [anchor.view(np.int64), lo.astype(np.int32), n.astype(np.int16), keys[0].view(np.int64), keys[1].astype(np.uint32).view(np.int32)]
+                        cols = [pa.array(c) for c in cols]
+                        yield pa.RecordBatch.from_arrays([cols[0], batch.column(0).take(own), batch.column(1).take(own), *cols[1:]], names=names)
+                    rows, words, held = [], [], 0
 
     kind = texts.schema["id"].dataType.simpleString()
     return texts.mapInArrow(run, f"anchor long, id {kind}, h long, lo int, n short, k1 long, k2 int")

@@ -60,6 +60,17 @@ def test_query_and_kept_text(spark, tmp_path):
         assert hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256
 
 
+def test_query_matches_oracle(spark):
+    import duckdb
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+    rel = con.sql(Q.ORACLES["op8_substring_dedup"])
+    got = [tuple(r) for r in Q.op8_substring_dedup(spark, d).select(*rel.columns).collect()]
+    assert sorted(rel.fetchall()) == sorted(got) and sum(r[rel.columns.index("n_removed")] for r in got) > 0
+
+
 def test_odd_tables(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert S.remove_repeats(df).count() == 0
