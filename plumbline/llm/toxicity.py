@@ -7,6 +7,11 @@ word. Nyström features are these kernels times the inverse root of the landmark
 trained on sentences: those of clean documents, and of each toxic document the one that it now finds worst, which is
 chosen anew in a few rounds; the words under each landmark stand in for toxic sentences once more with one sign put
 in, so that the border leaves room for gaps. A document is as toxic as its worst sentence.
+
+A word of any length and of any characters is matched whole; one of over WINDOW characters is also matched in
+overlapping stretches and keeps the largest of these kernels, so that its length does not hide an insult. Words under
+ORDER characters have no subsequence and kernel 0. Besides the kernel, letters with signs or spaces between them
+(SPACED, BROKEN) are read as one word as well; a letter put in is left to the kernel.
 """
 
 from __future__ import annotations
@@ -17,14 +22,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.runtime import materialize, release
+
 ORDER, DECAY = 4, 0.7
-#: Landmarks' number and longest length, and characters of a word that are matched at once.
+#: Landmarks' number and longest length, and characters of a stretch of a long word.
 LANDMARKS, LONGEST, WINDOW = 32, 12, 32
-#: Training documents of either label, and sentences of one, that are used at most.
-DOCS, SENTENCES = 3000, 200
+#: Characters of a word whose kernel with itself is computed at once.
+PIECE = 256
+#: Training documents of either label that are used at most, and the characters at which no further one is taken.
+DOCS, CHARS = 3000, 8 << 20
 #: Weight of the words with a sign put in, where toxic and clean sentences weigh 2000 each.
 GAPPED = 100.0
 KEEP = 200_000
@@ -38,6 +47,15 @@ def words_matrix(words: list[str], width: int, fill: str = "\0") -> np.ndarray:
     return np.frombuffer("".join(w[:width].ljust(width, fill) for w in words).encode("utf-32-le", "replace"), "<u4").reshape(-1, width)
 
 
+def faded_sums(x: np.ndarray, decay: float) -> np.ndarray:
+    """Along each row y[k] = decay * y[k - 1] + x[k], by doubling until what is further back weighs nothing."""
+    y, step = x.copy(), 1
+    while step < x.shape[1] and decay**step > 1e-20:
+        y[:, step:] += decay**step * y[:, :-step]
+        step *= 2
+    return y
+
+
 def pair_kernel(a: np.ndarray, b: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
     """The kernel of row i of a with row i of b; the rows are padded with characters that match nothing."""
     n, width = b.shape
@@ -47,12 +65,8 @@ def pair_kernel(a: np.ndarray, b: np.ndarray, order: int = ORDER, decay: float =
         match = (b == a[:, j : j + 1]) * decay**2
         out += (match * partial[order - 1][:, :width]).sum(axis=1)
         for i in range(order - 1, 0, -1):
-            run = np.zeros(n)
-            below, here = partial[i - 1], partial[i]
-            here *= decay
-            for k in range(width):
-                run = decay * run + match[:, k] * below[:, k]
-                here[:, k + 1] += run
+            partial[i] *= decay
+            partial[i][:, 1:] += faded_sums(match * partial[i - 1][:, :width], decay)
     return out
 
 
@@ -65,27 +79,37 @@ class Kernel:
     def __post_init__(self):
         self.matrix = words_matrix(self.landmarks, LONGEST, "\1")
         self.own = np.sqrt(np.maximum(pair_kernel(words_matrix(self.landmarks, LONGEST), self.matrix), 1e-12))
-        # for each character the places that it has in every landmark, for the test below
-        self.places = np.zeros((1 << 16, len(self.landmarks)), np.uint16)
+        # a small code for each character of a landmark, 0 for all others, and the places of each code in the landmarks
+        letters = sorted(set("".join(self.landmarks)))
+        self.code = np.zeros(0x110000, np.uint16)
+        self.code[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.places = np.zeros((len(letters) + 1, len(self.landmarks)), np.uint16)
         for j, mark in enumerate(self.landmarks):
             for k, c in enumerate(mark):
-                if ord(c) < 1 << 16:
-                    self.places[ord(c), j] |= np.uint16(1 << k)
+                self.places[letters.index(c) + 1, j] |= np.uint16(1 << k)
         self.full = np.array([(1 << len(m)) - 1 for m in self.landmarks], np.uint16)
 
     def of(self, words: list[str]) -> np.ndarray:
         """(words, landmarks): the kernels, normalised to 1 for equal words."""
         out = np.zeros((len(words), len(self.landmarks)))
-        long = [i for i, w in enumerate(words) if len(w) > WINDOW]
-        rows = words_matrix(words, WINDOW)
-        self._fill(rows, out)
-        for i in long:  # overlapping windows, so that no match of a landmark's usual length is cut
-            pieces = [words[i][s : s + WINDOW] for s in range(0, len(words[i]), WINDOW // 2)]
-            part = np.zeros((len(pieces), len(self.landmarks)))
-            self._fill(words_matrix(pieces, WINDOW), part)
-            out[i] = part.max(axis=0)
+        self._fill(words_matrix([w if len(w) <= WINDOW else "" for w in words], WINDOW), out)
+        for i in (i for i, w in enumerate(words) if len(w) > WINDOW):
+            out[i] = self._long(words[i])
         return out
 
+    def _long(self, word: str) -> np.ndarray:
+        """A long word's kernels: of the whole, or of its best stretch. The whole word's kernel with itself is that of
+        its pieces of PIECE characters added up, which is the kernel for words up to that length and no more beyond."""
+        letters = words_matrix([word], len(word))[0]
+        pieces = [letters[None, s : s + PIECE] for s in range(0, len(letters), PIECE)]
+        own = np.sqrt(sum(float(pair_kernel(x, x)[0]) for x in pieces))
+        # the landmarks are short, so that they are walked along and the word is the row
+        marks = words_matrix(self.landmarks, LONGEST)
+        whole = np.array([pair_kernel(m[None, m > 0], letters[None, :])[0] for m in marks]) / (self.own * max(own, 1e-6))
+        stretches = np.zeros((max(1, -(-len(word) // (WINDOW // 2))), len(self.landmarks)))
+        self._fill(words_matrix([word[k : k + WINDOW] for k in range(0, len(word), WINDOW // 2)], WINDOW), stretches)
+        return np.maximum(whole, stretches.max(axis=0))
+
     @staticmethod
     def _norms(rows, r, width):
         """Roots of the words' kernels with themselves."""
@@ -98,11 +122,11 @@ class Kernel:
         left = np.broadcast_to(np.uint16(0xFFFF), out.shape).copy()
         lengths = (rows > 0).sum(axis=1)
         order = np.argsort(-lengths, kind="stable")
-        sorted_rows = np.where(rows < 1 << 16, rows, 0)[order]
+        codes = self.code[rows][order]
         for j in range(int(lengths.max(initial=0))):
             live = int(np.searchsorted(-lengths[order], -j, side="left"))
             v = left[:live]
-            u = v & self.places[sorted_rows[:live, j]]
+            u = v & self.places[codes[:live, j]]
             left[:live] = (v + u) | (v - u)
         common = np.bitwise_count(~left & self.full)
         row, col = np.nonzero(common >= ORDER)
@@ -190,37 +214,43 @@ class Scorer:
         return 1 / (1 + np.exp(-z))
 
 
-def choose_landmarks(docs: list[set[str]], labels: np.ndarray, most: int = LANDMARKS) -> list[str]:
+def training_words(text: str) -> set[str]:
+    return {w.strip(SIGNS) for w in with_spaced(text).split()}
+
+
+def choose_landmarks(counts: dict[str, tuple[int, int]], n_clean: int, n_toxic: int, most: int = LANDMARKS) -> list[str]:
     """Beginnings of words, or whole ones, that toxic documents have and others hardly: the most worth first, where a
     clean document counts as much as several toxic ones, the longest of equal worth, and one of each family of
-    beginnings."""
-    clean, toxic = Counter(), Counter()
-    for words, y in zip(docs, labels, strict=True):
-        (toxic if y else clean).update({w[:k] for w in words for k in range(ORDER, min(len(w), LONGEST) + 1)})
-    ratio = max(1.0, (labels == 1).sum() / max(1, (labels == 0).sum()))
-    worth = {s: n - 5 * ratio * clean[s] for s, n in toxic.items()}
-    least = max(3.0, 0.02 * (labels == 1).sum())
+    beginnings. counts has the (clean, toxic) documents with each beginning."""
+    ratio = max(1.0, n_toxic / max(1, n_clean))
+    worth = {s: toxic - 5 * ratio * clean for s, (clean, toxic) in counts.items()}
     chosen: list[str] = []
     for s in sorted(worth, key=lambda s: (-worth[s], -len(s), s)):
-        if worth[s] < least or len(chosen) == most:
+        if worth[s] < least_worth(n_toxic) or len(chosen) == most:
             break
         if not any(s.startswith(c) or c.startswith(s) for c in chosen):
             chosen.append(s)
     return chosen
 
 
-def gapped(docs: list[set[str]], labels: np.ndarray, marks: list[str], most: int = 20) -> list[str]:
-    """The commonest words of toxic documents under each landmark, with one sign put in at every place of it. Landmarks
-    of ORDER characters have a single subsequence, which chance gives to clean words too: they get no room."""
-    count: dict[str, int] = {}
-    for words, y in zip(docs, labels, strict=True):
-        for w in words if y else ():
-            count[w] = count.get(w, 0) + 1
-    out = []
-    for m in (m for m in marks if len(m) > ORDER):
-        own = sorted((w for w in count if w.startswith(m) and len(w) <= WINDOW - 2), key=lambda w: (-count[w], w))[:most]
-        out += [w[:k] + "." + w[k:] for w in own for k in range(1, len(m))]
-    return out
+def least_worth(n_toxic: int) -> float:
+    return max(3.0, 0.02 * n_toxic)
+
+
+def beginnings(words: set[str]) -> set[str]:
+    return {w[:k] for w in words for k in range(ORDER, min(len(w), LONGEST) + 1)}
+
+
+def gapped(counts: dict[str, int], marks: list[str]) -> tuple[list[str], list[float]]:
+    """Words of toxic documents under each landmark, with one sign put in at every place of it, and their shares: a
+    word weighs as many times as documents have it. Landmarks of ORDER characters have a single subsequence, which
+    chance gives to clean words too: they get no room."""
+    out, share = [], []
+    for w, n in sorted(counts.items()):
+        for m in (m for m in marks if len(m) > ORDER and w.startswith(m)):
+            out += [w[:k] + "." + w[k:] for k in range(1, len(m))]
+            share += [float(n)] * (len(m) - 1)
+    return out, share
 
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1.0, rounds: int = 100) -> tuple[np.ndarray, float]:
@@ -253,43 +283,57 @@ def calibrated(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def train(texts: list[str], labels: list[int], rounds: int = 4) -> Model:
-    """A model from labelled texts; without toxic ones, or without anything that sets them apart, it says 0 to all."""
-    y = np.array(labels, int)
-    words = [{w.strip(SIGNS) for w in with_spaced(t).split()} for t in texts]
-    marks = choose_landmarks(words, y) if len(y) else []
-    if not marks or not (y == 0).any():
-        return Model(["\2\2\2\2"], np.zeros(1), -1.0, 1.0, -10.0)
-    kernel = Kernel(marks)
-    gram = kernel.of(marks)
+def nothing_learned() -> Model:
+    return Model(["\2\2\2\2"], np.zeros(1), -1.0, 1.0, -10.0)
+
+
+def nystrom(marks: list[str]) -> np.ndarray:
+    """The inverse root of the landmarks' kernel matrix."""
+    gram = Kernel(marks).of(marks)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    scorer = Scorer(Model(marks, np.zeros(len(marks)), 0.0, 1.0, 0.0))
-    steps = range(0, len(texts), 256)
-    found = [scorer.sentence_kernels(texts[k : k + 256]) for k in steps]
-    doc, kernels = np.concatenate([d + k for k, (d, _) in zip(steps, found, strict=True)]), np.concatenate([x for _, x in found])
+    return vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
+
+
+def learn(marks: list[str], labels: np.ndarray, doc: np.ndarray, kernels: np.ndarray, gap_counts: dict[str, int], rounds: int = 4) -> Model:
+    """A model from sentences: kernels[i] is one of document doc[i], whose label is labels[doc[i]]."""
+    root = nystrom(marks)
     x = kernels @ root
-    scale, margin = max(1.0, float(np.abs(x).max())), kernels.max(axis=1)
-    x, gaps = x / scale, kernel.of(gapped(words, y, marks)) @ root / scale
+    scale, margin = max(1.0, float(np.abs(x).max(initial=0))), kernels.max(axis=1, initial=0)
+    gaps, share = gapped(gap_counts, marks)
+    x, gaps = x / scale, Kernel(marks).of(gaps) @ root / scale
+    share = GAPPED * np.array(share) / max(sum(share), 1.0)
     w, b = np.zeros(len(marks)), 0.0
-    clean = np.flatnonzero(y[doc] == 0)
+    clean = np.flatnonzero(labels[doc] == 0)
     for _ in range(rounds):
         # the worst sentence of each toxic document; those without any common subsequence are left to the bias
         by = np.lexsort((margin, doc))
         last = by[np.r_[np.flatnonzero(np.diff(doc[by])), len(by) - 1]] if len(by) else by
-        worst = last[y[doc[last]] == 1]
+        worst = last[labels[doc[last]] == 1]
         rows = np.r_[worst, clean]
-        side = np.r_[np.ones(len(worst)), -np.ones(len(clean))]
-        quiet = np.zeros((1, len(marks)))
-        weight = np.r_[np.full(len(worst), 1 / max(len(worst), 1)), np.full(len(clean), 1 / max(len(clean), 1))] * 2000
-        every, side = np.vstack([x[rows], quiet, gaps]), np.r_[side, -1, np.ones(len(gaps))]
-        w, b = squared_hinge(every, side, np.r_[weight, 1000.0, np.full(len(gaps), GAPPED / max(len(gaps), 1))])
+        side = np.r_[np.ones(len(worst)), -np.ones(len(clean)), -1, np.ones(len(gaps))]
+        weight = np.r_[np.full(len(worst), 2000 / max(len(worst), 1)), np.full(len(clean), 2000 / max(len(clean), 1)), 1000.0, share]
+        w, b = squared_hinge(np.vstack([x[rows], np.zeros((1, len(marks))), gaps]), side, weight)
         margin = x @ w + b
-    model = Model(marks, root @ w / scale, b, 1.0, 0.0)
-    scorer.model = model
-    margins = np.concatenate([scorer.margins(texts[k : k + 256]) for k in steps])
-    model.slope, model.offset = calibrated(margins, y)
-    return model
+    best = np.full(len(labels), b)
+    np.maximum.at(best, doc, margin)
+    return Model(marks, root @ w / scale, b, *calibrated(best, labels))
+
+
+def train(texts: list[str], labels: list[int]) -> Model:
+    """A model from labelled texts in memory; without toxic ones, clean ones, or anything that sets the toxic ones
+    apart, it says 0 to all."""
+    y = np.array(labels, int)
+    words = [training_words(t) for t in texts]
+    counts: dict[str, list[int]] = {}
+    for own, label in zip(words, labels, strict=True):
+        for s in beginnings(own):
+            counts.setdefault(s, [0, 0])[label] += 1
+    marks = choose_landmarks(counts, int((y == 0).sum()), int((y == 1).sum()))
+    if not marks or not (y == 0).any():
+        return nothing_learned()
+    gap_counts = Counter(w for own, label in zip(words, labels, strict=True) if label for w in own if any(map(w.startswith, marks)))
+    doc, kernels = Scorer(Model(marks, np.zeros(len(marks)), 0.0, 1.0, 0.0)).sentence_kernels(texts)
+    return learn(marks, y, doc, kernels, gap_counts)
 
 
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -299,30 +343,96 @@ def held_out(id_col: Column, folds: int = 5) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % folds == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = DOCS) -> Model:
-    """Train on at most `most` documents of either label, the first by a hash of the id, without the held-out ids.
-
-    Of a document at most SENTENCES sentences are used. Both bounds are for training alone. A document with several
-    labels is toxic if one says so; null labels and ids and labels without a document are left out.
-    """
+def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int, chars: int) -> DataFrame:
+    """(nr, label, t): labelled documents outside the held-out fold, at most `most` of either label, the first by a
+    hash of the id, and no further one once those before it hold `chars` characters. Texts are whole."""
     told = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
-    told = told.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
+    told = told.groupBy(F.col(id_col).alias("id")).agg((F.max(F.col(label_col).cast("int")) > 0).cast("int").alias("label"))
     order = [F.xxhash64("id"), F.col("id")]
     chosen = told.where("label = 1").orderBy(*order).limit(most).unionByName(told.where("label = 0").orderBy(*order).limit(most))
     # 2 * most ids of 12 bytes: a fixed bound
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(chosen), "id")
-    sentences = F.slice(F.split(F.col("t"), r"(?<=[.!?])\s+|[\r\n]+"), 1, SENTENCES)
-    got = rows.select("id", "label", F.array_join(sentences, "\n").alias("t")).collect()
-    got.sort(key=lambda r: (r.id, r.t))
-    return train([r.t for r in got], [r.label for r in got])
+    rows = materialize(rows, "labelled")
+    by = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id", "h")
+    # at most 2 * most rows without their texts, and those that repeat their ids
+    sizes = rows.select("id", "label", F.xxhash64("t").alias("h"), F.length("t").alias("n")).distinct()
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    sizes = sizes.where(F.col("before") < chars).withColumn("nr", F.row_number().over(Window.orderBy("label", F.xxhash64("id"), "id", "h")) - 1)
+    kept = rows.withColumn("h", F.xxhash64("t")).dropDuplicates(["id", "h"]).join(sizes.select("id", "h", "nr"), ["id", "h"])
+    out = materialize(kept.select("nr", "label", "t").repartition(docs.sparkSession.sparkContext.defaultParallelism, "nr"), "sample")
+    release(docs.sparkSession, rows)
+    return out
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = DOCS, chars: int = CHARS
+) -> Model:
+    """Train on a bounded sample of labelled documents, all sentences of their whole texts.
+
+    At most `most` documents of either label are used, and of them no further one once those before it in the order of
+    their ids' hashes hold `chars` characters; both bounds are for training alone. Words are counted and kernels
+    computed by executors; the driver gets the sentences' kernels with the landmarks, 32 numbers each, equal ones of a
+    document once. A document with several labels is toxic if one says so; null labels and ids and labels without a
+    document are left out, and so are held-out ids. Texts that differ under one id are documents of their own.
+    Columns of other names are not read. Empty tables: a model that says 0 to all.
+    """
+    sample = training_sample(docs, labels, id_col, text_col, label_col, most, chars)
+    n = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    n_clean, n_toxic = n.get(0, 0), n.get(1, 0)
+    if not n_clean or not n_toxic:
+        return nothing_learned()
+
+    def count(own):
+        """(s, clean, toxic): documents of a task with a beginning, or of toxic ones alone with a word."""
+
+        def run(batches):
+            counts: dict[str, list[int]] = {}
+            for batch in batches:
+                for label, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                    for s in own(training_words(t), label):
+                        counts.setdefault(s, [0, 0])[label] += 1
+            cols = [list(counts), [c for c, _ in counts.values()], [c for _, c in counts.values()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["s", "clean", "toxic"])
+
+        return sample.mapInArrow(run, "s string, clean long, toxic long").groupBy("s").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+
+    worth = F.col("toxic") - 5 * max(1.0, n_toxic / n_clean) * F.col("clean")
+    # at most the toxic documents' beginnings over 2 percent of their number
+    counts = {r.s: (r.clean, r.toxic) for r in count(lambda words, _: beginnings(words)).where(worth >= least_worth(n_toxic)).collect()}
+    marks = choose_landmarks(counts, n_clean, n_toxic)
+    if not marks:
+        return nothing_learned()
+    under = count(lambda words, label: [w for w in words if label and any(map(w.startswith, marks))])
+    gap_counts = {r.s: r.toxic for r in under.collect()}
+    blank = Model(marks, np.zeros(len(marks)), 0.0, 1.0, 0.0)
+
+    def sentences(batches):
+        scorer = blank.scorer()
+        for batch in batches:
+            for s in range(0, batch.num_rows, 256):
+                part = batch.slice(s, 256)
+                doc, kernels = scorer.sentence_kernels(part.column(2).to_pylist())
+                each = np.unique(np.hstack([doc[:, None], kernels]), axis=0)
+                nr = part.column(0).take(pa.array(each[:, 0].astype(np.int64)))
+                ends = pa.array(np.arange(len(each) + 1, dtype=np.int32) * len(marks))
+                yield pa.RecordBatch.from_arrays([nr, pa.ListArray.from_arrays(ends, pa.array(each[:, 1:].ravel()))], names=["nr", "k"])
+
+    told = {r.nr: r.label for r in sample.select("nr", "label").collect()}
+    labels_of = np.array([told[k] for k in range(len(told))], int)
+    got = sample.mapInArrow(sentences, "nr int, k array<double>").toArrow()
+    doc = got.column("nr").to_numpy()
+    kernels = got.column("k").combine_chunks().flatten().to_numpy().reshape(len(doc), len(marks)) if len(doc) else np.empty((0, len(marks)))
+    order = np.lexsort((*kernels.T[::-1], doc))
+    release(docs.sparkSession, sample)
+    return learn(marks, labels_of, doc[order], kernels[order], gap_counts)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, predicted) of every whole text: predicted is 1 from a score of 0.5.
 
     Nulls: a null text is an empty one, whose score is that of a text without any likeness; a null id is kept. Rows
-    with equal texts get equal scores. Words of any length are matched in overlapping windows. Empty table: no rows.
-    Other columns are not read.
+    with equal texts get equal scores. Words of any length are matched whole. Empty table: no rows. Other columns are
+    not read.
     """
 
     def run(batches):
@@ -339,7 +449,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose whole text scores under 0.5, as they are; null and empty texts stay."""
+    """The rows of docs whose whole text scores under 0.5, as they are; null and empty texts stay.
+
+    Repeated rows stay or go together. Empty table: no rows. Columns of docs may have any names.
+    """
 
     def run(batches):
         scorer = model.scorer()

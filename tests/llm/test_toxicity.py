@@ -44,6 +44,24 @@ def test_filter_loses_nothing():
             assert got[i, j] == pytest.approx(plain_kernel(w, m, 4, 0.7) / own**0.5 if own else 0, abs=1e-9)
 
 
+def test_long_words_and_any_characters():
+    rnd = random.Random(3)
+    marks = ["idiot", "\U0001f4a9\U0001f4a9ab\U0001f600", "wretch"]
+    for w in ["i" + "x" * 40 + "dxxxiot", "".join(rnd.choice("idotwrech") for _ in range(60)), "\U0001f4a9" * 3 + "ab\U0001f600" + "q" * 30]:
+        got = T.Kernel(marks).of([w])[0]
+        letters = T.words_matrix([w], len(w))
+        for j, m in enumerate(marks):
+            pair = T.pair_kernel(letters, T.words_matrix([m], len(m)))[0]
+            own = T.pair_kernel(letters, letters)[0] * plain_kernel(m, m, 4, 0.7)
+            whole = pair / own**0.5
+            assert got[j] >= whole - 1e-12 and (pair == 0) == (got[j] == 0)
+            if m == "idiot" and w.startswith("ix"):
+                assert whole > 0
+    assert T.pair_kernel(T.words_matrix(["xa" * 20], 40), T.words_matrix(["aaaa"], 4))[0] == pytest.approx(plain_kernel("xa" * 20, "aaaa", 4, 0.7))
+    assert T.Kernel(marks).of(["\U0001f4a9\U0001f4a9ab\U0001f600", "idiot", "idi"]) == pytest.approx(np.array([[0, 1, 0], [1, 0, 0], [0, 0, 0]]))
+    assert T.Kernel(marks).of(["y" * 100_000 + "idiot"])[0, 0] > 0.3
+
+
 def sample(seed, n):
     rnd = random.Random(seed)
     word = lambda: "".join(rnd.choice(["the", "an", "er", "on", "ti", "sh", "wh", "ble"]) for _ in range(rnd.randint(1, 4)))
@@ -86,6 +104,31 @@ def test_query_and_odd_rows(spark, tmp_path):
     assert got[100_000].score == got[100_001].score < 0.5 and got[100_002].predicted == 1 and got[None].predicted == 1
 
 
+def test_training_reads_whole_texts(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("bcdefghklmnprstv") + rnd.choice("aeu") for _ in range(3))
+    rows = []
+    for i in range(200):
+        text = ". ".join(" ".join(word() for _ in range(4)) for _ in range(250))
+        rows.append((i, text + (". you fool." if i % 2 else ". you fine."), i % 2))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    scorer = T.fit(docs, labels).scorer()
+    assert scorer.scores(["fool."])[0] > 0.5 > scorer.scores(["fine."])[0]
+
+
+def test_sample_is_bounded_and_whole(spark):
+    rows = [(i, "x" * (i + 1), i % 2) for i in range(100)] + [(5, "other text under one id", 1), (7, "x" * 8, 1)]
+    docs = spark.createDataFrame([(i, t, "h", 1) for i, t, _ in rows], "doc_id long, text string, h string, nr int")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = T.training_sample(docs, labels, "doc_id", "text", "toxic", 20, 10**9).collect()
+    assert sorted(r.nr for r in got) == list(range(len(got))) and {r.t for r in got} <= {t for _, t, _ in rows} and 40 <= len(got) <= 41
+    few = T.training_sample(docs, labels, "doc_id", "text", "toxic", 20, 60).collect()
+    for y in (0, 1):
+        n = sorted(len(r.t) for r in few if r.label == y)
+        assert n and sum(n) - n[-1] < 60
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
