@@ -58,10 +58,20 @@ def test_small_and_odd_tables(spark):
 
 
 def test_repeat_documents(spark):
-    docs = spark.createDataFrame([(1, "a b  c", 6), (2, "d e", 3), (3, "f", 1)], "doc_id long, text string, n_chars long")
-    mixed = spark.createDataFrame([(1, 3, 8), (2, 2, 0), (3, 1, 1)], "doc_id long, size long, taken long")
-    got = sorted(tuple(r) for r in M.repeat_documents(docs, mixed).collect())
-    assert got == [(1, "a b", 3), (1, "a b  c", 6), (1, "a b  c", 6), (3, "f", 1)]
+    rnd = random.Random(6)
+    rows = [(rnd.randrange(40) if rnd.random() < 0.5 else None, " ".join(f"w{rnd.randrange(9)}" for _ in range(rnd.randint(0, 6))), rnd.choice("abc"), 7, "p") for _ in range(300)]
+    rows += [(1, None, "a", None, "p"), (1, "only one", None, 8, "p")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, size string").selectExpr("*", "1 AS m_id", "2 AS _size", "3 AS taken", "4 AS cut")
+    got = M.repeat_documents(df)
+    assert got.columns == df.columns and [f.dataType for f in got.schema] == [f.dataType for f in df.schema]
+    got = [tuple(r) for r in got.collect()]
+    assert sorted(map(repr, got)) == sorted(repr(tuple(r)) for r in M.repeat_documents(df.repartition(5)).collect())
+    for s in ("a", "b", "c", None):
+        taken = sum(r.taken for r in M.mix(df).where(M.F.col("source").eqNullSafe(s)).collect())
+        assert sum(len(r[1].split()) for r in got if r[2] == s) == taken
+    texts = [r[1] or "" for r in rows]
+    assert all(t[1] in texts and t[3] == 7 or t[3] == len(t[1]) and any(x.startswith(t[1]) for x in texts) or t[3] == 8 for t in got)
+    assert M.repeat_documents(df.limit(0)).count() == 0
 
 
 def test_query_matches_oracle(spark):
