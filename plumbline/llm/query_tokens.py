@@ -10,8 +10,9 @@ END_ID = 1
 
 
 def op10_token_files(spark, sf_dir):
-    manifest = write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
-    return token_index(manifest).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+    docs = table(spark, sf_dir, "documents")
+    manifest = write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    return token_index(manifest, docs.schema["doc_id"].dataType.simpleString()).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
 QUERIES = {"op10_token_files": op10_token_files}

@@ -3,7 +3,8 @@
 File: magic, blocks, footer, footer length (u64), magic. A block holds up to BLOCK ids: three u32 (ids, words,
 escapes), the escapes (u32 places, then u64 values), the 64-bit words. The top four bits of a word are its selector:
 how many ids it packs, and in how many bits each. Ids of 2^60 or more are escapes and stand as 0 among the words. The
-footer lists for each block its first id's number and byte offset, and for each document its first id's number.
+footer lists for each block its first id's number and byte offset, and for each document its first id's number; the
+documents' own ids end it, as a column in Arrow's stream format.
 """
 
 from __future__ import annotations
@@ -113,10 +114,15 @@ class TokenFileWriter:
 
     def __init__(self, stream):
         self.stream, self.at, self.n_ids = stream, len(MAGIC), 0
-        self.blocks, self.docs, self.held, self.n_held = [], [], [], 0
+        self.blocks, self.docs, self.names, self.held, self.n_held = [], [], [], [], 0
         stream.write(MAGIC)
 
+    def name(self, names: pa.Array) -> None:
+        """The own ids of the next documents."""
+        self.names.append(names)
+
     def add(self, ids: np.ndarray) -> None:
+        """The token ids of the next document."""
         self.docs.append(self.n_ids)
         self.n_ids += len(ids)
         self.held.append(ids)
@@ -140,35 +146,48 @@ class TokenFileWriter:
             self._write(np.concatenate(self.held))
         footer = struct.pack("<QQQ", len(self.blocks), len(self.docs), self.n_ids)
         footer += np.array(self.blocks, "<u8").tobytes() + np.array(self.docs, "<u8").tobytes()
+        names = pa.RecordBatch.from_arrays([pa.concat_arrays(self.names or [pa.nulls(0)])], names=["id"])
+        if names.num_rows != len(self.docs):
+            raise ValueError("every document needs a name")
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, names.schema) as out:
+            out.write_batch(names)
+        footer += sink.getvalue().to_pybytes()
         self.stream.write(footer + struct.pack("<Q", len(footer)) + MAGIC)
         self.stream.close()
         return self.at + len(footer) + 16
 
 
-def read_documents(file):
-    """The ids of each document in the file, in order; one block is decoded at a time."""
-    size = file.size()
-    file.seek(size - 16)
-    (length,), end = struct.unpack("<Q", file.read(8)), file.read(8)
-    if end != MAGIC:
-        raise ValueError("not a whole token file")
-    file.seek(size - 16 - length)
-    footer = file.read(length)
-    n_blocks, n_docs, n_ids = struct.unpack_from("<QQQ", footer)
-    blocks = np.frombuffer(footer, "<u8", 4 * n_blocks, 24).reshape(-1, 4)
-    docs = np.frombuffer(footer, "<u8", n_docs, 24 + 32 * n_blocks)
-    ends = np.r_[docs[1:], np.uint64(n_ids)] if n_docs else docs
-    held, first, b = np.empty(0, np.uint64), 0, 0
-    for start, end in zip(docs.tolist(), ends.tolist(), strict=True):
-        parts = [held[start - first :]]
-        have = first + len(held) if len(held) else start
-        while have < end:
-            file.seek(int(blocks[b][1]))
-            parts.append(decode_block(file.read(int(blocks[b][3]))))
-            have += len(parts[-1])
-            b += 1
-        held, first = np.concatenate(parts), start
-        yield start, held[: end - start]
+class TokenFile:
+    """A file's footer: names, an Arrow array of the documents' own ids, and what documents() needs."""
+
+    def __init__(self, file):
+        self.file, size = file, file.size()
+        file.seek(size - 16)
+        (length,), end = struct.unpack("<Q", file.read(8)), file.read(8)
+        if end != MAGIC:
+            raise ValueError("not a whole token file")
+        file.seek(size - 16 - length)
+        footer = file.read(length)
+        n_blocks, n_docs, n_ids = struct.unpack_from("<QQQ", footer)
+        self.blocks = np.frombuffer(footer, "<u8", 4 * n_blocks, 24).reshape(-1, 4)
+        docs = np.frombuffer(footer, "<u8", n_docs, 24 + 32 * n_blocks)
+        self.starts, self.ends = docs.tolist(), (np.r_[docs[1:], np.uint64(n_ids)] if n_docs else docs).tolist()
+        self.names = pa.ipc.open_stream(footer[24 + 32 * n_blocks + 8 * n_docs :]).read_all().column(0).combine_chunks()
+
+    def documents(self):
+        """(number of the first id, token ids) of each document, in order; one block is decoded at a time."""
+        held, first, b = np.empty(0, np.uint64), 0, 0
+        for start, end in zip(self.starts, self.ends, strict=True):
+            parts = [held[start - first :]]
+            have = first + len(held) if len(held) else start
+            while have < end:
+                self.file.seek(int(self.blocks[b][1]))
+                parts.append(decode_block(self.file.read(int(self.blocks[b][3]))))
+                have += len(parts[-1])
+                b += 1
+            held, first = np.concatenate(parts), start
+            yield start, held[: end - start]
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,16 +195,15 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str
 
     Documents are dealt out by ranges of the id, before they are encoded, so that texts and not ids move; each range
     is written by its task into a file of its own, whose name belongs to the attempt. The result, which is written
-    too, is the manifest: (part, path, n_ids, n_bytes, ids), ids being the documents' ids in the file's order.
+    too, is the manifest: (part, path, n_ids, n_bytes).
 
     Nulls: a null text is an empty one and has the end id alone; null ids come first. Rows with equal ids are ordered
     by text. Empty table: no file. A very long text runs over many blocks. Other columns are not read.
     """
     folder = scratch_path(docs.sparkSession, "tokens")
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        encoder, writer, path, ids = WordEncoder(tokenizer), None, None, []
+        encoder, writer, path = WordEncoder(tokenizer), None, None
         for batch in batches:
             for s in range(0, batch.num_rows, 512):
                 part = batch.slice(s, 512)
@@ -194,38 +212,35 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str
                     writer = TokenFileWriter(open_output(path))
                 for data in encoder.encode([x.as_py() for x in part.column(1)]):
                     writer.add(np.append(np.frombuffer(data, "<u4"), np.uint32(end_id)))
-                ids.append(part.column(0))
+                writer.name(part.column(0))
         if writer is not None:
             n_bytes = writer.close()
-            own = pa.concat_arrays(ids)
             rows = [[TaskContext.get().partitionId()], [path], [writer.n_ids], [n_bytes]]
             arrays = [pa.array(x, t) for x, t in zip(rows, (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)]
-            listed = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)
-            yield pa.RecordBatch.from_arrays([*arrays, listed], names=["part", "path", "n_ids", "n_bytes", "ids"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["part", "path", "n_ids", "n_bytes"])
 
     dealt = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
     dealt = dealt.repartitionByRange("id").sortWithinPartitions("id", "t")
-    return materialize(dealt.mapInArrow(run, f"part int, path string, n_ids long, n_bytes long, ids array<{kind}>"), "token-manifest")
+    return materialize(dealt.mapInArrow(run, "part int, path string, n_ids long, n_bytes long"), "token-manifest")
 
 
-def token_index(manifest: DataFrame) -> DataFrame:
-    """(id, start, n_tokens, ids_crc32) of every document, read back from the files. start counts from the first file."""
+def token_index(manifest: DataFrame, kind: str = "long") -> DataFrame:
+    """(id, start, n_tokens, ids_crc32) of every document, read back from the files; ids are of the type kind. start
+    counts from the first file. An empty manifest gives no rows."""
+    # a row for a file, of three numbers: all that a single task puts in order
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    # one row for a file: its place, with the ids that the files before it hold
-    files = manifest.withColumn("before", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)))
-    kind = manifest.schema["ids"].dataType.elementType.simpleString()
+    places = manifest.select("part", "n_ids").withColumn("before", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)))
+    files = manifest.select("part", "path").join(places.select("part", "before"), "part")
 
     def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                ids, path, before = batch.column(0)[i].values, batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
-                out = []
-                with open_input(path) as file:
-                    for start, own in read_documents(file):
-                        out.append((before + start, len(own), zlib.crc32(own.astype("<u4").tobytes())))
-                cols = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([ids, *cols], names=["id", "start", "n_tokens", "ids_crc32"])
+            for path, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with open_input(path) as stream:
+                    file = TokenFile(stream)
+                    out = [(before + start, len(own), zlib.crc32(own.astype("<u4").tobytes())) for start, own in file.documents()]
+                    cols = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
+                    yield pa.RecordBatch.from_arrays([file.names, *cols], names=["id", "start", "n_tokens", "ids_crc32"])
 
     # a number of its own, since the small manifest would else be read by one task
-    spread = files.select("ids", "path", "before").repartition(max(1, manifest.count()), "path")
+    spread = files.select("path", "before").repartition(max(1, manifest.count()), "path")
     return spread.mapInArrow(run, f"id {kind}, start long, n_tokens long, ids_crc32 long")

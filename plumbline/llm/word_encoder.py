@@ -11,8 +11,8 @@ import numpy as np
 THREADS = "2"
 #: Words that the cache keeps in each of its two generations, and the longest word that it keeps.
 KEEP, LONGEST = 500_000, 64
-#: Words that go to the library in one text: what it returns takes many times their bytes.
-TOGETHER = 5_000
+#: Words of one text, and of the texts of one batch: what the library returns takes many times their bytes.
+TEXT, TOGETHER = 500, 5_000
 #: Characters that are neither letters nor digits nor white space.
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -60,8 +60,9 @@ class WordEncoder:
     For byte-pair tokenizers of lower-case words whose last token is marked, and which part words at white space and
     between letters and other characters. ASCII white space is a boundary that no token, normalisation or match
     crosses in them: each distinct word is encoded by the library once and looked up later. New words of small letters,
-    with signs behind or not, go to the library in one text, parted already and without the normaliser, which leaves
-    them as they are; the marked tokens show where each ends. Other words go one by one.
+    with signs behind or not, go to the library in texts of TEXT words, parted already and without the normaliser, which
+    leaves them as they are; the marked tokens show where each ends. Other words are a text each. All texts go in
+    batches, over which the library's threads share.
     """
 
     _cached: dict = {}
@@ -108,10 +109,11 @@ class WordEncoder:
         return list(map(found.__getitem__, words))
 
     def _parted(self, words: list[bytes], apart: list[bytes], parts: list[int], found: dict) -> None:
-        """Encode words in one text, each as many marked tokens as parts says; none if a normaliser could change them."""
-        joined = b" ".join(apart).decode()
-        if words and unicodedata.is_normalized("NFC", joined):
-            ids = np.array(self.parted.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+        """Encode words in a batch of texts, each as many marked tokens as parts says; none if a normaliser could change
+        them."""
+        texts = [b" ".join(apart[k : k + TEXT]).decode() for k in range(0, len(apart), TEXT)]
+        if words and all(unicodedata.is_normalized("NFC", t) for t in texts):
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in self.parted.encode_batch_fast(texts, add_special_tokens=False)])
             ends, last = np.flatnonzero(self.marked[ids]) + 1, np.cumsum(parts)
             if len(ends) == last[-1]:
                 found.update(zip(words, cut(ids, ends[last - 1]), strict=True))

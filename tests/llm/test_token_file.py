@@ -2,6 +2,7 @@ import io
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -43,13 +44,16 @@ def test_files_round_trip(sizes):
     w = T.TokenFileWriter(out)
     for d in docs:
         w.add(d)
+    w.name(pa.array([f"d{k}" for k in range(len(docs))], pa.string()))
     assert w.close() == len(out.data)
 
     class In(io.BytesIO):
         def size(self):
             return len(self.getvalue())
 
-    got = [ids for _, ids in T.read_documents(In(out.data))]
+    file = T.TokenFile(In(out.data))
+    got = [ids for _, ids in file.documents()]
+    assert file.names.to_pylist() == [f"d{k}" for k in range(len(docs))]
     assert len(got) == len(docs) and all((a == b).all() for a, b in zip(got, docs, strict=True))
 
 
@@ -69,6 +73,30 @@ def test_capitals_beside_special_tokens():
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_library_gets_batches_of_many_texts(monkeypatch):
+    encoder = WordEncoder(PATH)
+    sizes = []
+
+    class Spy:
+        def encode_batch_fast(self, texts, **kw):
+            sizes.append(len(texts))
+            return real.encode_batch_fast(texts, **kw)
+
+    real = encoder.parted
+    monkeypatch.setattr(encoder, "parted", Spy())
+    words = [f"{a}{b}{c}zq" for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxyzabcd"] * 3
+    text = " ".join(words)
+    want = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encoder.encode([text.encode()])[0], "<u4").tolist() == want and max(sizes) > 1
+
+
+def test_own_ids_are_read_from_the_files(spark):
+    df = spark.createDataFrame([("b", "x"), ("a", "y z"), (None, "w"), ("a", "a")], "doc_id string, text string")
+    manifest = T.write_token_files(df, PATH, 1)
+    assert manifest.columns == ["part", "path", "n_ids", "n_bytes"]
+    assert sorted((str(r.id), r.start) for r in T.token_index(manifest, "string").collect()) == [("None", 0), ("a", 2), ("a", 4), ("b", 7)]
+
+
 def test_query_against_plain_encoding(spark, tmp_path):
     t = Tokenizer.from_file(PATH)
     texts = [None, "", "Hello world", "x" * 5000, "ab cd " * 60_000, "same", "same", "  \n "]
