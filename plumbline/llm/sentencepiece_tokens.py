@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.word_encoder import TOGETHER, Cache, cut, library
+from plumbline.llm.word_encoder import TEXT, TOGETHER, Cache, cut, library
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -177,24 +177,26 @@ class SentencePieceCodec:
         return [b"".join(map(known.__getitem__, ws)) for ws in parts], same
 
     def _new(self, parts: list[str]) -> list[bytes]:
-        """New parts go to either library in one text: a part begins with a mark behind something else. Other parts,
-        and all if the texts' ids differ, are taken one by one."""
+        """New parts go to the tokenizers library in batches of texts of TEXT parts, over which its threads share: a part
+        begins with a mark behind something else. Other parts, and all of a batch whose ids differ from sentencepiece's
+        or whose borders cannot be told, are texts of their own."""
         plain = [p for p in parts if p[0] == MARK and p[-1] != MARK and JOINT not in p] if self.part else []
         found = {}
         for k in range(0, len(plain), TOGETHER):
             self._joined(plain[k : k + TOGETHER], found)
-        for p in parts if len(found) < len(parts) else ():
-            if p not in found:
-                found[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
-                want = self._reference(p)
-                if found[p] != want:
-                    found[p] = want
+        rest = [p for p in parts if p not in found] if len(found) < len(parts) else []
+        for k in range(0, len(rest), TOGETHER):
+            some = rest[k : k + TOGETHER]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                found[p] = self._reference(p)
+                if np.array(e.ids, "<u4").tobytes() != found[p]:
                     self.differ.add(p)
         return [found[p] for p in parts]
 
     def _joined(self, plain: list[str], found: dict[str, bytes]) -> None:
         if plain:
-            ids = np.array(self.tokenizer.encode_batch_fast([JOINT.join(plain)], add_special_tokens=False)[0].ids, "<u4")
+            texts = [JOINT.join(plain[k : k + TEXT]) for k in range(0, len(plain), TEXT)]
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
             if ids.tobytes() == self._reference("".join(plain)):
                 begins = np.flatnonzero(self.opens[ids[1:]] & ~self.marked[ids[:-1]]) + 1
                 if len(begins) + 1 == len(plain):
