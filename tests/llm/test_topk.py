@@ -30,6 +30,8 @@ def test_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(T, "SHARD", 64)
     monkeypatch.setattr(T, "BLOCK", 4)
     monkeypatch.setattr(T, "STRIP", 32)
+    monkeypatch.setattr(T, "ROW", 2)
+    monkeypatch.setattr(T, "FAN", 2)
     assert run(spark, rows) == brute(rows)
 
 
