@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.components import connected_components
-from plumbline.runtime import materialize
+from plumbline.runtime import materialize, release
 
 BITS = 64
 SEED = 42
@@ -161,7 +161,8 @@ def near_pairs(fps: DataFrame, radius: int = 3, bucket: int = BUCKET) -> DataFra
                 F.col("x.t").alias("t"), F.col("fp").bitwiseAND(F.col("x.m")).alias("key"), "fp"
             )
         limit = bucket if level + 1 < len(tree) else max(bucket, 1 << free)
-        sizes = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
+        # counts are written before they are joined: then both sides are plain shuffles, whose hot buckets can be split
+        sizes = materialize(rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), f"sizes{level}")
         rows = materialize(rows.join(sizes, ["t", "key"]), f"buckets{level}")
         found.append(_close_in_buckets(rows.where(F.col("n") <= limit).select("t", "key", "fp"), radius))
         live, parents = rows.where(F.col("n") > limit).select("t", "key", "fp"), masks
@@ -188,15 +189,22 @@ def simhash_components(
     edges = near_pairs(classes.select("fp"), radius)
     comps = connected_components(edges, "a", "b")
     of_class = classes.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    smallest = of_class.groupBy("component").agg(F.min("first").alias("component_id"))
-    of_class = of_class.join(smallest, "component").select("fp", "component_id")
+    of_class = materialize(of_class, "class-components")
+    smallest = materialize(of_class.groupBy("component").agg(F.min("first").alias("component_id")), "smallest")
+    of_class = materialize(of_class.join(smallest, "component").select("fp", "component_id"), "class-ids")
+    release(docs.sparkSession, smallest)
     return fp.join(of_class, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of its component, with the others gone; rows with a null id stay."""
-    found = simhash_components(docs, id_col, text_col)
-    gone = materialize(found.where(F.col(id_col) > F.col("component_id")).select(id_col).distinct(), "copies")
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    """The rows of docs whose id is the smallest of its component, with the others gone; rows with a null id stay.
+
+    A null text has fingerprint zero like a text without words, and is linked like any other. Rows that share an id
+    go together if one of them has a smaller id in its component. Empty table: no rows. Columns of docs may have any
+    names.
+    """
+    found = simhash_components(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), "id", "t")
+    gone = materialize(found.where(F.col("id") > F.col("component_id")).select(F.col("id").alias(id_col)).distinct(), "copies")
+    return docs.join(gone, docs[id_col] == gone[id_col], "left_anti")

@@ -95,3 +95,26 @@ def test_empty_and_clashing_columns(spark):
 
 if __name__ == "__main__":
     pytest.main([__file__, "-q"])
+
+
+def test_hot_buckets_can_be_split(spark):
+    """Both sides of the join by bucket are plain shuffles of tables, with no aggregation directly below."""
+    d = spark.createDataFrame([(i, f"a b c d {i}") for i in range(40)], "doc_id long, text string")
+    fps = S.fingerprints(d).select("fp").distinct()
+    seen = []
+    real = S.materialize
+    S.materialize = lambda df, tag: seen.append((tag, df._jdf.queryExecution().optimizedPlan().toString())) or real(df, tag)
+    try:
+        S.near_pairs(fps).count()
+    finally:
+        S.materialize = real
+    plan = next(p for tag, p in seen if tag == "buckets0")
+    assert "Join" in plan and "Aggregate" not in plan.split("Join", 1)[1].split("Relation")[-1]
+
+
+def test_keep_one_with_any_names(spark):
+    rows = [(2, "same text here now", "x", 1), (1, "same text here now", "y", 2), (None, "same text here now", "z", 3), (3, None, "w", 4), (4, "", "v", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id string, t int").selectExpr("*", "1 AS fp", "2 AS component_id", "3 AS fingerprint")
+    got = S.keep_one(df)
+    assert got.columns == df.columns and sorted(map(str, (r.doc_id for r in got.collect()))) == ["1", "3", "None"]
+    assert S.keep_one(df.limit(0)).count() == 0
