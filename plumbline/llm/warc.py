@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.runtime import materialize, scratch_path
+from plumbline.runtime import materialize, release, scratch_path
 from plumbline.sources.store import delete, open_input, open_output
 
 DATE = "2000-01-01T00:00:00Z"
@@ -127,56 +127,107 @@ def read_index(uri: str):
         return list(ENTRY.iter_unpack(f.read()))
 
 
-def page_records(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, length, sha1, keep, payload): what each record holds; payload is null for revisits.
+FACTS = "page_id long, url string, sha1 string, length long, spool string, at long, size long"
 
-    Equal payloads of min_bytes at least are found by SHA-1 and length; keep is their largest page id. Only payloads
-    that are stored move between executors, dealt out by page.
-    """
+
+def spool_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """FACTS of every page, written: its payload's SHA-1 and length, and where the payload lies, deflated, in a file of
+    its task in the shared store. So payloads stay where they were read, and only facts move between executors."""
+    folder = scratch_path(pages.sparkSession, "spool")
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     body = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    body = body.withColumn("sha1", F.sha1("payload")).withColumn("length", F.octet_length("payload").cast("long"))
-    facts = body.select("page_id", "url", "sha1", "length")
-    kept = facts.groupBy("sha1", "length").agg(F.max("page_id").alias("keep"))
-    kept = kept.withColumn("keep", F.when(F.col("length") >= min_bytes, F.col("keep")))
-    told = facts.join(kept, ["sha1", "length"])
-    stays = (F.col("length") < min_bytes) | F.col("page_id").eqNullSafe(F.col("keep"))
-    revisits = told.where(~stays).withColumn("payload", F.lit(None).cast("binary"))
-    small = body.where(F.col("length") < min_bytes).withColumn("keep", F.lit(None).cast("long"))
-    first = kept.where(F.col("length") >= min_bytes).select(F.col("sha1").alias("k_sha1"), F.col("length").alias("k_length"), "keep")
-    same = (F.col("sha1") == F.col("k_sha1")) & (F.col("length") == F.col("k_length")) & F.col("page_id").eqNullSafe(F.col("keep"))
-    large = body.where(F.col("length") >= min_bytes).join(first, same)
-    cols = ["page_id", "url", "length", "sha1", "keep", "payload"]
-    return large.select(*cols).unionByName(small.select(*cols)).unionByName(revisits.select(*cols))
+
+    def run(batches):
+        path = f"{folder}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.z"
+        out, at = None, 0
+        for batch in batches:
+            for s in range(0, batch.num_rows, 256):
+                part = batch.slice(s, 256)
+                out = out or open_output(path)
+                rows = []
+                for data in part.column(2):
+                    data = data.as_py()
+                    held = zlib.compress(data, 1)
+                    out.write(held)
+                    rows.append((hashlib.sha1(data).hexdigest(), len(data), path, at, len(held)))
+                    at += len(held)
+                kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], names=[x.split()[0] for x in FACTS.split(", ")])
+        if out is not None:
+            out.close()
+
+    return materialize(body.mapInArrow(run, FACTS), "page-facts")
+
+
+def page_records(facts: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """FACTS with keep and stored: what each record holds. Equal payloads of min_bytes at least are found by SHA-1 and
+    length; keep is their largest page id, and only its records are stored with their payload."""
+    kept = facts.where(F.col("length") >= min_bytes).groupBy("sha1", "length").agg(F.max("page_id").alias("keep"))
+    # written before it is joined: then both sides are plain shuffles, whose hot digests can be split
+    kept = materialize(kept, "kept")
+    told = facts.join(kept, ["sha1", "length"], "left")
+    stored = (F.col("length") < min_bytes) | F.col("page_id").eqNullSafe(F.col("keep"))
+    return told.withColumn("stored", stored)
 
 
 MANIFEST = "path string, n long, bytes long"
 
 
 def write_archives(records: DataFrame, level: int = 1) -> DataFrame:
-    """Write each partition's records as one gzip stream; the manifest of the files, written too."""
+    """Write the records of each spool file as one gzip stream; the manifest of the archives, written too. The spool
+    files go."""
     folder = scratch_path(records.sparkSession, "warc")
+    columns = ["page_id", "url", "length", "sha1", "keep", "stored", "spool", "at", "size"]
 
     def run(batches):
-        path = out = None
+        source = spool = path = out = deflate = None
         n = size = 0
-        deflate = zlib.compressobj(level, zlib.DEFLATED, 31)
+
+        def end():
+            data = deflate.flush()
+            out.write(data)
+            out.close()
+            spool.close()
+            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n]), pa.array([size + len(data)])], names=["path", "n", "bytes"])
+
         for batch in batches:
             for i in range(batch.num_rows):
-                page_id, url, length, sha1, keep, payload = (batch.column(j)[i].as_py() for j in range(6))
-                if out is None:
-                    path = f"{folder}/whole-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
-                    out = open_output(path)
+                page_id, url, length, sha1, keep, stored, own, at, held = (batch.column(j)[i].as_py() for j in range(9))
+                if own != source:
+                    if out is not None:
+                        yield end()
+                    source, spool = own, open_input(own)
+                    path = f"{folder}/whole-{uuid.uuid4().hex}.warc.gz"
+                    out, deflate, n, size = open_output(path), zlib.compressobj(level, zlib.DEFLATED, 31), 0, 0
+                payload = None
+                if stored:
+                    spool.seek(at)
+                    payload = zlib.decompress(spool.read(held))
                 data = deflate.compress(build_record(page_id, url, base32_sha1(sha1), length, payload, keep))
                 out.write(data)
                 n, size = n + 1, size + len(data)
         if out is not None:
-            data = deflate.flush()
-            out.write(data)
-            out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n]), pa.array([size + len(data)])], names=["path", "n", "bytes"])
+            yield end()
+
+    # a task for each spool file, if their names fall so; without a number so small a table would go to one task
+    files = max(1, records.select("spool").distinct().count())
+    dealt = records.select(*columns).repartition(files, "spool").sortWithinPartitions("spool", "at")
+    out = materialize(dealt.mapInArrow(run, MANIFEST), "warc-whole")
+    _remove(records.select(F.col("spool").alias("path")).distinct())
+    return out
 
-    return materialize(records.mapInArrow(run, MANIFEST), "warc-whole")
+
+def _remove(paths: DataFrame) -> None:
+    """Delete the files; a task that runs twice finds some gone, which is no error."""
+
+    def remove(batches):
+        for batch in batches:
+            for source in batch.column(0).to_pylist():
+                delete(source)
+            yield batch
+
+    paths.select("path").mapInArrow(remove, "path string").write.format("noop").mode("overwrite").save()
 
 
 def _spread(manifest: DataFrame) -> DataFrame:
@@ -194,14 +245,8 @@ def normalise_archives(manifest: DataFrame, level: int = 4) -> DataFrame:
                 n, size = normalise(source, target, level)
                 yield pa.RecordBatch.from_arrays([pa.array([target]), pa.array([n]), pa.array([size])], names=["path", "n", "bytes"])
 
-    def remove(batches):
-        for batch in batches:
-            for source in batch.column(0).to_pylist():
-                delete(source)
-            yield batch
-
     out = materialize(_spread(manifest).mapInArrow(run, MANIFEST), "warc-records")
-    manifest.select("path").mapInArrow(remove, "path string").write.format("noop").mode("overwrite").save()
+    _remove(manifest)
     return out
 
 
@@ -247,4 +292,9 @@ def archive_pages(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id",
     beside others. Rows that repeat the largest page id and its payload are all responses. Empty table: no archive.
     A payload is held whole by a task; a file is not. Other columns are not read.
     """
-    return normalise_archives(write_archives(page_records(pages, min_bytes, id_col, url_col, html_col)))
+    facts = spool_pages(pages, id_col, url_col, html_col)
+    told = materialize(page_records(facts, min_bytes), "page-records")
+    release(pages.sparkSession, facts)
+    whole = write_archives(told)
+    release(pages.sparkSession, told)
+    return normalise_archives(whole)
