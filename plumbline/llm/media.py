@@ -29,14 +29,17 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
 
-def filtered(rows: np.ndarray, kind: int) -> np.ndarray:
-    """The scanlines with their filter byte, under one of PNG's five filters."""
+def _shifted(rows: np.ndarray, bpp: int):
+    """The samples to the left, above, and above to the left; those outside of the image are 0."""
     left, up, corner = (np.zeros_like(rows) for _ in range(3))
-    left[:, CHANNELS:] = rows[:, :-CHANNELS]
+    left[:, bpp:] = rows[:, :-bpp]
     up[1:] = rows[:-1]
-    corner[1:, CHANNELS:] = rows[:-1, :-CHANNELS]
-    guess = (np.zeros_like(rows), left, up, ((left.astype(int) + up) // 2).astype(np.uint8), _paeth(left, up, corner))[kind]
-    return np.concatenate([np.full((len(rows), 1), kind, np.uint8), rows - guess], axis=1)
+    corner[1:, bpp:] = rows[:-1, :-bpp]
+    return left, up, corner
+
+
+def _half(a, b):
+    return ((a.astype(np.uint16) + b) >> 1).astype(np.uint8)
 
 
 def _paeth(a, b, c):
@@ -46,32 +49,59 @@ def _paeth(a, b, c):
     return np.where((pa_ <= pb) & (pa_ <= pc), a, np.where(pb <= pc, b, c)).astype(np.uint8)
 
 
+def filtered(rows: np.ndarray, kind: int | None = None) -> np.ndarray:
+    """The scanlines with their filter byte, under one of PNG's five filters, or each under the one that leaves it the
+    fewest distinct bytes, the first if several do: those deflate packs best."""
+    left, up, corner = _shifted(rows, CHANNELS)
+    guesses = (np.zeros_like(rows), left, up, _half(left, up), _paeth(left, up, corner))
+    if kind is not None:
+        return np.concatenate([np.full((len(rows), 1), kind, np.uint8), rows - guesses[kind]], axis=1)
+    lines = np.stack([rows - g for g in guesses])
+    in_order = np.sort(lines, axis=2)
+    kinds = np.argmin((in_order[:, :, 1:] != in_order[:, :, :-1]).sum(axis=2), axis=0).astype(np.uint8)
+    return np.concatenate([kinds[:, None], lines[kinds, np.arange(len(rows))]], axis=1)
+
+
 def unfiltered(lines: np.ndarray, bpp: int) -> np.ndarray:
-    """The samples of filtered scanlines. Rows without filter, or with that of the left, take one step together."""
+    """The samples of filtered scanlines.
+
+    Rows without filter or with that of the left are sums along the row, rows with that above take the row above. From
+    the first row on that needs both, pixels are taken along diagonals: those whose place and row add up to one
+    number depend on earlier diagonals only, and are one step for all rows.
+    """
     kinds, rows = lines[:, 0], lines[:, 1:].copy()
     if kinds.max(initial=0) > 4:
         raise ValueError("unknown PNG filter")
+    height, width = len(rows), rows.shape[1] // bpp
     sub = kinds == 1
     if sub.any():
         rows[sub] = np.cumsum(rows[sub].reshape(sub.sum(), -1, bpp), axis=1, dtype=np.uint8).reshape(sub.sum(), -1)
-    above = np.zeros(rows.shape[1], np.uint8)
-    for i in np.flatnonzero(kinds > 1):
+    mixed = np.flatnonzero(kinds > 2)
+    simple = mixed[0] if len(mixed) else height
+    for i in np.flatnonzero(kinds[:simple] == 2):
         if i:
-            above = rows[i - 1]
-        if kinds[i] == 2:
-            rows[i] += above
-            continue
-        left, corner = np.zeros(bpp, np.uint8), np.zeros(bpp, np.uint8)
-        for x in range(0, rows.shape[1], bpp):
-            up = above[x : x + bpp]
-            guess = ((left.astype(int) + up) // 2).astype(np.uint8) if kinds[i] == 3 else _paeth(left, up, corner)
-            rows[i, x : x + bpp] += guess
-            left, corner = rows[i, x : x + bpp], up
+            rows[i] += rows[i - 1]
+    if simple < height:
+        # a border of zeros, or the last simple row, above and to the left
+        own, n = kinds[simple:], height - simple
+        out = np.zeros((n + 1, width + 1, bpp), np.uint8)
+        if simple:
+            out[0, 1:] = rows[simple - 1].reshape(width, bpp)
+        out[1:, 1:] = rows[simple:].reshape(n, width, bpp)
+        for t in range(n + width - 1):
+            r = np.arange(max(0, t - width + 1), min(n, t + 1))
+            x = t - r
+            kind = own[r][:, None]
+            left, up, corner = out[r + 1, x], out[r, x + 1], out[r, x]
+            guess = np.where(kind == 2, up, np.where(kind == 3, _half(left, up), np.where(kind == 4, _paeth(left, up, corner), 0)))
+            out[r + 1, x + 1] += guess.astype(np.uint8)
+        rows[simple:] = out[1:, 1:].reshape(n, -1)
     return rows
 
 
-def encode_png(payload: bytes, filter_kind: int = 0, level: int = 6) -> bytes:
-    """An 8-bit RGB image of WIDTH pixels a row whose samples are the payload, a positive multiple of ROW bytes."""
+def encode_png(payload: bytes, filter_kind: int | None = None, level: int = 6) -> bytes:
+    """An 8-bit RGB image of WIDTH pixels a row whose samples are the payload, a positive multiple of ROW bytes; without
+    filter_kind each row has a filter of its own."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
     data = zlib.compress(filtered(rows, filter_kind).tobytes(), level)
     head = struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 2, 0, 0, 0)
@@ -117,7 +147,7 @@ def cosine_hash(samples: np.ndarray) -> bytes:
     return np.packbits(low > np.median(low[1:])).tobytes()
 
 
-def to_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_kind: int = 0, level: int = 6) -> DataFrame:
+def to_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_kind: int | None = None, level: int = 6) -> DataFrame:
     """(id, n_bytes, media): each text's UTF-8 bytes, padded to whole image rows, as a PNG in a binary column.
 
     Nulls: a null text is an empty one, an image of one row of spaces; a null id is kept. Repeated rows give equal
