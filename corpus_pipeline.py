@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from plumbline.llm.mixing import mix, repeat_documents
+from plumbline.llm.mixing import repeat_documents
 from plumbline.llm.sentencepiece_tokens import encode_sentencepiece
 from plumbline.llm.simhash import keep_one
 from plumbline.llm.substrings import strip_repeats
 from plumbline.llm.toxicity import drop_toxic, fit
-from plumbline.runtime import materialize, table
+from plumbline.runtime import materialize, release, table
 
 
 def toxicity(spark, docs, sf_dir):
@@ -33,7 +33,7 @@ def repeated_passages(spark, docs, sf_dir):
 
 def source_mix(spark, docs, sf_dir):
     """Documents come as often as their source's target says."""
-    return repeat_documents(docs, mix(docs))
+    return repeat_documents(docs)
 
 
 def token_ids(spark, docs, sf_dir):
@@ -56,7 +56,8 @@ ORACLE_SQL = None
 def run(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
