@@ -31,12 +31,13 @@ ORDER, DECAY = 4, 0.7
 #: Landmarks' number and longest length, and characters of a stretch of a long word.
 LANDMARKS, LONGEST, WINDOW = 32, 12, 32
 #: Characters of a word whose kernel with itself is computed at once.
-PIECE = 256
+PIECE = 64
 #: Training documents of either label that are used at most, and the characters at which no further one is taken.
 DOCS, CHARS = 3000, 8 << 20
 #: Weight of the words with a sign put in, where toxic and clean sentences weigh 2000 each.
 GAPPED = 100.0
-KEEP = 200_000
+#: Words whose kernels a worker keeps, and pairs of a word and a landmark that are computed together, in cache.
+KEEP, TOGETHER = 200_000, 1024
 #: Letters one by one, with at most one sign or space between: they are read as a word as well.
 SPACED = re.compile(r"(?<![^\W\d_])[^\W\d_](?:[ .*_\-][^\W\d_]){3,}(?![^\W\d_])")
 #: A word of letters with a few signs within, which is read without them as well.
@@ -47,26 +48,33 @@ def words_matrix(words: list[str], width: int, fill: str = "\0") -> np.ndarray:
     return np.frombuffer("".join(w[:width].ljust(width, fill) for w in words).encode("utf-32-le", "replace"), "<u4").reshape(-1, width)
 
 
-def faded_sums(x: np.ndarray, decay: float) -> np.ndarray:
-    """Along each row y[k] = decay * y[k - 1] + x[k], by doubling until what is further back weighs nothing."""
-    y, step = x.copy(), 1
-    while step < x.shape[1] and decay**step > 1e-20:
-        y[:, step:] += decay**step * y[:, :-step]
+def fade_along(x: np.ndarray, decay: float) -> None:
+    """x[k] += decay * x[k - 1], row after row; rows that are many and short are added by doubling, until what is
+    further back weighs nothing."""
+    if len(x) <= 64:
+        for k in range(1, len(x)):
+            x[k] += decay * x[k - 1]
+        return
+    step = 1
+    while step < len(x) and decay**step > 1e-20:
+        x[step:] += decay**step * x[:-step]
         step *= 2
-    return y
 
 
 def pair_kernel(a: np.ndarray, b: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
     """The kernel of row i of a with row i of b; the rows are padded with characters that match nothing."""
-    n, width = b.shape
-    partial = [np.ones((n, width + 1))] + [np.zeros((n, width + 1)) for _ in range(order - 1)]
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    width, n = b.shape
+    partial = [np.ones((width + 1, n))] + [np.zeros((width + 1, n)) for _ in range(order - 1)]
     out = np.zeros(n)
-    for j in range(a.shape[1]):
-        match = (b == a[:, j : j + 1]) * decay**2
-        out += (match * partial[order - 1][:, :width]).sum(axis=1)
+    for letters in a:
+        match = (b == letters) * decay**2
+        out += (match * partial[order - 1][:width]).sum(axis=0)
         for i in range(order - 1, 0, -1):
+            step = match * partial[i - 1][:width]
+            fade_along(step, decay)
             partial[i] *= decay
-            partial[i][:, 1:] += faded_sums(match * partial[i - 1][:, :width], decay)
+            partial[i][1:] += step
     return out
 
 
@@ -93,22 +101,35 @@ class Kernel:
         """(words, landmarks): the kernels, normalised to 1 for equal words."""
         out = np.zeros((len(words), len(self.landmarks)))
         self._fill(words_matrix([w if len(w) <= WINDOW else "" for w in words], WINDOW), out)
-        for i in (i for i, w in enumerate(words) if len(w) > WINDOW):
-            out[i] = self._long(words[i])
+        long = [i for i, w in enumerate(words) if len(w) > WINDOW]
+        if long:
+            self._long([words[i] for i in long], long, out)
         return out
 
-    def _long(self, word: str) -> np.ndarray:
-        """A long word's kernels: of the whole, or of its best stretch. The whole word's kernel with itself is that of
+    def _long(self, words: list[str], rows: list[int], out: np.ndarray) -> None:
+        """Long words' kernels: of the whole, or of its best stretch. The whole word's kernel with itself is that of
         its pieces of PIECE characters added up, which is the kernel for words up to that length and no more beyond."""
-        letters = words_matrix([word], len(word))[0]
-        pieces = [letters[None, s : s + PIECE] for s in range(0, len(letters), PIECE)]
-        own = np.sqrt(sum(float(pair_kernel(x, x)[0]) for x in pieces))
-        # the landmarks are short, so that they are walked along and the word is the row
+        pieces = [(k, w[s : s + PIECE]) for k, w in enumerate(words) for s in range(0, len(w), PIECE)]
+        own = np.bincount([k for k, _ in pieces], self._self([x for _, x in pieces], PIECE))
         marks = words_matrix(self.landmarks, LONGEST)
-        whole = np.array([pair_kernel(m[None, m > 0], letters[None, :])[0] for m in marks]) / (self.own * max(own, 1e-6))
-        stretches = np.zeros((max(1, -(-len(word) // (WINDOW // 2))), len(self.landmarks)))
-        self._fill(words_matrix([word[k : k + WINDOW] for k in range(0, len(word), WINDOW // 2)], WINDOW), stretches)
-        return np.maximum(whole, stretches.max(axis=0))
+        for row, word, square in zip(rows, words, own, strict=True):
+            letters = words_matrix([word], len(word))
+            # the landmarks are short, so that they are walked along and the word is what is passed over
+            some = max(1, (1 << 20) // len(word))
+            for m in range(0, len(marks), some):
+                walked = np.where(marks > 0, marks, 0xFFFFFFFF)[m : m + some]
+                out[row, m : m + some] = pair_kernel(walked, np.broadcast_to(letters, (len(walked), len(word))))
+            out[row] /= self.own * np.sqrt(max(square, 1e-12))
+        stretches = [(row, w[s : s + WINDOW]) for row, w in zip(rows, words, strict=True) for s in range(0, len(w), WINDOW // 2)]
+        part = np.zeros((len(stretches), len(self.landmarks)))
+        self._fill(words_matrix([x for _, x in stretches], WINDOW), part)
+        np.maximum.at(out, [row for row, _ in stretches], part)
+
+    @staticmethod
+    def _self(words: list[str], width: int) -> np.ndarray:
+        """The words' kernels with themselves."""
+        a = words_matrix(words, width)
+        return pair_kernel(a, np.where(a > 0, a, 1))
 
     @staticmethod
     def _norms(rows, r, width):
@@ -130,8 +151,8 @@ class Kernel:
             left[:live] = (v + u) | (v - u)
         common = np.bitwise_count(~left & self.full)
         row, col = np.nonzero(common >= ORDER)
-        for s in range(0, len(row), 1 << 15):
-            r, c = order[row[s : s + (1 << 15)]], col[s : s + (1 << 15)]
+        for s in range(0, len(row), TOGETHER):
+            r, c = order[row[s : s + TOGETHER]], col[s : s + TOGETHER]
             width = int(lengths[r].max())
             out[r, c] = pair_kernel(rows[r][:, :width], self.matrix[c]) / (self.own[c] * self._norms(rows, r, width))
 
