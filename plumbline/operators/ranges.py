@@ -5,14 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.runtime import materialize
+
 
 def run_length_ranges(df: DataFrame, groups: list[str], order: str, value: str) -> DataFrame:
     """(groups, value, start, end, n): runs in which order goes up by one and value stays the same.
 
-    order holds integers without repeats within a group; a hole ends a run. A null value is a value of its own. Other
-    columns are not read.
+    Rows are dealt out by ranges of groups and order, so that a group of any size is many tasks' work; runs that touch
+    a border of their range, two for each range and group at most, are stitched together afterwards. order holds
+    integers; a hole ends a run; rows that repeat an order and a value are one place of the run, counted in n. Nulls in
+    groups and value are values of their own; a null order takes no part. Other columns are not read. Empty table: no rows.
     """
-    same = Window.partitionBy(*groups, value).orderBy(order)
-    rows = df.select(*groups, value, order, (F.col(order) - F.row_number().over(same)).alias("_island"))
-    ranges = rows.groupBy(*groups, value, "_island").agg(F.min(order).alias("start"), F.max(order).alias("end"), F.count("*").alias("n"))
-    return ranges.drop("_island")
+    keys = [*groups, value]
+    dealt = df.where(F.col(order).isNotNull()).select(*keys, F.col(order).cast("long").alias("_at"))
+    dealt = materialize(dealt.repartitionByRange(*groups, "_at").withColumn("_range", F.spark_partition_id()), "ranges")
+    same = Window.partitionBy("_range", *keys).orderBy("_at")
+    inside = dealt.withColumn("_island", F.col("_at") - F.dense_rank().over(same))
+    runs = inside.groupBy("_range", *keys, "_island").agg(F.min("_at").alias("start"), F.max("_at").alias("end"), F.count("*").alias("n"))
+    of_range = Window.partitionBy("_range", *groups)
+    runs = runs.withColumns({"_lo": F.min("start").over(of_range), "_hi": F.max("end").over(of_range)})
+    runs = materialize(runs.withColumn("_border", (F.col("start") == F.col("_lo")) | (F.col("end") == F.col("_hi"))).drop("_lo", "_hi", "_island"), "runs")
+    out = [*keys, "start", "end", "n"]
+    by_start = Window.partitionBy(*keys).orderBy("start", "end")
+    before = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    border = runs.where("_border").withColumn("_new", F.coalesce((F.col("start") > before + 1).cast("int"), F.lit(1)))
+    border = border.withColumn("_run", F.sum("_new").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
+    stitched = border.groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"))
+    return runs.where("NOT _border").select(*out).unionByName(stitched.select(*out))

@@ -32,3 +32,21 @@ def global_rank(df: DataFrame, order: list[Column], out: str = "rank", total: st
         inner = own.rowsBetween(Window.unboundedPreceding, -1)
         out_df = out_df.withColumn(before, F.coalesce(F.sum(amount).over(inner), F.lit(0)) + F.col("_t0"))
     return out_df.drop("_range", "_n0", "_t0")
+
+
+def global_running(df: DataFrame, order: list[Column], value: Column, how: str, out: str) -> DataFrame:
+    """Add the running min, max or sum of value, in a total order of all rows, each row included.
+
+    Ranges of the order run by themselves; what the earlier ones give, one row for each, is put in. Nulls in value
+    don't count. Rows that tie in the whole order run in any order.
+    """
+    fold = {"min": F.min, "max": F.max, "sum": F.sum}[how]
+    dealt = df.withColumn("_v", value).repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    dealt = materialize(dealt, "running")
+    each = dealt.groupBy("_range").agg(fold("_v").alias("_f"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.select("_range", fold("_f").over(earlier).alias("_before"))
+    own = fold("_v").over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    joined = dealt.join(each, "_range").withColumn("_own", own)
+    both = {"min": F.least("_own", "_before"), "max": F.greatest("_own", "_before"), "sum": F.coalesce(F.col("_own"), F.lit(0)) + F.coalesce(F.col("_before"), F.lit(0))}[how]
+    return joined.withColumn(out, both).drop("_v", "_range", "_before", "_own")

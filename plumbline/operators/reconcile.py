@@ -10,8 +10,8 @@ def reconcile(parent: DataFrame, repair: DataFrame, repaired: DataFrame, cell: l
     """(cell, identity, origin, variants, conflict, removed) of every match of either side.
 
     repaired holds the cells that were repaired, with a boolean complete. A complete repair replaces its cell's matches:
-    what only the parent has there is removed. A partial one adds to them. Equal details collapse; different details of
-    one identity are all kept, as a conflict. Keys compare null-safe by their place in one grouping.
+    what only the parent has there is removed and has no variant. A partial one adds to them. Equal details collapse;
+    different details of one identity are all kept, as a conflict. Keys compare null-safe by their place in one grouping.
     """
     keys = cell + identity
     detail = F.to_json(F.struct(*details), {"ignoreNullFields": "false"})
@@ -19,7 +19,6 @@ def reconcile(parent: DataFrame, repair: DataFrame, repaired: DataFrame, cell: l
     folded = both.groupBy(*keys).agg(
         F.array_join(F.sort_array(F.collect_set("_o")), "+").alias("origin"),
         F.sort_array(F.collect_set("_d")).alias("_all"),
-        F.sort_array(F.collect_set(F.when(F.col("_o") == "repair", F.col("_d")))).alias("_new"),
     )
     state = repaired.select(*[F.col(c).alias(f"_{c}") for c in cell], "complete")
     on = None
@@ -27,7 +26,6 @@ def reconcile(parent: DataFrame, repair: DataFrame, repaired: DataFrame, cell: l
         same = F.col(c).eqNullSafe(F.col(f"_{c}"))
         on = same if on is None else on & same
     folded = folded.join(state, on, "left").withColumn("complete", F.coalesce("complete", F.lit(False)))
-    variants = F.when(F.col("complete") & (F.size("_new") > 0), F.col("_new")).otherwise(F.col("_all"))
-    return folded.select(
-        *keys, "origin", variants.alias("variants"), (F.size(variants) > 1).alias("conflict"), (F.col("complete") & (F.col("origin") == "parent")).alias("removed")
-    )
+    removed = F.col("complete") & (F.col("origin") == "parent")
+    variants = F.when(removed, F.array().cast("array<string>")).otherwise(F.col("_all"))
+    return folded.select(*keys, "origin", variants.alias("variants"), (F.size(variants) > 1).alias("conflict"), removed.alias("removed"))

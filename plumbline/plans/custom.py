@@ -94,7 +94,7 @@ def sta03_fisher_by_language(spark, sf_dir):
 
 def txt12_structured_scan(spark, sf_dir):
     cells = table(spark, sf_dir, "events").select("event_id", "props")
-    return scan_structured(cells, "event_id", "props").select("id", "status", F.size("fields").cast("long").alias("n_fields"))
+    return scan_structured(cells, "event_id", "props").select("id", "status", F.size("matches").cast("long").alias("n_matches"))
 
 
 def txt11_reconcile(spark, sf_dir):

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plumbline.plans import census, custom, relational
+from plumbline.plans import census, custom, linkage, relational
 
-MODULES = (census, relational, custom)
+MODULES = (census, relational, custom, linkage)
 
 
 def queries() -> dict:

@@ -20,9 +20,6 @@ STATEMENTS: dict[str, str | tuple[str, str]] = {
                CASE WHEN o.o_orderkey IS NOT NULL AND s.s_suppkey IS NOT NULL THEN 'both'
                     WHEN o.o_orderkey IS NOT NULL THEN 'order_only' WHEN s.s_suppkey IS NOT NULL THEN 'supplier_only' ELSE 'none' END AS method
         FROM {lineitem} l LEFT JOIN {orders} o ON l.l_orderkey = o.o_orderkey LEFT JOIN {supplier} s ON l.l_suppkey = s.s_suppkey""",
-    "jon03_unique_alias": """
-        SELECT c_nationkey, c_mktsegment, min(c_custkey) AS only_custkey FROM {customer}
-        GROUP BY c_nationkey, c_mktsegment HAVING count(DISTINCT c_custkey) = 1""",
     "jon04_unambiguous_links": """
         SELECT s.s_suppkey, c.c_custkey FROM {supplier} s JOIN {customer} c ON s.s_nationkey = c.c_nationkey AND floor(s.s_acctbal / 500) = floor(c.c_acctbal / 500)
         WHERE NOT EXISTS (SELECT 1 FROM (SELECT c_nationkey AS n, floor(c_acctbal / 500) AS b FROM {customer} GROUP BY 1, 2 HAVING count(*) > 1) a
@@ -39,8 +36,6 @@ STATEMENTS: dict[str, str | tuple[str, str]] = {
                CAST(sum(CASE WHEN c.c_nationkey <> s.s_nationkey THEN 1 ELSE 0 END) AS BIGINT) AS conflicts
         FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey JOIN {customer} c ON o.o_custkey = c.c_custkey
         JOIN {supplier} s ON l.l_suppkey = s.s_suppkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey GROUP BY 1""",
-    "jon11_null_tolerant_links": """
-        SELECT d.doc_id, l.toxic FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id AND (d.source IS NULL OR l.quality IS NULL OR l.quality >= 0)""",
     "jon12_exact_then_cross": """
         SELECT e.event_id, CASE WHEN x.o_orderkey IS NOT NULL THEN 'exact' WHEN y.k IS NOT NULL THEN 'cross_reference' ELSE 'orphan' END AS status
         FROM {events} e LEFT JOIN {orders} x ON e.event_id = x.o_orderkey AND e.user_id = x.o_custkey
@@ -50,8 +45,6 @@ STATEMENTS: dict[str, str | tuple[str, str]] = {
           SELECT CASE WHEN c.n IS NULL THEN 'orphan' WHEN c.n > 1 AND c.k > 1 THEN 'ambiguous_repository' WHEN c.lo <> s.s_nationkey THEN 'repository_conflict' ELSE 'linked' END AS status
           FROM {supplier} s LEFT JOIN (SELECT c_custkey % 100 AS id, count(*) AS n, count(DISTINCT c_nationkey) AS k, min(c_nationkey) AS lo FROM {customer} GROUP BY 1) c ON s.s_suppkey = c.id) a
         GROUP BY status""",
-    "jon14_one_sided_pairs": """
-        SELECT l_partkey, l_suppkey, min(l_linestatus) AS seen_from FROM {lineitem} GROUP BY l_partkey, l_suppkey HAVING count(DISTINCT l_linestatus) = 1""",
     "jon16_reasons_of_rejection": """
         SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'no_label' WHEN l.toxic = 1 THEN 'toxic' WHEN l.quality = 0 THEN 'low_quality' ELSE 'accepted' END AS reason
         FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id""",
@@ -185,16 +178,11 @@ STATEMENTS: dict[str, str | tuple[str, str]] = {
     "set01_union_all": "SELECT o_custkey AS k, 'order' AS origin FROM {orders} UNION ALL SELECT user_id, 'event' FROM {events}",
     "set02_union_distinct": "SELECT o_custkey AS k FROM {orders} UNION SELECT user_id FROM {events}",
     "set03_intersection": "SELECT o_custkey AS k FROM {orders} INTERSECT SELECT user_id FROM {events}",
-    "set04_difference": "SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey FROM {orders}",
+    "set04_difference": "SELECT l_partkey AS k FROM {lineitem} WHERE l_quantity > 25 EXCEPT SELECT l_partkey FROM {lineitem} WHERE l_quantity <= 10",
     "set10_matched_units": "SELECT source FROM {documents} WHERE lang IN ('en', 'de', 'fr') GROUP BY source HAVING count(DISTINCT lang) = 3",
     "set11_conflict_drop": """
         SELECT d.text, min(d.doc_id) AS doc_id FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY d.text HAVING count(DISTINCT l.toxic) = 1""",
     # ---- projections and scalar functions
-    "prj02_url_identity": (
-        "SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host, regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) AS path FROM {pages}",
-        "SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host, regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) AS path FROM pages",
-    ),
-    "prj05_qualified_key": "SELECT c_custkey, concat(CAST(c_nationkey AS VARCHAR(20)), '#', c_name) AS qualified FROM {customer}",
     "prj06_value_quality": """
         SELECT doc_id, CASE WHEN text IS NULL THEN 'null' WHEN length(text) = 0 THEN 'empty' WHEN length(text) < 20 THEN 'short' WHEN n_chars <> length(text) THEN 'length_conflict' ELSE 'valid' END AS status FROM {documents}""",
     "fun02_stable_id": (
@@ -244,18 +232,15 @@ STATEMENTS: dict[str, str | tuple[str, str]] = {
         SELECT source, (t - s) / (n - k) AS effect_without FROM (
           SELECT source, s, k, sum(s) OVER () AS t, sum(k) OVER () AS n FROM (
             SELECT d.source, CAST(sum(l.toxic) AS DOUBLE) AS s, CAST(count(*) AS DOUBLE) AS k FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY d.source) a) b""",
-    "sta17_classification_metrics": """
-        SELECT tp / (tp + fp) AS prec, tp / (tp + fn) AS recall, tn / (tn + fp) AS specificity, (tp / (tp + fn) + tn / (tn + fp)) / 2 AS balanced FROM (
-          SELECT CAST(sum(CASE WHEN d.n_chars > 1500 AND quality = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS tp, CAST(sum(CASE WHEN d.n_chars > 1500 AND quality = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS fp,
-                 CAST(sum(CASE WHEN d.n_chars <= 1500 AND quality = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS fn, CAST(sum(CASE WHEN d.n_chars <= 1500 AND quality = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS tn
-          FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id) x""",
     "sta25_repository_prevalence": """
         SELECT source, CASE WHEN a > h THEN 'higher' WHEN a < h THEN 'lower' ELSE 'equal' END AS direction, CASE WHEN a + h > 0 THEN a / (a + h) END AS score FROM (
           SELECT d.source, avg(CASE WHEN d.lang = 'en' THEN CAST(toxic AS DOUBLE) END) AS a, avg(CASE WHEN d.lang <> 'en' THEN CAST(toxic AS DOUBLE) END) AS h,
                  sum(CASE WHEN d.lang = 'en' THEN 1 ELSE 0 END) AS na, sum(CASE WHEN d.lang <> 'en' THEN 1 ELSE 0 END) AS nh
           FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY d.source) x WHERE na >= 3 AND nh >= 3""",
     # ---- review
-    "rev03_disagreements": "SELECT text, CAST(count(DISTINCT role) AS BIGINT) AS n_roles FROM {conversations} GROUP BY text HAVING count(DISTINCT role) > 1",
+    "rev03_disagreements": """
+        SELECT l_partkey AS case_id, CAST(count(DISTINCT concat(l_returnflag, l_linestatus)) AS BIGINT) AS signatures, CAST(count(*) AS BIGINT) AS reviews FROM {lineitem}
+        GROUP BY l_partkey HAVING count(DISTINCT concat(l_returnflag, l_linestatus)) > 1""",
     "rev04_queue_policy": """
         SELECT d.doc_id, CASE WHEN l.toxic = 1 AND l.quality = 0 THEN 'A' WHEN l.toxic = 1 THEN 'B' WHEN l.quality = 1 THEN 'C' ELSE 'D' END AS queue FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id""",
     "rev06_frame_batches": """
