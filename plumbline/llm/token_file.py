@@ -69,12 +69,12 @@ def encode_block(ids: np.ndarray) -> bytes:
         low = 1 << (count.bit_length() - 1)
         over = np.maximum(runs[low][:n], runs[low][count - low : count - low + n])
         choice[over <= width] = s
-    step = (np.arange(n) + COUNTS[choice]).tolist()
-    at, places = 0, []
-    while at < n:
-        places.append(at)
-        at = step[at]
-    places = np.array(places, np.int64)
+    # where words begin: each word says where the next does, and twice as many are known after each round
+    jump = np.minimum(np.append(np.arange(n) + COUNTS[choice], n), n)
+    places = np.zeros(min(n, 1), np.int64)
+    while len(after := jump[places][jump[places] < n]):
+        places = np.concatenate([places, after])
+        jump = jump[jump]
     chosen = choice[places] if n else np.empty(0, np.uint8)
     words = chosen.astype(np.uint64) << np.uint64(60)
     padded = np.concatenate([v, np.zeros(240, np.uint64)])

@@ -12,7 +12,7 @@ THREADS = "2"
 #: Words that the cache keeps in each of its two generations, and the longest word that it keeps.
 KEEP, LONGEST = 500_000, 64
 #: Words of one text, and of the texts of one batch: what the library returns takes many times their bytes.
-TEXT, TOGETHER = 500, 5_000
+TEXT, TOGETHER = 1_250, 5_000
 #: Characters that are neither letters nor digits nor white space.
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 

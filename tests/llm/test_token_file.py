@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 
 from plumbline.llm import query_tokens as Q
 from plumbline.llm import token_file as T
+from plumbline.llm import word_encoder
 from plumbline.llm.word_encoder import WordEncoder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -74,6 +75,7 @@ def test_capitals_beside_special_tokens():
 
 
 def test_library_gets_batches_of_many_texts(monkeypatch):
+    monkeypatch.setattr(word_encoder, "TEXT", 100)
     encoder = WordEncoder(PATH)
     sizes = []
 
