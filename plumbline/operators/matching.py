@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.runtime import materialize
+
 
 def match_cascade(before: DataFrame, after: DataFrame, passes: list[tuple[str, list[str]]], id_col: str = "id") -> DataFrame:
     """(before_id, after_id, method): pairs whose key is unique on both sides, the first pass that says so.
@@ -53,3 +55,149 @@ def greedy_match(left: DataFrame, right: DataFrame, stratum: str, value: str, ca
     pairs = a.join(b, ["stratum", "_bin"]).withColumn("score", F.abs(F.col("_x") - F.col("_y"))).where(F.col("score") <= caliper)
     pairs = pairs.select("stratum", "left_id", "right_id", "score")
     return pairs.groupBy("stratum").applyInPandas(_greedy, pairs.schema)
+
+
+def match_versions(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(pair, before_id, after_id, match_status, change_kind) of the entities of two versions.
+
+    Both sides have pair, id, path, symbol, statement, template and behavior; before has new_path as well, its path in
+    the version after. Entities of one path and symbol match by a statement, a template or the symbol that is unique on
+    both sides as they came, in this order. Where a template's entities differ in number, none of them matches. What
+    is left is ambiguous if a counterpart of its place is left too, and unmatched otherwise. Null templates are equal.
+    """
+    place = ["pair", "_place", "symbol"]
+    a = before.withColumn("_place", F.col("new_path")).withColumn("template", F.coalesce("template", F.lit("\0")))
+    b = after.withColumn("_place", F.col("path")).withColumn("template", F.coalesce("template", F.lit("\0")))
+    count = lambda df, keys, name: df.groupBy(*place, *keys).agg(F.count("*").alias(name))
+    odd = count(a, ["template"], "_na").join(count(b, ["template"], "_nb"), [*place, "template"], "left")
+    odd = odd.where("greatest(_na, coalesce(_nb, 0)) > 1 AND _na <> coalesce(_nb, 0)").select(*place, "template")
+    able = a.join(odd, [*place, "template"], "left_anti")
+    found = None
+    for keys, basis in ((["statement"], "unique_semantic_statement"), (["template"], "unique_template"), ([], "unique_symbol_possible")):
+        one = lambda df, name: df.groupBy(*place, *keys).agg(F.count("*").alias("_n"), F.min("id").alias(name)).where("_n = 1").drop("_n")  # noqa: B023, E731
+        pairs = one(a, "before_id").join(one(b, "after_id"), [*place, *keys]).select("pair", "before_id", "after_id", F.lit(basis).alias("match_status"))
+        pairs = pairs.join(able.select("pair", F.col("id").alias("before_id")), ["pair", "before_id"], "left_semi")
+        if found is not None:
+            pairs = pairs.join(found.select("pair", "before_id"), ["pair", "before_id"], "left_anti").join(found.select("pair", "after_id"), ["pair", "after_id"], "left_anti")
+        # each pass reads those before it three times: written, they are read and not computed again
+        found = materialize(pairs if found is None else found.unionByName(pairs), "matched")
+    left = found.join(before.select("pair", F.col("id").alias("before_id"), F.col("path").alias("_pa"), F.col("behavior").alias("_ba")), ["pair", "before_id"])
+    both = left.join(after.select("pair", F.col("id").alias("after_id"), F.col("path").alias("_pb"), F.col("behavior").alias("_bb")), ["pair", "after_id"])
+    kind = F.when(F.col("_pa") != F.col("_pb"), "moved").when(F.col("_ba").eqNullSafe(F.col("_bb")), "unchanged").otherwise("modified")
+    out = both.select("pair", "before_id", "after_id", "match_status", kind.alias("change_kind"))
+    rest_a = a.join(found.select("pair", F.col("before_id").alias("id")), ["pair", "id"], "left_anti")
+    rest_b = b.join(found.select("pair", F.col("after_id").alias("id")), ["pair", "id"], "left_anti")
+
+    def leftover(own, other, kind, a_id, b_id):
+        there = other.select(*place).distinct().withColumn("_there", F.lit(True))
+        status = F.when(F.col("_there"), "ambiguous").otherwise("unmatched")
+        return own.join(there, place, "left").select("pair", a_id.alias("before_id"), b_id.alias("after_id"), status.alias("match_status"), F.lit(kind).alias("change_kind"))
+
+    none = lambda df: F.lit(None).cast(df.schema["id"].dataType)
+    rest = leftover(rest_a, rest_b, "deleted", F.col("id"), none(b)).unionByName(leftover(rest_b, rest_a, "added", none(a), F.col("id")))
+    return materialize(out.unionByName(rest), "pairs")
+
+
+def match_moves(pairs: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """pairs of match_versions in which an unmatched deletion and an unmatched addition elsewhere, with a symbol and a
+    statement that are unique on both sides, are one move; what could be several is ambiguous."""
+    key = ["pair", "symbol", "statement"]
+    gone = pairs.where("match_status = 'unmatched' AND change_kind = 'deleted'").join(before.select("pair", F.col("id").alias("before_id"), "symbol", "statement", F.col("path").alias("_pa")), ["pair", "before_id"])
+    come = pairs.where("match_status = 'unmatched' AND change_kind = 'added'").join(after.select("pair", F.col("id").alias("after_id"), "symbol", "statement", F.col("path").alias("_pb")), ["pair", "after_id"])
+    ga = gone.groupBy(*key).agg(F.count("*").alias("_ng"), F.collect_set("_pa").alias("_sa"), F.min("before_id").alias("b"))
+    cb = come.groupBy(*key).agg(F.count("*").alias("_nc"), F.collect_set("_pb").alias("_sb"), F.min("after_id").alias("a"))
+    # paths of each side: a counterpart must be in another file
+    met = ga.join(cb, key).where(F.size(F.array_union("_sa", "_sb")) > 1)
+    moved = met.where("_ng = 1 AND _nc = 1").select("pair", F.col("b").alias("before_id"), F.col("a").alias("after_id"))
+    vague = met.where("NOT (_ng = 1 AND _nc = 1)").select(*key)
+    vague_a = gone.join(vague, key, "left_semi").select("pair", "before_id").withColumn("_va", F.lit(True))
+    vague_b = come.join(vague, key, "left_semi").select("pair", "after_id").withColumn("_vb", F.lit(True))
+    rest = pairs.join(moved.select("pair", "before_id"), ["pair", "before_id"], "left_anti").join(moved.select("pair", "after_id"), ["pair", "after_id"], "left_anti")
+    rest = rest.join(vague_a, ["pair", "before_id"], "left").join(vague_b, ["pair", "after_id"], "left")
+    rest = rest.withColumn("match_status", F.when(F.col("_va") | F.col("_vb"), "ambiguous").otherwise(F.col("match_status"))).drop("_va", "_vb")
+    moved = moved.withColumns({"match_status": F.lit("unique_cross_file_semantic"), "change_kind": F.lit("moved")})
+    return rest.select(*pairs.columns).unionByName(moved.select(*pairs.columns))
+
+
+def override_pairs(pairs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """pairs with those that a named reviewer chose (pair, before_id, after_id, reviewer) in place of ambiguous ones.
+
+    A choice counts once for each entity, and only where both of its entities are ambiguous in pairs; others are left
+    out. after_id null says that the entity is gone.
+    """
+    vague = pairs.where("match_status = 'ambiguous'")
+    good = chosen.where(F.trim("reviewer") != "").join(vague.where("before_id IS NOT NULL").select("pair", "before_id").distinct(), ["pair", "before_id"], "left_semi")
+    has = good.where("after_id IS NOT NULL").join(vague.where("after_id IS NOT NULL").select("pair", "after_id").distinct(), ["pair", "after_id"], "left_semi")
+    good = has.select("pair", "before_id", "after_id", "reviewer").unionByName(good.where("after_id IS NULL").select("pair", "before_id", "after_id", "reviewer"))
+    for key in ("before_id", "after_id"):
+        once = good.groupBy("pair", key).agg(F.count("*").alias("_n")).where(F.col("_n") > 1).where(F.col(key).isNotNull())
+        good = good.join(once.select("pair", key), ["pair", key], "left_anti")
+    rest = pairs.join(good.select("pair", "before_id"), ["pair", "before_id"], "left_anti").join(good.select("pair", "after_id"), ["pair", "after_id"], "left_anti")
+    kind = F.when(F.col("after_id").isNull(), "deleted").otherwise("modified")
+    return rest.select(*pairs.columns).unionByName(good.select("pair", "before_id", "after_id", F.lit("human_selected").alias("match_status"), kind.alias("change_kind")))
+
+
+def _nearest(pdf: pd.DataFrame, days: float, ratio: float) -> pd.DataFrame:
+    used, keep = set(), []
+    for _, own in pdf.sort_values(["left_time", "left_id", "score", "days", "ratio", "right_id"]).groupby(["left_time", "left_id"], sort=False):
+        free = own[~own.right_id.isin(used)]
+        if len(free):
+            keep.append(free.index[0])
+            used.add(free.right_id.iloc[0])
+    return pdf.loc[keep].drop(columns=["left_time"])
+
+
+def caliper_match(left: DataFrame, right: DataFrame, stratum: str, days: float, ratio: float) -> DataFrame:
+    """(stratum, left_id, right_id, days, ratio, score): each left row, in order of time, with the nearest right row that
+    is still free, at most `days` away and at most `ratio` times as large or small. Sides have id, time and size.
+
+    Only rows in neighbouring bins of time meet. Choices within a stratum depend on one another, so that its pairs
+    within the calipers are one group.
+    """
+    second = lambda c: F.unix_micros(c) / 86_400e6
+    a = left.select(F.col(stratum).alias("stratum"), F.col("id").alias("left_id"), second(F.col("time")).alias("_ta"), F.col("time").alias("left_time"), F.col("size").alias("_sa"))
+    b = right.select(F.col(stratum).alias("stratum"), F.col("id").alias("right_id"), second(F.col("time")).alias("_tb"), F.col("size").alias("_sb"))
+    here = F.floor(F.col("_ta") / days)
+    met = a.withColumn("_bin", F.explode(F.sequence(here - 1, here + 1))).join(b.withColumn("_bin", F.floor(F.col("_tb") / days)), ["stratum", "_bin"])
+    met = met.withColumns({"days": F.abs(F.col("_ta") - F.col("_tb")), "ratio": (F.greatest("_sa", "_sb") + 1) / (F.least("_sa", "_sb") + 1)})
+    met = met.where((F.col("days") <= days) & (F.col("ratio") <= ratio)).withColumn("score", F.abs(F.log1p("_sa") - F.log1p("_sb")) + F.col("days") / 365)
+    met = met.select("stratum", "left_id", "right_id", F.col("days").cast("double").alias("days"), F.col("ratio").cast("double").alias("ratio"), F.col("score").cast("double").alias("score"), "left_time")
+    kinds = dict(met.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in met.columns if c != "left_time")
+    return met.groupBy("stratum").applyInPandas(lambda p: _nearest(p, days, ratio), schema)
+
+
+def _maximum(pdf: pd.DataFrame) -> pd.DataFrame:
+    edges: dict = {}
+    for a, b in sorted(zip(pdf.left_id, pdf.right_id, strict=True)):
+        edges.setdefault(a, []).append(b)
+    owner: dict = {}
+    for start in edges:
+        # a breadth-first search for a free right row, along owned ones
+        came, todo, free = {}, [start], None
+        while todo and free is None:
+            a = todo.pop(0)
+            for b in edges[a]:
+                if b not in came:
+                    came[b] = a
+                    if b not in owner:
+                        free = b
+                        break
+                    todo.append(owner[b])
+        while free is not None:
+            a = came[free]
+            before = next((b for b, o in owner.items() if o == a), None)
+            owner[free] = a
+            if before is None or a == start:
+                break
+            free = before
+    return pd.DataFrame({"stratum": pdf.stratum.iloc[0], "left_id": list(owner.values()), "right_id": list(owner)})
+
+
+def maximum_match(pairs: DataFrame) -> DataFrame:
+    """(stratum, left_id, right_id): as many one-to-one pairs of (stratum, left_id, right_id) as there can be.
+
+    The pairs of a stratum are one group: the choice in a part of it depends on all others.
+    """
+    rows = pairs.select("stratum", "left_id", "right_id").distinct()
+    return rows.groupBy("stratum").applyInPandas(_maximum, rows.schema)
