@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from math import comb, erfc, sqrt
+from math import ceil, comb, erfc, sqrt
+from statistics import NormalDist
 
 import pandas as pd
 from pyspark.sql import Column
@@ -53,3 +54,49 @@ def fisher_p(a: Column, b: Column, c: Column, d: Column) -> Column:
 
 def two_proportions_p(x1: Column, n1: Column, x2: Column, n2: Column) -> Column:
     return _over(two_proportions, x1, n1, x2, n2)
+
+
+def paired_power(n: int, delta: float, discordance: float, alpha: float = 0.05) -> float:
+    """Power of a two-sided test of a paired difference in n pairs, by the normal approximation."""
+    if n < 1 or not 0 < alpha < 1 or not 0 < discordance <= 1 or abs(delta) > discordance:
+        raise ValueError("n above 0, alpha and discordance in (0, 1], delta within discordance")
+    normal = NormalDist()
+    edge, mean = normal.inv_cdf(1 - alpha / 2), abs(delta) * sqrt(n / discordance)
+    spread = sqrt(max(0.0, 1 - delta * delta / discordance))
+    if not spread:
+        return float(mean > edge)
+    return min(1.0, max(0.0, normal.cdf((mean - edge) / spread) + normal.cdf((-edge - mean) / spread)))
+
+
+def _first(holds, low, high, halve, done):
+    """The smallest value of the range from which on holds is true, by halving until done."""
+    while not done(low, high):
+        middle = halve(low, high)
+        if holds(middle):
+            high = middle
+        else:
+            low = middle + 1 if isinstance(middle, int) else middle
+    return high
+
+
+def required_pairs(delta: float, discordance: float, power: float, alpha: float = 0.05, most: int = 100_000) -> int | None:
+    """The fewest pairs that reach the power; None if `most` don't."""
+    enough = lambda n: paired_power(n, delta, discordance, alpha) >= power
+    return _first(enough, 1, most, lambda a, b: (a + b) // 2, lambda a, b: a >= b) if enough(most) else None
+
+
+def detectable_effect(n: int, discordance: float, power: float, alpha: float = 0.05) -> float | None:
+    """The smallest difference that n pairs show with the power; None if they show none."""
+    enough = lambda d: paired_power(n, d, discordance, alpha) >= power
+    return _first(enough, 0.0, discordance, lambda a, b: (a + b) / 2, lambda a, b: b - a < 1e-15) if enough(discordance) else None
+
+
+def power_plan(spark, discordances: tuple[float, ...], deltas: tuple[float, ...], inflation: float, alpha: float = 0.05):
+    """A row for each discordance and each delta within it: pairs for a power of 0.8 and of 0.9, and these inflated for
+    clusters. The grid is that of the arguments."""
+    rows = []
+    for q in discordances:
+        for d in (d for d in deltas if d <= q):
+            a, b = (required_pairs(d, q, p, alpha) for p in (0.8, 0.9))
+            rows.append((q, d, a, a and ceil(a * inflation), b, b and ceil(b * inflation)))
+    return spark.createDataFrame(rows, "discordance double, delta double, pairs_80 long, inflated_80 long, pairs_90 long, inflated_90 long")

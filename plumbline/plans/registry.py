@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plumbline.plans import census, custom, linkage, relational
+from plumbline.plans import census, custom, judged, linkage, relational
 
-MODULES = (census, relational, custom, linkage)
+MODULES = (census, relational, custom, linkage, judged)
 
 
 def queries() -> dict:
