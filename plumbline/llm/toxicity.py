@@ -366,7 +366,8 @@ def held_out(id_col: Column, folds: int = 5) -> Column:
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int, chars: int) -> DataFrame:
     """(nr, label, t): labelled documents outside the held-out fold, at most `most` of either label, the first by a
-    hash of the id, and no further one once those before it hold `chars` characters. Texts are whole."""
+    hash of the id, and no further one once those before it hold `chars` characters. Texts are whole; copies of one
+    count once, as toxic if one of them is."""
     told = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
     told = told.groupBy(F.col(id_col).alias("id")).agg((F.max(F.col(label_col).cast("int")) > 0).cast("int").alias("label"))
     order = [F.xxhash64("id"), F.col("id")]
@@ -374,12 +375,14 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     # 2 * most ids of 12 bytes: a fixed bound
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(chosen), "id")
     rows = materialize(rows, "labelled")
-    by = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id", "h")
-    # at most 2 * most rows without their texts, and those that repeat their ids
-    sizes = rows.select("id", "label", F.xxhash64("t").alias("h"), F.length("t").alias("n")).distinct()
+    # at most 2 * most rows without their texts, and those that repeat their ids; copies of a text are one document
+    own = rows.withColumn("h", F.xxhash64("t"))
+    sizes = own.groupBy("h").agg(F.max("label").alias("label"), F.min(F.struct(F.xxhash64("id").alias("o"), "id")).alias("one"), F.max(F.length("t")).alias("n"))
+    sizes = sizes.select("h", "label", "one.id", "one.o", "n")
+    by = Window.partitionBy("label").orderBy("o", "id", "h")
     sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    sizes = sizes.where(F.col("before") < chars).withColumn("nr", F.row_number().over(Window.orderBy("label", F.xxhash64("id"), "id", "h")) - 1)
-    kept = rows.withColumn("h", F.xxhash64("t")).dropDuplicates(["id", "h"]).join(sizes.select("id", "h", "nr"), ["id", "h"])
+    sizes = sizes.where(F.col("before") < chars).withColumn("nr", F.row_number().over(Window.orderBy("label", "o", "id", "h")) - 1)
+    kept = own.select("id", "h", "t").dropDuplicates(["id", "h"]).join(sizes.select("id", "h", "label", "nr"), ["id", "h"])
     out = materialize(kept.select("nr", "label", "t").repartition(docs.sparkSession.sparkContext.defaultParallelism, "nr"), "sample")
     release(docs.sparkSession, rows)
     return out
