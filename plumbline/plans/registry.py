@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plumbline.plans import census, custom, judged, linkage, relational
+from plumbline.plans import census, custom, judged, linkage, relational, statements
 
-MODULES = (census, relational, custom, linkage, judged)
+MODULES = (census, relational, custom, linkage, judged, statements)
 
 
 def queries() -> dict:
