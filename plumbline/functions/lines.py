@@ -386,3 +386,34 @@ def spans_overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
 def human_exclusion(url_is_agent: Column, login: Column, text: Column, marker: str) -> Column:
     """Why a pull request does not count as a person's, or empty."""
     return F.when(url_is_agent, "canonical_pr_also_in_agent_table").when(F.lower(login).endswith("[bot]"), "bot_login").when(text.rlike(marker), "explicit_ai_assistance_marker").otherwise("")
+
+
+# fixed values: modules by words in a path or a log, the first that holds counting
+MODULES = (
+    ("auth/security", "auth|oauth|jwt|token|session|login|password|credential|security|permission|acl|identity|key"),
+    ("api/http boundary", "api|http|request|response|route|controller|handler|endpoint|client|server|middleware|webhook|grpc"),
+    ("data/storage/user records", "database|db|sql|model|entity|repository|store|storage|user|account|profile|customer|email"),
+    ("config/env/deploy", "config|env|secret|setting|docker|kubernetes|helm|deploy|container|infra"),
+    ("observability/debugging", "log|logger|logging|trace|telemetry|metric|monitor|debug"),
+    ("tests/examples", "test|spec|mock|fixture|example|demo|sample"),
+    ("cli/tools", "cli|cmd|command|script|tool|shell"),
+)
+
+
+def module_category(path: Column, text: Column) -> Column:
+    """The module that a log belongs to by its path and text."""
+    where = F.lower(F.concat_ws(" ", F.coalesce(path, F.lit("")), F.coalesce(text, F.lit(""))))
+    out = F
+    for name, words in MODULES:
+        out = out.when(where.rlike(words), name)
+    return out.otherwise("other application code")
+
+
+def human_pull(kind: Column, app: Column, merged: Column, by_agent: Column) -> Column:
+    """A merged pull request of a person's account, made through no app and not among the agents'."""
+    return F.coalesce((kind == "User") & app.isNull() & merged.isNotNull() & ~by_agent, F.lit(False))
+
+
+def graded_evidence(change: Column, grade: Column, executable: Column, attribution: Column, allowed: tuple[str, ...]) -> Column:
+    """An added log that runs, with evidence of grade A and one of the allowed attributions."""
+    return F.coalesce((change == "add") & (grade == "A") & executable & attribution.isin(*allowed), F.lit(False))

@@ -249,3 +249,21 @@ def gap_states(states: DataFrame) -> DataFrame:
     by_run = Window.partitionBy("repo", "path").orderBy("run")
     runs = runs.withColumns({"last_observed": F.lag("last").over(by_run), "end": F.lead("first").over(by_run)})
     return runs.where("NOT readable").select("repo", "path", "last_observed", F.col("first").alias("start"), "end")
+
+
+def origins(events: DataFrame, pulls: DataFrame) -> DataFrame:
+    """(pr_id, event_id, view) of the events that a pull request begins: those of its commits, and those of its merge
+    that touch no entity of these. events: event_id, repo, sha, entity; pulls: pr_id, repo, commits (array), merge_sha."""
+    own = pulls.select("pr_id", "repo", F.explode("commits").alias("sha")).distinct().join(events, ["repo", "sha"]).select("pr_id", "event_id", "entity", F.lit("pull_request_commit").alias("view"))
+    merged = pulls.where("merge_sha IS NOT NULL").select("pr_id", "repo", F.col("merge_sha").alias("sha")).join(events, ["repo", "sha"]).select("pr_id", "event_id", "entity", F.lit("merge_resolution_or_rewrite_unattributed").alias("view"))
+    more = merged.join(own.select("pr_id", "entity"), ["pr_id", "entity"], "left_anti")
+    return own.select("pr_id", "event_id", "view").unionByName(more.select("pr_id", "event_id", "view"))
+
+
+def reverse_candidates(commits: DataFrame, deleted: DataFrame, blame: DataFrame, words: list[str]) -> DataFrame:
+    """(sha, path, old, introduced): for the commits whose message has one of the words, the log lines they delete and
+    the commits that last touched them. deleted: sha, path, old, is_log; blame: sha, path, old, introduced; a line
+    without blame has null."""
+    fixes = commits.where(F.col("message").rlike(r"(?i)\b(?:" + "|".join(words) + r")")).select("sha").distinct()
+    lines = deleted.where("is_log").select("sha", "path", "old").distinct().join(fixes, "sha", "left_semi")
+    return lines.join(blame.select("sha", "path", "old", "introduced").distinct(), ["sha", "path", "old"], "left")

@@ -42,3 +42,36 @@ def sign_flip(df: DataFrame, cluster: str, value: str, most: int = 18) -> DataFr
         total = total + F.when(F.shiftright("id", i).bitwiseAND(F.lit(1)) == 1, F.lit(v)).otherwise(F.lit(-v))
     far = F.avg((F.abs(total) >= F.lit(own - 1e-12)).cast("double"))
     return df.sparkSession.range(1 << k).agg(F.lit(sum(values) / k if k else None).cast("double").alias("mean"), far.alias("p"))
+
+
+def sign_flip_sampled(df: DataFrame, cluster: str, value: str, draws: int = 10_000, seed: int = 42) -> DataFrame:
+    """(mean, p): sign_flip for any number of clusters: of `draws` random sign patterns, and the observed one, the share
+    whose mean is as far from zero. Signs come from an xxhash64 of seed, draw and cluster; 60 draws are one hash's bits."""
+    means = df.where(F.col(value).isNotNull()).groupBy(F.col(cluster).alias("c")).agg(F.avg(value).alias("m"))
+    groups = means.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // 60))))
+    bits = groups.withColumn("h", F.xxhash64(F.lit(seed), "g", F.coalesce(F.col("c").cast("string"), F.lit(""))))
+    # one sum for each draw of the group, with the sums of all clusters combined before they are exchanged
+    sums = bits.groupBy("g").agg(*[F.sum(F.when(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1)) == 1, F.col("m")).otherwise(-F.col("m"))).alias(f"s{i}") for i in range(60)])
+    each = sums.select("g", F.posexplode(F.array(*[F.col(f"s{i}") for i in range(60)])).alias("i", "s")).where(F.col("g") * 60 + F.col("i") < draws)
+    own = means.agg(F.sum("m").alias("t"), F.count("*").alias("k"))
+    far = each.crossJoin(own).agg(F.max("k").alias("k"), F.max("t").alias("t"), F.count_if(F.abs("s") >= F.abs("t") - 1e-12).alias("far"), F.count("*").alias("n"))
+    return far.select(F.when(F.col("k") > 0, F.col("t") / F.col("k")).alias("mean"), ((F.col("far") + 1) / (F.col("n") + 1)).alias("p"))
+
+
+def two_sample_bootstrap(df: DataFrame, side: str, value: str, scales: tuple[float, float] = (1.0, 1.0), replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """(effect, lo, hi): the difference of the two sides' means, each times its scale, and its 95 percent interval; rows
+    are drawn with replacement by Poisson numbers, side is boolean. Rows fold by value before they are drawn."""
+    own = df.where(F.col(side).isNotNull() & F.col(value).isNotNull()).withColumn("c", F.monotonically_increasing_id())
+    parts = []
+    for yes, scale in ((True, scales[0]), (False, scales[1])):
+        one = own.where(F.col(side) == F.lit(yes)).select("c", (F.col(value).cast("double") * scale).alias("v"))
+        drawn = one.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("u", F.pmod(F.xxhash64(F.lit(seed), F.lit(yes), "b", "c"), F.lit(1 << 30)) / float(1 << 30))
+        times, p, total = F.lit(0), 2.718281828459045**-1, 0.0
+        for k in range(1, 9):
+            total += p
+            times = times + (F.col("u") >= total).cast("int")
+            p /= k
+        parts.append((one.agg(F.avg("v").alias(f"m{int(yes)}")), drawn.withColumn("t", times).groupBy("b").agg((F.sum(F.col("v") * F.col("t")) / F.sum("t")).alias(f"b{int(yes)}"))))
+    (a, da), (b, db) = parts
+    interval = da.join(db, "b").agg(F.percentile(F.col("b1") - F.col("b0"), 0.025).alias("lo"), F.percentile(F.col("b1") - F.col("b0"), 0.975).alias("hi"))
+    return a.crossJoin(b).crossJoin(interval).select((F.col("m1") - F.col("m0")).alias("effect"), "lo", "hi")
