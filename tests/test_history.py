@@ -137,3 +137,10 @@ def test_gaps_lineage_and_windows(spark):
     assert [r.days for r in o] == [30.0, 10.0, None]
     c = t.select(H.censoring_reason(F.lit(False), F.lit("x"), F.col("t"), F.lit(10.0), 30, F.lit(True), F.lit(False))).collect()
     assert [r[0] for r in c] == ["right_censored", "right_censored", "integration_time_unknown"]
+
+
+def test_integration_mapping(spark):
+    rows = [("m", True, False, False, None, "s"), ("m", False, True, True, "d", "s"), (None, False, False, True, "d", "s"), (None, False, False, False, None, "s")]
+    df = spark.createDataFrame(rows, "m string, on boolean, direct boolean, reach boolean, anc string, sha string")
+    got = [r[0] for r in df.select(H.integration_mapping(*[F.col(c) for c in ("m", "on", "direct", "reach", "anc", "sha")])).collect()]
+    assert [(r.sha, r.mapping) for r in got] == [("m", "metadata_integration_sha"), ("s", "direct_target_commit"), ("d", "ancestry_to_first_parent_integration"), (None, "unknown")]

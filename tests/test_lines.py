@@ -117,3 +117,11 @@ def test_templates():
     assert P.log_template('logger.info("User %s has {n} items", u)') == "logger.info|user <slot> has <slot> items"
     assert P.log_template("console.log(x)") == "console.log|<dynamic>" and P.log_template('echo "Hi $NAME"') == "echo|hi <slot>"
     assert P.log_template("log.warn('a' + f('b,c') + 'd', z)") == "log.warn|a|b,c|d"
+
+
+def test_predicates(spark):
+    df = spark.createDataFrame([(True, "a", "x"), (False, "Robot[bot]", "x"), (False, "ann", "made with copilot"), (False, "ann", "x")], "g boolean, u string, t string")
+    assert [r[0] for r in df.select(L.human_exclusion(F.col("g"), F.col("u"), F.col("t"), "(?i)copilot")).collect()] == ["canonical_pr_also_in_agent_table", "bot_login", "explicit_ai_assistance_marker", ""]
+    df = spark.createDataFrame([("add", "A", True, "agent"), ("add", "B", True, "agent"), ("add", "A", False, "agent"), ("del", "A", True, "agent"), ("add", "A", True, "odd"), ("add", None, True, "agent")], "c string, g string, e boolean, a string")
+    assert [r[0] for r in df.select(L.graded_evidence(*map(F.col, "cgea"), ("agent", "human"))).collect()] == [True, False, False, False, False, False]
+    assert of(spark, [("x", "x", 5, 6), ("x", "y", 0, 6), ("x", "y", 5, 0), ("x", "y", 5, 50), ("x", "y", 5, 6)], L.pair_reason(F.col("a"), F.col("b"), F.col("m"), F.col("n"), 2.0), "a string, b string, m long, n long") == ["identical_final_diff", "agent_no_production_source_change", "human_no_production_source_change", "final_size_caliper", "accepted"]
