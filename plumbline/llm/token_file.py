@@ -12,9 +12,11 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +27,8 @@ from plumbline.sources.store import open_input, open_output
 
 MAGIC = b"PLBTOK01"
 BLOCK = 1 << 16
+#: Bytes of texts that are encoded together.
+SHARE = 8 << 20
 #: (ids in a word, bits of each) by selector.
 SELECTORS = (
     (240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60),
@@ -68,22 +72,31 @@ def encode_block(ids: np.ndarray) -> bytes:
         count, width = SELECTORS[s]
         low = 1 << (count.bit_length() - 1)
         over = np.maximum(runs[low][:n], runs[low][count - low : count - low + n])
-        choice[over <= width] = s
-    # where words begin: each word says where the next does, and twice as many are known after each round
+        np.putmask(choice, over <= width, s)
+    # where words begin: each says where the next does, so that every 32nd can be found by itself, then those between
     jump = np.minimum(np.append(np.arange(n) + COUNTS[choice], n), n)
-    places = np.zeros(min(n, 1), np.int64)
-    while len(after := jump[places][jump[places] < n]):
-        places = np.concatenate([places, after])
-        jump = jump[jump]
-    chosen = choice[places] if n else np.empty(0, np.uint8)
+    jumps = [jump]
+    for _ in range(5):
+        jumps.append(jumps[-1][jumps[-1]])
+    far, place, places = jumps.pop(), 0, []
+    while place < n:
+        places.append(place)
+        place = far.item(place)
+    places = np.array(places, np.int64)
+    for jump in reversed(jumps):
+        places = np.stack([places, jump[places]], axis=1).ravel()
+    places = places[places < n]
+    chosen = choice[places]
     words = chosen.astype(np.uint64) << np.uint64(60)
     padded = np.concatenate([v, np.zeros(240, np.uint64)])
     for s in np.unique(chosen):
         count, width = SELECTORS[s]
         if width:
             own = np.flatnonzero(chosen == s)
-            part = padded[places[own][:, None] + np.arange(count)] << (np.arange(count, dtype=np.uint64) * np.uint64(width))
-            words[own] |= np.bitwise_or.reduce(part, axis=1)
+            at, part = places[own], words[own]
+            for k in range(count):
+                part |= padded[at + k] << np.uint64(k * width)
+            words[own] = part
     head = struct.pack("<III", n, len(words), len(out))
     return head + out.astype("<u4").tobytes() + escaped.astype("<u8").tobytes() + words.astype("<u8").tobytes()
 
@@ -190,6 +203,12 @@ class TokenFile:
             yield start, held[: end - start]
 
 
+def shares(sizes: np.ndarray) -> list[int]:
+    """Where shares of the texts begin, and the end: each has about SHARE bytes, or one text above that."""
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // SHARE)) + 1
+    return [0, *cuts.tolist(), len(sizes)] if len(sizes) else []
+
+
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode all texts and write their ids, an end id after each, in ascending order of id: one row for a file.
 
@@ -205,8 +224,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str
     def run(batches):
         encoder, writer, path = WordEncoder(tokenizer), None, None
         for batch in batches:
-            for s in range(0, batch.num_rows, 512):
-                part = batch.slice(s, 512)
+            for s, end in pairwise(shares(pc.binary_length(batch.column(1)).to_numpy())):
+                part = batch.slice(s, end - s)
                 if writer is None:
                     path = f"{folder}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.tok"
                     writer = TokenFileWriter(open_output(path))

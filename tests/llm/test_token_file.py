@@ -92,6 +92,65 @@ def test_library_gets_batches_of_many_texts(monkeypatch):
     assert np.frombuffer(encoder.encode([text.encode()])[0], "<u4").tolist() == want and max(sizes) > 1
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("aZx'sTrevmlLd09.,-<|>/w!\x1c\x01éñ¨ \t", max_size=40), max_size=8))
+def test_parts_of_words_are_the_library_s(texts):
+    t = Tokenizer.from_file(PATH)
+    got = WordEncoder(PATH).encode([x.encode() for x in texts])
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_every_byte_has_its_character():
+    t = Tokenizer.from_file(PATH)
+    letters = [c for c in map(chr, range(0x80, 0x3000)) if c.isalpha() and c.lower() == c]
+    words = [f"{c}q{c}zq" for c in letters] + [f"{c}zq{c}.," for c in letters]
+    got = WordEncoder(PATH).encode([x.encode() for x in words])
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in words]
+
+
+def test_no_words():
+    encoder = WordEncoder(PATH)
+    assert encoder.encode([]) == [] and encoder.encode([b"", b" \n\v "]) == [b"", b""]
+    assert [len(x) > 0 for x in encoder.encode([b"", b"a", b"  ", b"\tb\r\n"])] == [False, True, False, True]
+
+
+def test_words_with_digits_and_signs_share_texts(monkeypatch):
+    encoder = WordEncoder(PATH)
+    want = Tokenizer.from_file(PATH)
+
+    class Unused:
+        def encode_batch_fast(self, texts, **kw):
+            raise AssertionError(texts)
+
+    monkeypatch.setattr(encoder, "tokenizer", Unused())
+    text = " ".join(f"555-{k} pass{k}=c{k}D, it's{k}'ll (a{k}.b) Zo{k}@x.y" for k in range(3000, 4000))
+    got = np.frombuffer(encoder.encode([text.encode()])[0], "<u4").tolist()
+    assert got == want.encode(text, add_special_tokens=False).ids
+
+
+def test_a_word_is_looked_up_once_for_all_texts(monkeypatch):
+    encoder = WordEncoder(PATH)
+    asked = []
+
+    class Spied(dict):
+        def __getitem__(self, w):
+            asked.append(w)
+            return super().__getitem__(w)
+
+    real = encoder.cache.fill
+    monkeypatch.setattr(encoder.cache, "fill", lambda words, encode: Spied(real(words, encode)))
+    got = encoder.encode([b"one two one ", b"two one"] * 500)
+    assert sorted(set(asked)) == [b"one", b"two"] and len(asked) <= 4 and len(set(got)) == 2
+
+
+def test_shares_of_texts():
+    assert T.shares(np.array([], np.int32)) == [] and T.shares(np.array([0, 0], np.int32)) == [0, 2]
+    sizes = np.array([5, T.SHARE, 0, 3 * T.SHARE, 1, 2**31 - 1, 2**31 - 1, *[1000] * 30_000], np.int32)
+    at = T.shares(sizes)
+    assert at[0] == 0 and at[-1] == len(sizes) and all(a < b for a, b in zip(at, at[1:], strict=False))
+    assert all(sizes[a:b].sum(dtype=np.int64) - sizes[a:b].max() <= T.SHARE for a, b in zip(at, at[1:], strict=False))
+
+
 def test_own_ids_are_read_from_the_files(spark):
     df = spark.createDataFrame([("b", "x"), ("a", "y z"), (None, "w"), ("a", "a")], "doc_id string, text string")
     manifest = T.write_token_files(df, PATH, 1)
