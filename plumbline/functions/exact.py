@@ -2,29 +2,70 @@
 
 from __future__ import annotations
 
-from math import ceil, comb, erfc, sqrt
+from math import ceil, comb, erfc, exp, lgamma, log, sqrt
 from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Counts up to which sums are those of whole numbers; beyond it they are sums of logarithms' exponentials.
+WHOLE = 2000
+#: Two weights whose logarithms differ by less are compared as fractions.
+NEAR = 1e-6
+
+
+def _product(values: list[int]) -> int:
+    """The product, of halves, so that the factors stay of like size."""
+    while len(values) > 1:
+        values = [a * b for a, b in zip(values[::2], values[1::2] + [1] * (len(values) % 2), strict=True)]
+    return values[0] if values else 1
+
+
 def mcnemar(b: int, c: int) -> float:
-    """Two-sided exact probability of discordant counts b and c."""
-    n = b + c
-    return min(1.0, 2 * sum(comb(n, k) for k in range(min(b, c) + 1)) / 2**n) if n else 1.0
+    """Two-sided exact probability of discordant counts b and c: of both tails, each a half to the smaller count."""
+    n, k = b + c, min(b, c)
+    if n <= WHOLE:
+        return min(1.0, 2 * sum(comb(n, i) for i in range(k + 1)) / 2**n) if n else 1.0
+    # the tail's largest term and the ones below it, of which only those within many deviations count
+    i = np.arange(k, max(0, k - int(25 * sqrt(n)) - 60), -1, dtype=float)
+    steps = np.cumsum(np.log(i) - np.log(n - i + 1))
+    log_first = lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * log(2)
+    return float(min(1.0, 2 * exp(log_first) * (1 + np.exp(steps).sum())))
 
 
 def fisher(a: int, b: int, c: int, d: int) -> float:
     """Two-sided exact probability of a 2 by 2 table: of all tables with its margins that are no likelier."""
     r, s, m = a + b, c + d, a + c
-    whole = comb(r + s, m)
-    if not whole:
-        return 1.0
-    weight = lambda x: comb(r, x) * comb(s, m - x)
-    own = weight(a)
-    return min(1.0, sum(w for x in range(max(0, m - s), min(r, m) + 1) if (w := weight(x)) <= own * (1 + 1e-12)) / whole)
+    low, high = max(0, m - s), min(r, m)
+    if r + s <= WHOLE:
+        weights = [comb(r, x) * comb(s, m - x) for x in range(low, high + 1)]
+        own = weights[a - low] * (10**12 + 1)
+        return min(1.0, sum(w for w in weights if w * 10**12 <= own) / sum(weights))
+    mode = min(high, max(low, (r + 1) * (m + 1) // (r + s + 2)))
+    wide = int(45 * sqrt(r * s * m / (r + s) ** 2 + 1)) + 60
+    first, last = max(low, min(mode, a) - wide), min(high, max(mode, a) + wide)
+    x = np.arange(first, last, dtype=float)
+    # logarithms of the weights, each from the one before, and 0 at the mode
+    logs = np.r_[0, np.cumsum(np.log(r - x) + np.log(m - x) - np.log(x + 1) - np.log(s - m + x + 1))]
+    logs -= logs[mode - first]
+    apart = logs - logs[a - first]
+    counts = apart <= 0
+    for i in np.flatnonzero(np.abs(apart) < NEAR).tolist():
+        counts[i] = _no_likelier(first + i, a, r, s, m)
+    each = np.exp(logs)
+    return float(min(1.0, each[counts].sum() / each.sum()))
+
+
+def _no_likelier(x: int, a: int, r: int, s: int, m: int) -> bool:
+    """Whether the table with x has at most the weight of the one with a, and a share of it that is lost in rounding."""
+    lo, hi = min(x, a), max(x, a)
+    up = _product([(r - i) * (m - i) for i in range(lo, hi)])
+    down = _product([(i + 1) * (s - m + i + 1) for i in range(lo, hi)])
+    more, less = (up, down) if x > a else (down, up)
+    return more * 10**12 <= less * (10**12 + 1)
 
 
 def two_proportions(x1: int, n1: int, x2: int, n2: int) -> float:

@@ -89,7 +89,7 @@ def sta03_fisher_by_language(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     n = lambda q, t: F.count_if((F.col("quality") == q) & (F.col("toxic") == t))
     counts = rows.groupBy("lang").agg(n(1, 1).alias("a"), n(1, 0).alias("b"), n(0, 1).alias("c"), n(0, 0).alias("d"))
-    return counts.withColumn("p", fisher_p(*map(F.col, "abcd")))
+    return counts.withColumn("p", F.round(fisher_p(*map(F.col, "abcd")), 9))
 
 
 def txt12_structured_scan(spark, sf_dir):
@@ -111,5 +111,18 @@ def fun01_canonical_props(spark, sf_dir):
 
 
 QUERIES |= {f.__name__: f for f in (sta08_cluster_bootstrap, sta03_fisher_by_language, txt12_structured_scan, txt11_reconcile, fun01_canonical_props)}
+ORACLES["sta03_fisher_by_language"] = """
+WITH t AS (
+  SELECT lang, count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS a, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS b,
+         count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS c, count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS d
+  FROM documents JOIN labels USING (doc_id) GROUP BY lang),
+x AS (SELECT *, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS x FROM t),
+w AS (
+  SELECT *, -lgamma(x + 1) - lgamma(a + b - x + 1) - lgamma(a + c - x + 1) - lgamma(d - a + x + 1) AS l,
+         -lgamma(a + 1) - lgamma(b + 1) - lgamma(c + 1) - lgamma(d + 1) AS own
+  FROM x),
+m AS (SELECT *, max(l) OVER (PARTITION BY lang) AS top FROM w)
+SELECT lang, a, b, c, d, round(least(1.0, coalesce(sum(exp(l - top)) FILTER (WHERE l <= own + 1e-9), 0) / sum(exp(l - top))), 9) AS p
+FROM m GROUP BY lang, a, b, c, d"""
 ORACLES["fun01_canonical_props"] = """
 SELECT event_id, replace(replace(props, ' ', ''), chr(10), '') AS canonical, substring(sha256('["2.0",' || event_id || ',"' || event_type || '"]'), 1, 24) AS stable_id FROM events"""

@@ -3,11 +3,30 @@
 from __future__ import annotations
 
 import gc
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 OWN_DIR = "file:///tmp/checkpoints/plumbline"
+#: Folders that materialize of this driver made and release has not deleted.
+_MADE: set[str] = set()
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with its scheme, as Spark's own readers and writers would take it.
+
+    A path without a scheme lies in the default file system. If that is a machine's own disk and the master is not
+    local, other machines would not see it, which is an error; a folder that is mounted everywhere is named by file://.
+    """
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]+:", path):
+        return path
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    whole = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    if whole.startswith("file:") and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError(f"{path} names a machine's own disk; name a folder that all machines share, with its scheme")
+    return whole
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -18,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
-        return named.rstrip("/")
+        return qualified(spark, named.rstrip("/"))
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(f"{OWN_DIR}/{spark.sparkContext.applicationId}")
@@ -38,7 +57,10 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _MADE.add(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._made_at = path
+    return out
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -63,13 +85,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def release(spark: SparkSession, *tables: DataFrame) -> None:
     """Let go of the shuffle files of finished jobs, and delete tables of materialize that nothing reads any more.
 
-    Only folders that materialize made are deleted; any other table that is given stays as it is. Spark's cleaner drops shuffle files once the driver has collected the objects that stand for them, which else may
-    be long after; in an operator of many jobs that would keep every stage's files on the disks until the end.
+    Only what materialize itself returned is deleted, once; any other table that is given stays as it is, wherever it
+    lies, and its files are not even listed. Spark's cleaner drops shuffle files once the driver has collected the
+    objects that stand for them, which else may be long after; in an operator of many jobs that would keep every
+    stage's files on the disks until the end.
     """
-    own = f"{shared_dir(spark).split(':', 1)[-1].lstrip('/')}/plumbline/"
     for df in tables:
-        for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if own in f:
-                drop_path(spark, f)
+        path = getattr(df, "_made_at", None)
+        if path in _MADE:
+            _MADE.discard(path)
+            drop_path(spark, path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()

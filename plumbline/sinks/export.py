@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.identity import FINGERPRINTED, canonical_json, csv_guard, plain_redact, redact_field
-from plumbline.runtime import drop_path
-from plumbline.sources.store import open_input, open_output
+from plumbline.runtime import drop_path, qualified
+from plumbline.sources.store import move, open_input, open_output
 
 STAGES = "ingest collect mine detect trace assess export".split()
 
@@ -67,10 +67,7 @@ def write_text(uri: str, text: str) -> None:
     part = f"{uri}.part-{uuid.uuid4().hex}"
     with open_output(part) as out:
         out.write(text.encode())
-    from plumbline.sources.store import _of
-
-    system, path = _of(part)
-    system.move(path, _of(uri)[1])
+    move(part, uri)
 
 
 def write_manifest(uri: str, value: dict) -> str:
@@ -84,7 +81,7 @@ class KindStore:
     """A folder for each kind of records, replaced whole, and the stages that are done."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+        self.spark, self.folder = spark, qualified(spark, folder.rstrip("/"))
 
     def replace(self, kind: str, df: DataFrame) -> None:
         written = f"{self.folder}/{kind}.new-{uuid.uuid4().hex}"

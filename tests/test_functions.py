@@ -65,3 +65,35 @@ def test_reconcile(spark):
         ("a", 1): ("parent+repair", 2, True, False), ("a", 2): ("parent", 0, False, True), ("a", 3): ("repair", 1, False, False),
         ("b", 1): ("parent+repair", 2, True, False), ("c", 1): ("parent+repair", 1, False, False), (None, 1): ("parent", 1, False, False),
     }
+
+
+def test_exact_tests_at_any_counts(spark, monkeypatch):
+    """Sums of logarithms give what rational numbers give, and large counts take no time."""
+    import random
+    import time
+    from fractions import Fraction
+    from math import comb
+
+    def rational(a, b, c, d):
+        r, s, m = a + b, c + d, a + c
+        weights = [comb(r, x) * comb(s, m - x) for x in range(max(0, m - s), min(r, m) + 1)]
+        own = comb(r, a) * comb(s, m - a)
+        return float(Fraction(sum(w for w in weights if w <= own), sum(weights)))
+
+    rnd = random.Random(1)
+    tables = [tuple(rnd.randint(0, 60) for _ in range(4)) for _ in range(1000)] + [(60, 60, 60, 60), (1, 0, 0, 0)]
+    for whole in (2000, 0):
+        monkeypatch.setattr(exact, "WHOLE", whole)
+        for t in tables:
+            assert exact.fisher(*t) == pytest.approx(rational(*t), rel=1e-9)
+            n = t[0] + t[1]
+            if n:
+                assert exact.mcnemar(*t[:2]) == pytest.approx(min(1, 2 * sum(comb(n, k) for k in range(min(t[:2]) + 1)) / 2**n), rel=1e-9)
+    monkeypatch.undo()
+    assert exact.fisher(600, 700, 900, 800) == pytest.approx(rational(600, 700, 900, 800), rel=1e-9)
+    began = time.time()
+    assert exact.fisher(300, 300, 300, 300) == 1 and exact.fisher(*[10**6] * 4) == pytest.approx(1)
+    assert exact.fisher(10**6, 10**6 + 5000, 10**6, 10**6) == pytest.approx(0.0126154, abs=1e-7)
+    assert exact.fisher(10**6, 0, 0, 10**6) == 0
+    assert exact.mcnemar(20_000, 20_000) == 1 and exact.mcnemar(10**6, 10**6 + 3000) == pytest.approx(0.0340884, abs=1e-6)
+    assert time.time() - began < 5
