@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.exact import fisher_p
 from plumbline.functions.identity import canonical, stable_id
 from plumbline.functions.shapes import scan_cells
-from plumbline.functions.structured import scan_structured
+from plumbline.functions.structured import Budget, scan_structured
 from plumbline.operators.components import connected_components
 from plumbline.operators.lineage import trace_cases
 from plumbline.operators.matching import greedy_match, match_cascade
@@ -37,11 +37,11 @@ def set08_components(spark, sf_dir):
 
 
 def txt01_content_scan(spark, sf_dir):
-    return scan_cells(table(spark, sf_dir, "documents"), "doc_id", "text").select("id", "status", F.size("matches").cast("long").alias("n_matches"))
+    return scan_cells(table(spark, sf_dir, "documents"), "doc_id", "text", None).select("id", "status", F.size("matches").cast("long").alias("n_matches"))
 
 
 def txt05_review_ranges(spark, sf_dir):
-    cells = scan_cells(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("grp", F.lit("text"))
+    cells = scan_cells(table(spark, sf_dir, "documents"), "doc_id", "text", None).withColumn("grp", F.lit("text"))
     return run_length_ranges(cells, ["grp"], "id", "status")
 
 
@@ -94,11 +94,11 @@ def sta03_fisher_by_language(spark, sf_dir):
 
 def txt12_structured_scan(spark, sf_dir):
     cells = table(spark, sf_dir, "events").select("event_id", "props")
-    return scan_structured(cells, "event_id", "props").select("id", "status", F.size("matches").cast("long").alias("n_matches"))
+    return scan_structured(cells, "event_id", "props", Budget.whole()).select("id", "status", F.size("matches").cast("long").alias("n_matches"))
 
 
 def txt11_reconcile(spark, sf_dir):
-    found = scan_cells(table(spark, sf_dir, "documents"), "doc_id", "text").select("id", F.explode("matches").alias("m")).select("id", "m.*")
+    found = scan_cells(table(spark, sf_dir, "documents"), "doc_id", "text", None).select("id", F.explode("matches").alias("m")).select("id", "m.*")
     again = found.where("id % 3 = 0")
     done = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.lit(True).alias("complete"))
     out = reconcile(found, again, done, ["id"], ["start", "end", "category", "subtype"], ["rule"])
