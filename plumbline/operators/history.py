@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.runtime import materialize
+from plumbline.runtime import materialize, release
 
 # fixed values: kinds of evidence that bind a commit to who made it, and accounts of automation
 STRONG = ("platform_commit_binding", "local_session_commit_binding", "human_authorship_review", "automation_platform_binding")
@@ -42,6 +42,49 @@ def first_integration(introductions: DataFrame, chain: DataFrame, closure: DataF
     return introductions.select(repo, "sha").distinct().join(on_chain, [repo, "sha"]).groupBy(repo, "sha").agg(F.min_by("at", "position").alias("integration"))
 
 
+def earliest_integration(commits: DataFrame, chain: DataFrame, repo: str = "repository_id") -> DataFrame:
+    """(repo, sha, position, integration): for every commit the first commit of the chain (repo, sha, position) that is it
+    or descends from it; commits that none holds have no row. Neither pairs nor generations are gone through.
+
+    commits have repo, sha and parents. Every commit passes the smallest position it knows to its first parent, then to
+    that one's own and so on, over twice as many steps each time, so that a line of n commits takes log n rounds. Then
+    positions go one step along the other parents of merges; as long as one of these changes anything, first parents
+    have their turn again, as often as merges lie within merges. A round is a join and an aggregation over the commits.
+
+    A parent without a row is a commit without parents. Null parents are none; a sha stands for one commit of its
+    repository. An empty chain or table: no rows.
+    """
+    spark, key = commits.sparkSession, [repo, "sha"]
+    rows = commits.select(repo, "sha", F.coalesce("parents", F.array().cast("array<string>")).alias("parents"))
+    lost = rows.select(repo, F.explode("parents").alias("sha")).distinct().join(rows.select(*key), key, "left_anti")
+    nodes = rows.select(repo, "sha", F.get("parents", F.lit(0)).alias("first")).unionByName(lost.withColumn("first", F.lit(None).cast("string")))
+    place = chain.groupBy(*key).agg(F.min("position").alias("v"))
+    nodes = materialize(nodes.join(place, key, "left"), "commits")
+    merges = materialize(rows.select(repo, "sha", F.explode(F.slice("parents", 2, 1 << 20)).alias("to")), "merges")
+
+    def passed(of: DataFrame, to: str) -> DataFrame:
+        return of.where(F.col("v").isNotNull() & F.col(to).isNotNull()).groupBy(repo, F.col(to).alias("sha")).agg(F.min("v").alias("w"))
+
+    while True:
+        state, lines = nodes.withColumn("to", F.col("first")), []
+        while True:
+            far = state.select(repo, F.col("sha").alias("to"), F.col("to").alias("next")).where("next IS NOT NULL")
+            step = state.join(passed(state, "to"), key, "left").join(far, [repo, "to"], "left")
+            state = materialize(step.select(repo, "sha", "first", F.least("v", "w").alias("v"), F.col("next").alias("to")), "positions")
+            release(spark, *lines)
+            lines = [state]
+            if state.where("to IS NOT NULL").isEmpty():
+                break
+        told = passed(merges.join(state.select(repo, "sha", "v"), key), "to")
+        nodes = materialize(state.drop("to").join(told, key, "left").withColumn("moved", F.coalesce(F.col("w") < F.coalesce("v", F.col("w") + 1), F.lit(False))).withColumn("v", F.least("v", "w")), "commits")
+        release(spark, *lines)
+        if nodes.where("moved").isEmpty():
+            break
+        nodes = nodes.select(repo, "sha", "first", "v")
+    at = chain.groupBy(repo, F.col("position").alias("v")).agg(F.min("sha").alias("integration"))
+    return nodes.where("v IS NOT NULL").join(at, [repo, "v"]).select(repo, "sha", F.col("v").alias("position"), "integration")
+
+
 def sensitive(entity: Column) -> Column:
     """The distinct (source, types) of an entity's supported flows."""
     own = F.filter(entity["sources"], lambda s: F.size(s["types"]) > 0)

@@ -1,12 +1,11 @@
-"""Matching of records between two sides: by unique keys, pass after pass, and greedily by distance."""
+"""Matching of records between two sides: by unique keys, pass after pass, by preferences, and as many as possible."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.runtime import materialize
+from plumbline.runtime import materialize, release
 
 
 def match_cascade(before: DataFrame, after: DataFrame, passes: list[tuple[str, list[str]]], id_col: str = "id") -> DataFrame:
@@ -31,30 +30,63 @@ def match_cascade(before: DataFrame, after: DataFrame, passes: list[tuple[str, l
     return out
 
 
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["score", "left_id", "right_id"])
-    left, right, keep = set(), set(), []
-    for i, a, b in zip(pdf.index, pdf.left_id, pdf.right_id, strict=True):
-        if a not in left and b not in right:
-            left.add(a)
-            right.add(b)
-            keep.append(i)
-    return pdf.loc[keep]
+def stable_pairs(pairs: DataFrame, left_order: list[str], right_order: list[str]) -> DataFrame:
+    """The rows of pairs (stratum, left_id, right_id, ...) that are the one stable one-to-one choice: no left and right row
+    that form a pair would both rather have each other.
 
+    A left row prefers pairs by left_order, then right_id, a right row by right_order, then left_id. In each round every
+    left row asks for the best pair that it still has, a right row holds the best that asks, and what is worse for it than
+    the one it holds goes; once none is turned away, those held are the result. So the choice is that of going through
+    the pairs one after the other: by one order for both sides, greedily, or left rows in their order, each with the best
+    right row left. Rounds are aggregations with partial sums before the exchange, and joins on what is left, so that
+    no group of a stratum, or of a row with very many pairs, is ever one task's.
 
-def greedy_match(left: DataFrame, right: DataFrame, stratum: str, value: str, caliper: float, id_col: str = "id") -> DataFrame:
+    Null ids take no part. Pairs that repeat count once, the best of them. Empty table: no rows.
+    """
+    spark = pairs.sparkSession
+    left = F.struct(*left_order, "right_id")
+    right = F.struct(*right_order, "left_id")
+    live = materialize(pairs.dropna(subset=["left_id", "right_id"]), "pairs")
+    while True:
+        whole = F.struct(*[c for c in live.columns if c not in ("stratum", "left_id")])
+        asks = live.groupBy("stratum", "left_id").agg(F.min_by(whole, left).alias("pair"))
+        asks = materialize(asks.select("stratum", "left_id", "pair.*").select(*live.columns), "asks")
+        whole = F.struct(*[c for c in live.columns if c not in ("stratum", "right_id")])
+        held = materialize(asks.groupBy("stratum", "right_id").agg(F.min_by(whole, right).alias("held"), F.count("*").alias("asked")), "held")
+        if held.where("asked > 1").isEmpty():
+            release(spark, live, held)
+            return asks
+        mine = held.select(F.col("stratum").alias("_s"), F.col("right_id").alias("_r"), F.struct(*[F.col(f"held.{c}") for c in (*right_order, "left_id")]).alias("_held"))
+        better = live.join(mine, F.col("stratum").eqNullSafe(F.col("_s")) & (F.col("right_id") == F.col("_r")), "left")
+        rest = materialize(better.where(F.col("_held").isNull() | (right <= F.col("_held"))).select(*live.columns), "pairs")
+        release(spark, live, asks, held)
+        live = rest
+
+
+def greedy_match(left: DataFrame, right: DataFrame, stratum: str, value: str, caliper: float, id_col: str = "id", widened: float | None = None) -> DataFrame:
     """(stratum, left_id, right_id, score): one-to-one pairs of a stratum, the closest first, ties by ids.
 
     Only pairs within the caliper are formed: both sides fall into bins as wide as the caliper and a row meets its own
-    bin and the two beside it. Choices within a stratum depend on one another, so a stratum's candidate pairs are one
-    group; strata are to be that fine.
+    bin and the two beside it. With `widened`, rows that are left over are matched once more across all strata, within
+    that caliper; their stratum is the left row's. Null values and ids take no part.
     """
-    wide = F.floor(F.col(value) / F.lit(caliper))
-    a = left.select(F.col(stratum).alias("stratum"), F.col(id_col).alias("left_id"), F.col(value).alias("_x"), F.explode(F.sequence(wide - 1, wide + 1)).alias("_bin"))
-    b = right.select(F.col(stratum).alias("stratum"), F.col(id_col).alias("right_id"), F.col(value).alias("_y"), wide.alias("_bin"))
-    pairs = a.join(b, ["stratum", "_bin"]).withColumn("score", F.abs(F.col("_x") - F.col("_y"))).where(F.col("score") <= caliper)
-    pairs = pairs.select("stratum", "left_id", "right_id", "score")
-    return pairs.groupBy("stratum").applyInPandas(_greedy, pairs.schema)
+
+    def near(a: DataFrame, b: DataFrame, within: float, same: bool) -> DataFrame:
+        wide = F.floor(F.col(value) / F.lit(within))
+        a = a.select(F.col(stratum).alias("stratum"), F.col(id_col).alias("left_id"), F.col(value).alias("_x"), F.explode(F.sequence(wide - 1, wide + 1)).alias("_bin"))
+        b = b.select(F.col(stratum).alias("_of"), F.col(id_col).alias("right_id"), F.col(value).alias("_y"), wide.alias("_bin"))
+        met = a.join(b, (a["_bin"] == b["_bin"]) & (F.col("stratum") == F.col("_of"))) if same else a.join(b, a["_bin"] == b["_bin"])
+        met = met.withColumn("score", F.abs(F.col("_x") - F.col("_y"))).where(F.col("score") <= within)
+        return met.select("stratum", "left_id", "right_id", "score")
+
+    first = stable_pairs(near(left, right, caliper, True), ["score"], ["score"])
+    if widened is None:
+        return first
+    rest = left.join(first.select(F.col("stratum").alias(stratum), F.col("left_id").alias(id_col)), [stratum, id_col], "left_anti")
+    other = right.join(first.select(F.col("stratum").alias(stratum), F.col("right_id").alias(id_col)), [stratum, id_col], "left_anti")
+    pairs = near(rest, other, widened, False).withColumnRenamed("stratum", "_of").withColumn("stratum", F.lit(""))
+    second = stable_pairs(pairs, ["score"], ["score"]).select(F.col("_of").alias("stratum"), "left_id", "right_id", "score")
+    return first.unionByName(second)
 
 
 def match_versions(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -137,22 +169,12 @@ def override_pairs(pairs: DataFrame, chosen: DataFrame) -> DataFrame:
     return rest.select(*pairs.columns).unionByName(good.select("pair", "before_id", "after_id", F.lit("human_selected").alias("match_status"), kind.alias("change_kind")))
 
 
-def _nearest(pdf: pd.DataFrame, days: float, ratio: float) -> pd.DataFrame:
-    used, keep = set(), []
-    for _, own in pdf.sort_values(["left_time", "left_id", "score", "days", "ratio", "right_id"]).groupby(["left_time", "left_id"], sort=False):
-        free = own[~own.right_id.isin(used)]
-        if len(free):
-            keep.append(free.index[0])
-            used.add(free.right_id.iloc[0])
-    return pdf.loc[keep].drop(columns=["left_time"])
-
-
 def caliper_match(left: DataFrame, right: DataFrame, stratum: str, days: float, ratio: float) -> DataFrame:
     """(stratum, left_id, right_id, days, ratio, score): each left row, in order of time, with the nearest right row that
     is still free, at most `days` away and at most `ratio` times as large or small. Sides have id, time and size.
 
-    Only rows in neighbouring bins of time meet. Choices within a stratum depend on one another, so that its pairs
-    within the calipers are one group.
+    Only rows in neighbouring bins of time meet. That the earlier left row comes first is what every right row prefers, so
+    that the choice is that of stable_pairs. Nulls in id, time and size take no part.
     """
     second = lambda c: F.unix_micros(c) / 86_400e6
     a = left.select(F.col(stratum).alias("stratum"), F.col("id").alias("left_id"), second(F.col("time")).alias("_ta"), F.col("time").alias("left_time"), F.col("size").alias("_sa"))
@@ -161,43 +183,57 @@ def caliper_match(left: DataFrame, right: DataFrame, stratum: str, days: float,
     met = a.withColumn("_bin", F.explode(F.sequence(here - 1, here + 1))).join(b.withColumn("_bin", F.floor(F.col("_tb") / days)), ["stratum", "_bin"])
     met = met.withColumns({"days": F.abs(F.col("_ta") - F.col("_tb")), "ratio": (F.greatest("_sa", "_sb") + 1) / (F.least("_sa", "_sb") + 1)})
     met = met.where((F.col("days") <= days) & (F.col("ratio") <= ratio)).withColumn("score", F.abs(F.log1p("_sa") - F.log1p("_sb")) + F.col("days") / 365)
-    met = met.select("stratum", "left_id", "right_id", F.col("days").cast("double").alias("days"), F.col("ratio").cast("double").alias("ratio"), F.col("score").cast("double").alias("score"), "left_time")
-    kinds = dict(met.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in met.columns if c != "left_time")
-    return met.groupBy("stratum").applyInPandas(lambda p: _nearest(p, days, ratio), schema)
-
-
-def _maximum(pdf: pd.DataFrame) -> pd.DataFrame:
-    edges: dict = {}
-    for a, b in sorted(zip(pdf.left_id, pdf.right_id, strict=True)):
-        edges.setdefault(a, []).append(b)
-    owner: dict = {}
-    for start in edges:
-        # a breadth-first search for a free right row, along owned ones
-        came, todo, free = {}, [start], None
-        while todo and free is None:
-            a = todo.pop(0)
-            for b in edges[a]:
-                if b not in came:
-                    came[b] = a
-                    if b not in owner:
-                        free = b
-                        break
-                    todo.append(owner[b])
-        while free is not None:
-            a = came[free]
-            before = next((b for b, o in owner.items() if o == a), None)
-            owner[free] = a
-            if before is None or a == start:
-                break
-            free = before
-    return pd.DataFrame({"stratum": pdf.stratum.iloc[0], "left_id": list(owner.values()), "right_id": list(owner)})
+    met = met.select("stratum", "left_id", "right_id", *[F.col(c).cast("double").alias(c) for c in ("days", "ratio", "score")], "left_time")
+    return stable_pairs(met, ["score", "days", "ratio"], ["left_time"]).drop("left_time")
 
 
 def maximum_match(pairs: DataFrame) -> DataFrame:
     """(stratum, left_id, right_id): as many one-to-one pairs of (stratum, left_id, right_id) as there can be.
 
-    The pairs of a stratum are one group: the choice in a part of it depends on all others.
+    A maximal choice by ids comes first. Then, in phases, a search goes out from all left rows without a partner at once,
+    along pairs to right rows not yet seen and back along chosen pairs, a layer at a time; each right row belongs to one
+    root, the smallest that reaches it, so that the ways of different roots have no row in common. Where a layer meets
+    right rows without a partner, one way for each root is turned round, which gives a pair more for each. A phase that
+    meets none ends it. A layer is a join and an aggregation over the pairs; a stratum, of any size, is no group.
+
+    Null ids take no part, a null stratum is one. Repeated pairs count once. Empty table: no rows.
     """
-    rows = pairs.select("stratum", "left_id", "right_id").distinct()
-    return rows.groupBy("stratum").applyInPandas(_maximum, rows.schema)
+    spark = pairs.sparkSession
+    key = ["stratum"]
+    none = F.lit("\0")
+    edges = pairs.dropna(subset=["left_id", "right_id"]).select(F.coalesce(F.col("stratum").cast("string"), none).alias("stratum"), "left_id", "right_id").distinct()
+    edges = materialize(edges, "edges")
+    chosen = stable_pairs(edges, [], [])
+    while True:
+        roots = edges.select("stratum", "left_id").distinct().join(chosen, [*key, "left_id"], "left_anti")
+        front = materialize(roots.withColumn("root", F.col("left_id")), "front")
+        tree, layers, ends = None, [], None
+        while not front.isEmpty():
+            reach = front.join(edges, [*key, "left_id"])
+            if tree is not None:
+                reach = reach.join(tree.select("stratum", "right_id"), [*key, "right_id"], "left_anti")
+            layer = reach.groupBy(*key, "right_id").agg(F.min(F.struct("root", "left_id")).alias("x")).select("stratum", "right_id", "x.root", F.col("x.left_id").alias("parent"))
+            layer = materialize(layer, "layer")
+            layers.append(layer)
+            tree = layer if tree is None else tree.unionByName(layer)
+            free = layer.join(chosen, [*key, "right_id"], "left_anti")
+            ends = materialize(free.groupBy(*key, "root").agg(F.min(F.struct("right_id", "parent")).alias("x")).select("stratum", "root", "x.*"), "ends")
+            if not ends.isEmpty():
+                break
+            front = materialize(layer.join(chosen, [*key, "right_id"]).select("stratum", "left_id", "root"), "front")
+            ends = None
+        if ends is None:
+            break
+        # back from each end, a layer at a time: the parent takes the right row and gives up its own, which is next
+        turned, way = None, ends
+        for layer in reversed(layers):
+            new = way.select("stratum", F.col("parent").alias("left_id"), "right_id")
+            turned = new if turned is None else turned.unionByName(new)
+            given = new.select("stratum", "left_id").join(chosen, [*key, "left_id"]).select("stratum", "right_id")
+            way = given.join(tree, [*key, "right_id"]).select("stratum", "root", "right_id", "parent")
+            way = materialize(way, "way")
+        turned = materialize(turned, "turned")
+        chosen = materialize(chosen.join(turned, [*key, "left_id"], "left_anti").unionByName(turned.select(*chosen.columns)), "chosen")
+        release(spark, *layers, ends)
+    kind = pairs.schema["stratum"].dataType
+    return chosen.select(F.when(F.col("stratum") != none, F.col("stratum")).cast(kind).alias("stratum"), "left_id", "right_id")

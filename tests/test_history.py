@@ -144,3 +144,45 @@ def test_integration_mapping(spark):
     df = spark.createDataFrame(rows, "m string, on boolean, direct boolean, reach boolean, anc string, sha string")
     got = [r[0] for r in df.select(H.integration_mapping(*[F.col(c) for c in ("m", "on", "direct", "reach", "anc", "sha")])).collect()]
     assert [(r.sha, r.mapping) for r in got] == [("m", "metadata_integration_sha"), ("s", "direct_target_commit"), ("d", "ancestry_to_first_parent_integration"), (None, "unknown")]
+
+
+def test_earliest_integration_on_random_graphs(spark):
+    rnd = random.Random(11)
+    commits, want = [], {}
+    for g in range(12):
+        n, parents = 40, {}
+        for i in range(n):
+            back = list(range(max(0, i - 8), i))
+            parents[i] = [str(x) for x in rnd.sample(back, min(len(back), rnd.choice([1, 1, 1, 2, 3])))] + (["lost"] if rnd.random() < 0.05 else [])
+        head, line = str(n - 1), []
+        while head in {str(i) for i in parents}:
+            line.append(head)
+            head = parents[int(head)][0] if parents[int(head)] else ""
+        line.reverse()
+        for pos, at in enumerate(line):
+            todo, seen = [at], set()
+            while todo:
+                x = todo.pop()
+                if x not in seen:
+                    seen.add(x)
+                    todo += parents.get(int(x), []) if x != "lost" else []
+            for x in seen:
+                want.setdefault((f"r{g}", x), (pos, at))
+        commits.append((f"r{g}", parents, line))
+    rows = [(r, str(i), p) for r, parents, _ in commits for i, p in parents.items()] + [("none", "x", None)]
+    df = spark.createDataFrame(rows, "repository_id string, sha string, parents array<string>")
+    chain = spark.createDataFrame([(r, sha, k) for r, _, line in commits for k, sha in enumerate(line)], "repository_id string, sha string, position long")
+    got = {(r.repository_id, r.sha): (r.position, r.integration) for r in H.earliest_integration(df, chain).collect()}
+    assert got == want
+    assert H.earliest_integration(df, chain.limit(0)).count() == 0 and H.earliest_integration(df.limit(0), chain.limit(0)).count() == 0
+
+
+def test_integration_of_a_long_line(spark, monkeypatch):
+    n, writes = 100_000, []
+    write = H.materialize
+    monkeypatch.setattr(H, "materialize", lambda df, tag: writes.append(tag) or write(df, tag))
+    df = spark.range(n).selectExpr("'r' AS repository_id", "CAST(id AS STRING) AS sha", "CASE WHEN id > 0 THEN array(CAST(id - 1 AS STRING)) ELSE CAST(array() AS ARRAY<STRING>) END AS parents")
+    chain = spark.createDataFrame([("r", str(n - 1), 7), ("r", str(n // 2), 3)], "repository_id string, sha string, position long")
+    got = H.earliest_integration(df, chain).groupBy("position", "integration").count().collect()
+    assert {tuple(r) for r in got} == {(3, str(n // 2), n // 2 + 1), (7, str(n - 1), n - n // 2 - 1)}
+    assert len(writes) < 40
