@@ -167,8 +167,8 @@ class SentencePieceCodec:
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
         """Ids as little-endian u32 bytes by the tokenizers library, and whether sentencepiece agrees on each text.
 
-        A text's parts are the borders that no piece crosses, so that its ids are those of its parts: both libraries
-        encode every distinct part, once while the cache holds it, and where they differ, sentencepiece's ids stand.
+        No piece crosses the borders of a text's parts, so that its ids are those of its parts: both libraries encode
+        every distinct part, once while the cache holds it. The tokenizers library's ids stand, whatever the other says.
         """
         texts = [self.normalized(t) for t in texts]
         parts = [self.part.findall(t) if self.part else [t] if t else [] for t in texts]
@@ -188,8 +188,8 @@ class SentencePieceCodec:
         for k in range(0, len(rest), TOGETHER):
             some = rest[k : k + TOGETHER]
             for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                found[p] = self._reference(p)
-                if np.array(e.ids, "<u4").tobytes() != found[p]:
+                found[p] = np.array(e.ids, "<u4").tobytes()
+                if found[p] != self._reference(p):
                     self.differ.add(p)
         return [found[p] for p in parts]
 
@@ -220,7 +220,7 @@ class SentencePieceCodec:
 def encode_sentencepiece(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", batch: int = 256) -> DataFrame:
     """(id, ids array<int>, n_tokens, parity, round_trip) for every text.
 
-    parity: both libraries gave the same ids. round_trip: the ids decode to the text as it was normalised.
+    ids are the tokenizers library's. parity: sentencepiece gives the same ones. round_trip: the ids decode to the text as it was normalised.
     Nulls: a null text is an empty one, with no ids; a null id is kept. Repeated rows give equal results. Very long
     texts are encoded whole. Empty table: no rows. Other columns are not read.
     """
