@@ -15,6 +15,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from plumbline.runtime import materialize, scratch_path
 from plumbline.sources.store import open_input, open_output
@@ -128,8 +129,10 @@ def exact_top_k(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec
     Nulls: a vector that is null or holds a null, NaN or infinite component takes no part, nor does a null id. Vectors
     of different lengths don't meet. Candidates that repeat as rows repeat in the result; a repeated query counts once
     (with several vectors under one id, their lists are merged). Scores beyond 64 bits are held at the border. Empty
-    table: no rows. Other columns are not read.
+    table: no rows. Other columns are not read. Ids are whole numbers; any other type is a ValueError.
     """
+    if not isinstance(vectors.schema[id_col].dataType, IntegralType):
+        raise ValueError(f"{id_col} must hold whole numbers")
     rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), quantized(F.col(vec_col), scale).alias("q"), queries.alias("asks"))
     rows = rows.where("q IS NOT NULL")
     folder = scratch_path(vectors.sparkSession, "top-k")

@@ -1,6 +1,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import topk as T
@@ -57,3 +58,11 @@ def test_query_matches_oracle(spark):
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{d}/embeddings.parquet'")
     rel = con.sql(Q.ORACLES["op3_exact_top_k"])
     assert sorted(rel.fetchall()) == sorted(tuple(r) for r in Q.op3_exact_top_k(spark, d).select(*rel.columns).collect())
+
+
+def test_ids_are_whole_numbers(spark):
+    df = spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "vec_id string, embedding array<double>")
+    with pytest.raises(ValueError, match="vec_id"):
+        T.exact_top_k(df, F.lit(True))
+    small = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "vec_id int, embedding array<double>")
+    assert {tuple(r) for r in T.exact_top_k(small, F.lit(True)).collect()} == {(1, 1, 2, 2 * 256**2), (2, 1, 1, 2 * 256**2)}
