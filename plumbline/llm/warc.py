@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from plumbline.runtime import materialize, release, scratch_path
 from plumbline.sources.store import delete, open_input, open_output
@@ -132,7 +133,10 @@ FACTS = "page_id long, url string, sha1 string, length long, spool string, at lo
 
 def spool_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """FACTS of every page, written: its payload's SHA-1 and length, and where the payload lies, deflated, in a file of
-    its task in the shared store. So payloads stay where they were read, and only facts move between executors."""
+    its task in the shared store. So payloads stay where they were read, and only facts move between executors. Ids are whole
+    numbers; any other type is a ValueError."""
+    if not isinstance(pages.schema[id_col].dataType, IntegralType):
+        raise ValueError(f"{id_col} must hold whole numbers")
     folder = scratch_path(pages.sparkSession, "spool")
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     body = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))

@@ -84,3 +84,9 @@ def test_payloads_do_not_move(spark):
     df, _ = pages(spark)
     facts = W.spool_pages(df)
     assert "payload" not in facts.columns and "html" not in W.page_records(facts)._jdf.queryExecution().toString()
+
+
+def test_ids_are_whole_numbers(spark):
+    df = spark.createDataFrame([("a", "u", "h")], "page_id string, url string, html string")
+    with pytest.raises(ValueError, match="page_id"):
+        W.archive_pages(df)
