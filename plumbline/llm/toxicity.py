@@ -365,8 +365,8 @@ def held_out(id_col: Column, folds: int = 5) -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int, chars: int) -> DataFrame:
-    """(nr, label, t): labelled documents outside the held-out fold, at most `most` of either label, the first by a
-    hash of the id, and no further one once those before it hold `chars` characters. Texts are whole; copies of one
+    """(nr, label, t): labelled documents outside the held-out fold, at most `most` of either label (and 4 times as many
+    texts, where ids repeat with others), the first by a hash of the id, and no further one once those before it hold `chars` characters. Texts are whole; copies of one
     count once, as toxic if one of them is."""
     told = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
     told = told.groupBy(F.col(id_col).alias("id")).agg((F.max(F.col(label_col).cast("int")) > 0).cast("int").alias("label"))
@@ -379,6 +379,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     own = rows.withColumn("h", F.xxhash64("t"))
     sizes = own.groupBy("h").agg(F.max("label").alias("label"), F.min(F.struct(F.xxhash64("id").alias("o"), "id")).alias("one"), F.max(F.length("t")).alias("n"))
     sizes = sizes.select("h", "label", "one.id", "one.o", "n")
+    # ids are `most` for each label, but one may stand at any number of texts: a fixed number of texts is put in order
+    first = [sizes.where(f"label = {k}").orderBy("o", "id", "h").limit(4 * most) for k in (0, 1)]
+    sizes = first[0].unionByName(first[1])
     by = Window.partitionBy("label").orderBy("o", "id", "h")
     sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     sizes = sizes.where(F.col("before") < chars).withColumn("nr", F.row_number().over(Window.orderBy("label", "o", "id", "h")) - 1)

@@ -135,3 +135,32 @@ def test_nothing_to_learn_from(spark):
     model = T.fit(docs, labels)
     assert T.score(docs, model).count() == 0
     assert T.train(["good words here"], [0]).scorer().scores(["idiot", ""]).max() < 0.5
+
+
+def test_fit_is_train_on_the_same_sample(spark):
+    """What executors count and compute gives the model that one machine learns from the texts in memory."""
+    rnd = random.Random(12)
+    docs, labels = [], []
+    for i in range(240):
+        toxic = i % 2
+        words = [rnd.choice(["lorem", "ipsum", "dolor", "amet", "elit"]) for _ in range(rnd.randint(3, 12))]
+        if toxic:
+            words.insert(rnd.randrange(len(words)), rnd.choice(BAD))
+        docs.append((i, " ".join(words) + rnd.choice([". ", "! ", "\n"]) + "tail words here"))
+        labels.append((i, toxic))
+    d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = T.fit(d.repartition(5), y)
+    sample = sorted((r.nr, r.label, r.t) for r in T.training_sample(d, y, "doc_id", "text", "toxic", T.DOCS, T.CHARS).collect())
+    plain = T.train([t for *_, t in sample], [k for _, k, _ in sample])
+    assert model.landmarks == plain.landmarks
+    texts = [t for _, t in docs] + ["nothing", "", "grublingg", "n.a.s.t.y"]
+    assert model.scorer().scores(texts) == pytest.approx(plain.scorer().scores(texts), abs=1e-6)
+    assert np.asarray(model.weights) == pytest.approx(np.asarray(plain.weights), rel=1e-5, abs=1e-7)
+
+
+def test_sample_of_an_id_with_many_texts_is_bounded(spark):
+    d = spark.createDataFrame([(1, f"text {k}") for k in range(300)] + [(2, "nasty one"), (3, "fine")], "doc_id long, text string")
+    y = spark.createDataFrame([(1, 0), (2, 1), (3, 0)], "doc_id long, toxic int")
+    held = {r[0] for r in y.where(T.held_out(T.F.col("doc_id"))).collect()}
+    got = T.training_sample(d, y, "doc_id", "text", "toxic", 2, 1 << 20).collect()
+    assert sum(r.label == 0 for r in got) <= 8 and (2 in held or any(r.label for r in got))
