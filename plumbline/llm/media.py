@@ -115,21 +115,31 @@ def decode_png(png: bytes) -> np.ndarray:
         raise ValueError("no PNG signature")
     at, head, inflate, parts, ended = 8, None, zlib.decompressobj(), [], False
     while not ended:
+        if at + 12 > len(png):
+            raise ValueError("the PNG ends early")
         size, kind = struct.unpack_from(">I4s", png, at)
         body = png[at + 8 : at + 8 + size]
-        if len(body) < size or struct.unpack_from(">I", png, at + 8 + size)[0] != zlib.crc32(kind + body):
+        if at + 12 + size > len(png) or struct.unpack_from(">I", png, at + 8 + size)[0] != zlib.crc32(kind + body):
             raise ValueError(f"chunk {kind!r} is damaged")
+        if (kind == b"IHDR") != (head is None) or (kind == b"IHDR" and size != 13):
+            raise ValueError("a PNG begins with one header")
         if kind == b"IHDR":
             head = struct.unpack(">IIBBBBB", body)
         elif kind == b"IDAT":
-            parts.append(inflate.decompress(body))
+            try:
+                parts.append(inflate.decompress(body))
+            except zlib.error as e:
+                raise ValueError("damaged samples") from e
         ended = kind == b"IEND"
         at += 12 + size
     width, height, depth, colour, _, _, interlace = head
-    channels = {0: 1, 2: 3, 4: 2, 6: 4}[colour]
-    if depth != 8 or interlace:
-        raise ValueError("8-bit samples without interlacing only")
-    lines = np.frombuffer(b"".join([*parts, inflate.flush()]), np.uint8).reshape(height, 1 + width * channels)
+    channels = {0: 1, 2: 3, 4: 2, 6: 4}.get(colour)
+    if depth != 8 or interlace or channels is None:
+        raise ValueError("8-bit samples without palette and interlacing only")
+    data = b"".join([*parts, inflate.flush()])
+    if len(data) != height * (1 + width * channels):
+        raise ValueError("the PNG has not the samples that its header says")
+    lines = np.frombuffer(data, np.uint8).reshape(height, 1 + width * channels)
     return unfiltered(lines, channels).reshape(height, width, channels)
 
 

@@ -81,3 +81,16 @@ def test_documents_round_trip(spark, tmp_path):
         assert r.payload_sha256 == hashlib.sha256(full).hexdigest() and r.tail_crc32 == zlib.crc32(full[-16:])
     assert rows[7][1:] == rows[8][1:] and rows[0][1:] == rows[1][1:] and len(rows[6].feature) == 16
     assert M.to_media(df.limit(0)).count() == 0
+
+
+def test_damaged_images_are_value_errors():
+    png = M.encode_png(b"abc " * 96)
+    for k in range(len(png)):
+        with pytest.raises(ValueError):
+            M.decode_png(png[:k])
+    head = M._chunk(b"IHDR", png[16:29])
+    body = png[8 + len(head) :]
+    for bad in (png[:8] + body, png[:8] + head + head + body, png[:8] + head + M._chunk(b"IEND", b""), png[:8] + head + M._chunk(b"IDAT", b"junk") + body, png[:8] + M._chunk(b"IHDR", png[16:25] + b"\x03" + png[26:29]) + body):
+        with pytest.raises(ValueError):
+            M.decode_png(bad)
+    assert M.decode_png(png).size == 384
