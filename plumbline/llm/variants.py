@@ -202,15 +202,16 @@ def near_words(words: DataFrame, block: int = BLOCK) -> DataFrame:
 def roots(forms: DataFrame) -> DataFrame:
     """(w, root) for (w, form): the end of each chain of forms, by doubling. Chains must not close; each job doubles the
     steps taken, and a word that is the form of many is joined from the side with one row for it."""
-    spark, live = forms.sparkSession, materialize(forms.select("w", F.col("form").alias("root")), "forms")
+    spark, old = forms.sparkSession, materialize(forms.select("w", F.col("form").alias("root")), "forms")
     while True:
+        live = old.select("w", "root")
         up = live.select(F.col("w").alias("root"), F.col("root").alias("next"))
         step = live.join(up, "root", "left").select("w", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
         step = materialize(step, "forms")
-        release(spark, live)
-        live = step.select("w", "root")
+        release(spark, old)
+        old = step
         if step.where("moved").isEmpty():
-            return live
+            return step.select("w", "root")
 
 
 def spelling_variants(
