@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.runtime import materialize
+from plumbline.runtime import materialize, release
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -19,38 +19,34 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     Nulls: an edge with a null end is ignored. Self loops give a node that is its own component. Repeated and reversed
     edges count once. An empty table gives no rows.
     """
+    spark = edges.sparkSession
     ends = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
-    ends = materialize(ends.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
+    live = materialize(ends.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
     labels = None
-    live = ends
     while True:
         both = live.select("u", "v").unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
         hooks = both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("root"))
         hooks = materialize(hooks, "hooks")
         while True:
             up = hooks.select(F.col("node").alias("root"), F.col("root").alias("higher"))
-            jumped = materialize(
-                hooks.join(up, "root", "left").select("node", F.coalesce("higher", "root").alias("next"), "root"), "jump"
-            )
-            moved = not jumped.where("next <> root").isEmpty()
-            hooks = jumped.select("node", F.col("next").alias("root"))
-            if not moved:
+            jumped = hooks.join(up, "root", "left").select("node", F.coalesce("higher", "root").alias("root"), F.coalesce(F.col("higher") != F.col("root"), F.lit(False)).alias("moved"))
+            jumped = materialize(jumped, "jump")
+            release(spark, hooks)
+            hooks = jumped
+            if hooks.where("moved").isEmpty():
                 break
         if labels is None:
-            labels = hooks
+            labels = materialize(hooks.select("node", "root"), "labels")
         else:
             step = hooks.select(F.col("node").alias("root"), F.col("root").alias("higher"))
-            labels = labels.join(step, "root", "left").select("node", F.coalesce("higher", "root").alias("root"))
-            labels = materialize(labels, "labels")
+            old, labels = labels, materialize(labels.join(step, "root", "left").select("node", F.coalesce("higher", "root").alias("root")), "labels")
+            release(spark, old)
         a = hooks.select(F.col("node").alias("u"), F.col("root").alias("ru"))
         b = hooks.select(F.col("node").alias("v"), F.col("root").alias("rv"))
-        live = (
-            live.join(a, "u")
-            .join(b, "v")
-            .where("ru <> rv")
-            .select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v"))
-            .distinct()
-        )
-        live = materialize(live, "contracted")
+        met = live.join(a, "u").join(b, "v").where("ru <> rv")
+        rest = materialize(met.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(), "contracted")
+        release(spark, live, hooks)
+        live = rest
         if live.isEmpty():
+            release(spark, live)
             return labels.select("node", F.col("root").alias("component"))

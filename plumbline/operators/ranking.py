@@ -34,6 +34,24 @@ def global_rank(df: DataFrame, order: list[Column], out: str = "rank", total: st
     return out_df.drop("_range", "_n0", "_t0")
 
 
+def group_rank(df: DataFrame, groups: list[str], order: list[Column], out: str = "rank", total: str | None = None, before: str = "before") -> DataFrame:
+    """global_rank within groups: numbers from 0 and running sums begin anew in each group, however large it is.
+
+    The rows of all groups are numbered in one order, from which each group's first number and sum, one row for each, are
+    taken off. A null group is one.
+    """
+    ranked = global_rank(df, [*[F.col(g).asc_nulls_first() for g in groups], *order], out, total, before)
+    ranked = materialize(ranked, "ranked")
+    first = ranked.groupBy(*[F.col(g).alias(f"_{i}") for i, g in enumerate(groups)]).agg(F.min(out).alias("_n0"), *([F.min_by(before, out).alias("_t0")] if total else []))
+    same = F.lit(True)
+    for i, g in enumerate(groups):
+        same &= F.col(g).eqNullSafe(F.col(f"_{i}"))
+    met = ranked.join(first, same).withColumn(out, F.col(out) - F.col("_n0"))
+    if total:
+        met = met.withColumn(before, F.col(before) - F.col("_t0"))
+    return met.drop("_n0", "_t0", *[f"_{i}" for i in range(len(groups))])
+
+
 def global_running(df: DataFrame, order: list[Column], value: Column, how: str, out: str) -> DataFrame:
     """Add the running min, max or sum of value, in a total order of all rows, each row included.
 

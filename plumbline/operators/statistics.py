@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.exact import mcnemar_p
-from plumbline.operators.ranking import global_rank, global_running
+from plumbline.operators.ranking import global_rank, group_rank, global_running
 
 Z = 1.959963984540054
 
@@ -50,8 +50,7 @@ def wilson(k: Column, n: Column, upper: bool, z: float = Z) -> Column:
 
 def round_robin(df: DataFrame, groups: list[str], order: list[Column], out: str = "turn") -> DataFrame:
     """df with turn from 0: the first row of each group, then the second of each, groups by name within a layer."""
-    layer = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
-    ranked = global_rank(df.withColumn("_layer", layer), [F.col("_layer"), *[F.col(g) for g in groups]], out)
+    ranked = global_rank(group_rank(df, groups, order, "_layer"), [F.col("_layer"), *[F.col(g) for g in groups]], out)
     return ranked.drop("_layer")
 
 

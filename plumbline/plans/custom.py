@@ -110,6 +110,20 @@ def fun01_canonical_props(spark, sf_dir):
     return rows.select("event_id", canonical(F.col("props")).alias("canonical"), stable_id(F.col("event_id"), F.col("event_type")).alias("stable_id"))
 
 
+#: One pair after the other: taken if neither of its rows is.
+GREEDY = """
+go AS (
+  SELECT CAST(0 AS BIGINT) AS nr, CAST([] AS VARCHAR[]) AS used, false AS taken
+  UNION ALL
+  SELECT p.nr, CASE WHEN list_contains(used, 'l' || left_id) OR list_contains(used, 'r' || right_id) THEN used ELSE used || ['l' || left_id, 'r' || right_id] END,
+         NOT (list_contains(used, 'l' || left_id) OR list_contains(used, 'r' || right_id))
+  FROM go JOIN p ON p.nr = go.nr + 1)"""
+ORACLES["jon24_greedy_matching"] = f"""
+WITH RECURSIVE p AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY abs(s_acctbal - c_acctbal), s_suppkey, c_custkey) AS nr, s_nationkey AS stratum, s_suppkey AS left_id, c_custkey AS right_id, abs(s_acctbal - c_acctbal) AS score
+  FROM supplier JOIN customer ON s_nationkey = c_nationkey AND abs(s_acctbal - c_acctbal) <= 200),
+{GREEDY}
+SELECT stratum, left_id, right_id, score FROM go JOIN p USING (nr) WHERE taken"""
 QUERIES |= {f.__name__: f for f in (sta08_cluster_bootstrap, sta03_fisher_by_language, txt12_structured_scan, txt11_reconcile, fun01_canonical_props)}
 ORACLES["sta03_fisher_by_language"] = """
 WITH t AS (

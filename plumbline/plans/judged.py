@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import lines
 from plumbline.operators import history, review
 from plumbline.operators.matching import caliper_match, maximum_match
+from plumbline.plans.custom import GREEDY
 from plumbline.plans.linkage import N, over, plain
 from plumbline.runtime import table
 
@@ -120,12 +121,13 @@ def jon21_ancestors(spark, sf_dir):
 def jon25_caliper_match(spark, sf_dir):
     a = over(spark, sf_dir, "SELECT o_orderpriority AS g, o_orderkey AS id, CAST(o_orderdate AS TIMESTAMP) AS time, CAST(o_totalprice AS BIGINT) AS size FROM {orders} WHERE o_orderkey % 9 = 0")
     b = over(spark, sf_dir, "SELECT o_orderpriority AS g, o_orderkey AS id, CAST(o_orderdate AS TIMESTAMP) AS time, CAST(o_totalprice AS BIGINT) AS size FROM {orders} WHERE o_orderkey % 9 = 1")
-    return caliper_match(a, b, "g", 7.0, 3.0)
+    found = caliper_match(a, b, "g", 7.0, 3.0)
+    return found.withColumns({c: F.round(c, 9) for c in ("ratio", "score")})
 
 
 def jon26_maximum_match(spark, sf_dir):
-    # every customer of a nation may have the supplier beside it: the size of the match is what both engines can tell
-    pairs = over(spark, sf_dir, "SELECT s_nationkey AS stratum, s_suppkey AS left_id, c_custkey AS right_id FROM {supplier} JOIN {customer} ON s_nationkey = c_nationkey")
+    # a supplier may have the customers of its nation whose keys lie where its own does, of suppliers by 40 and customers by 600
+    pairs = over(spark, sf_dir, "SELECT s_nationkey AS stratum, s_suppkey AS left_id, c_custkey AS right_id FROM {supplier} JOIN {customer} ON s_nationkey = c_nationkey AND floor(s_suppkey / 40) = floor(c_custkey / 600)")
     return maximum_match(pairs).groupBy("stratum").agg(F.count("*").alias("n"))
 
 
@@ -241,7 +243,19 @@ ORACLES = {name: plain(sql) for name, sql in {
     "jon21_ancestors": """
         WITH RECURSIVE a AS (SELECT s_suppkey AS sha, s_suppkey AS ancestor FROM {supplier} WHERE s_suppkey > 0 UNION SELECT sha, unnest([ancestor // 2, ancestor // 3]) FROM a WHERE ancestor > 1)
         SELECT DISTINCT sha, ancestor FROM a WHERE ancestor > 0""",
-    "jon26_maximum_match": "SELECT s.k AS stratum, least(s.n, c.n) AS n FROM (SELECT s_nationkey AS k, count(*) AS n FROM {supplier} GROUP BY 1) s JOIN (SELECT c_nationkey AS k, count(*) AS n FROM {customer} GROUP BY 1) c ON s.k = c.k",
+    "jon25_caliper_match": f"""
+WITH RECURSIVE o AS (SELECT o_orderpriority AS g, o_orderkey AS id, CAST(o_orderdate AS TIMESTAMP) AS t, epoch_us(CAST(o_orderdate AS TIMESTAMP)) / 86400e6 AS d, CAST(floor(o_totalprice) AS BIGINT) AS size FROM orders),
+met AS (
+  SELECT a.g AS stratum, a.id AS left_id, b.id AS right_id, abs(a.d - b.d) AS days, (greatest(a.size, b.size) + 1) / CAST(least(a.size, b.size) + 1 AS DOUBLE) AS ratio, a.t AS t,
+         abs(ln(1.0 + a.size) - ln(1.0 + b.size)) + abs(a.d - b.d) / 365 AS score
+  FROM o a JOIN o b ON a.g = b.g AND a.id % 9 = 0 AND b.id % 9 = 1 AND abs(a.d - b.d) <= 7),
+p AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY t, left_id, score, days, ratio, right_id) AS nr FROM met WHERE ratio <= 3),
+{GREEDY}
+SELECT stratum, left_id, right_id, days, round(ratio, 9) AS ratio, round(score, 9) AS score FROM go JOIN p USING (nr) WHERE taken""",
+    "jon26_maximum_match": """
+SELECT stratum, CAST(sum(least(s, c)) AS BIGINT) AS n FROM (
+  SELECT s_nationkey AS stratum, s_suppkey // 40 AS b, count(DISTINCT s_suppkey) AS s, count(DISTINCT c_custkey) AS c
+  FROM supplier JOIN customer ON s_nationkey = c_nationkey AND s_suppkey // 40 = c_custkey // 600 GROUP BY 1, 2) GROUP BY 1""",
     "rev03_disagreements": f"""
         WITH {LAST} SELECT case_id, string_agg(id, ';' ORDER BY id) AS ids, 'pending_adjudication' AS status FROM r GROUP BY case_id HAVING count(DISTINCT queue || dimensions) > 1""",
     "sta19_gold": f"WITH {LAST} SELECT case_id, min(queue) AS queue FROM r GROUP BY case_id HAVING count(DISTINCT reviewer) = 2 AND count(DISTINCT slot) = 2 AND count(DISTINCT queue || dimensions) = 1",

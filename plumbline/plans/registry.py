@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plumbline.plans import census, custom, judged, linkage, relational, statements
+from plumbline.plans import census, custom, judged, linkage, ordered, relational, scans, statements
 
-MODULES = (census, relational, custom, linkage, judged, statements)
+MODULES = (census, relational, custom, linkage, judged, statements, scans, ordered)
 
 
 def queries() -> dict:

@@ -106,14 +106,6 @@ STATEMENTS: dict[str, str | tuple[str, str]] = {
     "agg32_gini": """
         SELECT sum((2 * r - n - 1) * CAST(x AS DOUBLE)) / (max(n) * sum(CAST(x AS DOUBLE))) AS gini FROM (
           SELECT x, row_number() OVER (ORDER BY x) AS r, count(*) OVER () AS n FROM (SELECT o_custkey, count(*) AS x FROM {orders} GROUP BY 1) a) b""",
-    "agg33_trimmed_mean": """
-        SELECT o_orderpriority, avg(o_totalprice) AS trimmed FROM (
-          SELECT o_orderpriority, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) AS r, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM {orders}) x
-        WHERE r > floor(n * 0.05) AND r <= n - floor(n * 0.05) GROUP BY 1""",
-    "agg34_percentiles": (
-        "SELECT l_returnflag, percentile(l_extendedprice, 0.5) AS p50, percentile(l_extendedprice, 0.95) AS p95 FROM {lineitem} GROUP BY 1",
-        "SELECT l_returnflag, quantile_cont(l_extendedprice, 0.5) AS p50, quantile_cont(l_extendedprice, 0.95) AS p95 FROM lineitem GROUP BY 1",
-    ),
     "agg36_total_variation": """
         SELECT sum(abs(coalesce(a.p, 0) - coalesce(b.p, 0))) / 2 AS distance FROM
           (SELECT source, count(*) * 1.0E0 / sum(count(*)) OVER () AS p FROM {documents} WHERE lang = 'en' GROUP BY source) a
@@ -166,7 +158,8 @@ STATEMENTS: dict[str, str | tuple[str, str]] = {
         SELECT doc_id, CAST(r AS INT) AS layer FROM (SELECT doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY md5(concat('11:', CAST(doc_id AS VARCHAR(20)))), doc_id) AS r FROM {documents}) x WHERE r <= 4""",
     "srt07_inclusion_probability": """
         SELECT doc_id, least(20, n) * 1.0E0 / n AS probability FROM (
-          SELECT doc_id, count(*) OVER (PARTITION BY lang) AS n, row_number() OVER (PARTITION BY lang ORDER BY md5(concat('3:', CAST(doc_id AS VARCHAR(20)))), doc_id) AS r FROM {documents}) x WHERE r <= 20""",
+          SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(concat('3:', CAST(doc_id AS VARCHAR(20)))), doc_id) AS r FROM {documents}) x
+        JOIN (SELECT lang AS l, count(*) AS n FROM {documents} GROUP BY 1) c ON lang = l WHERE r <= 20""",
     "srt09_group_holdout": """
         SELECT source, row_number() OVER (ORDER BY md5(concat('5:', source)), source) <= floor(0.2 * count(*) OVER ()) AS held_out FROM (SELECT DISTINCT source FROM {documents}) x""",
     "srt10_latest_before_cutoff": (

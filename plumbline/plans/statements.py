@@ -91,15 +91,8 @@ STATEMENTS: dict[str, str | tuple[str, str]] = {
         "SELECT label, count(*) AS n FROM (SELECT unnest(string_split(concat(event_type, ';', CASE WHEN value > 50 THEN 'large;' ELSE '' END), ';')) AS label FROM {events}) x WHERE label <> '' GROUP BY 1",
     ),
     "agg31_stratum_summaries": "SELECT l_returnflag, l_linestatus, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers FROM {lineitem} GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())",
-    "agg35_quantile_or_zero": (
-        "SELECT r_name, coalesce(percentile(CASE WHEN c_acctbal > 0 THEN c_acctbal END, 0.9), 0.0) AS q FROM {region} LEFT JOIN {nation} ON r_regionkey = n_regionkey LEFT JOIN {customer} ON n_nationkey = c_nationkey GROUP BY 1",
-        "SELECT r_name, coalesce(quantile_cont(CASE WHEN c_acctbal > 0 THEN c_acctbal END, 0.9), 0.0) AS q FROM {region} LEFT JOIN {nation} ON r_regionkey = n_regionkey LEFT JOIN {customer} ON n_nationkey = c_nationkey GROUP BY 1",
-    ),
     # ---- ordered rows
     "win04_first_occurrence": "SELECT user_id, event_type, min(event_id) AS first_event FROM {events} GROUP BY 1, 2",
-    "win11_rank_and_share": """
-        SELECT l_returnflag, l_suppkey, n, CAST(rank() OVER (PARTITION BY l_returnflag ORDER BY n DESC) AS INT) AS place, sum(n) OVER (PARTITION BY l_returnflag ORDER BY n DESC, l_suppkey ROWS UNBOUNDED PRECEDING) * 1.0E0 / sum(n) OVER (PARTITION BY l_returnflag) AS cumulative
-        FROM (SELECT l_returnflag, l_suppkey, count(*) AS n FROM {lineitem} GROUP BY 1, 2) x""",
     "win13_context_lines": (
         "SELECT user_id, event_id, array_join(collect_list(event_type) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING), ' ') AS context FROM {events}",
         "SELECT user_id, event_id, coalesce(array_to_string(list(event_type) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING), ' '), '') AS context FROM {events}",
@@ -125,8 +118,9 @@ STATEMENTS: dict[str, str | tuple[str, str]] = {
           SELECT 'documents' AS source_kind, doc_id AS id, text AS body FROM {documents} UNION ALL SELECT 'benchmark', item_id, text FROM {benchmark} UNION ALL SELECT 'conversations', conv_id * 1000 + turn, text FROM {conversations}) u WHERE body IS NOT NULL) x WHERE r = 1""",
     "sta09_equal_repository_mean": "SELECT count(*) AS repositories, avg(m) AS effect FROM (SELECT d.source, avg(CAST(l.toxic AS DOUBLE)) AS m FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY 1) x",
     "sta21_outlier_audit": """
-        SELECT l_returnflag, l_suppkey, n, n > 3 * average AS flagged FROM (SELECT l_returnflag, l_suppkey, n, avg(n) OVER (PARTITION BY l_returnflag) AS average, row_number() OVER (PARTITION BY l_returnflag ORDER BY n DESC, l_suppkey) AS r FROM (
-          SELECT l_returnflag, l_suppkey, count(*) AS n FROM {lineitem} GROUP BY 1, 2) a) b WHERE r <= 20""",
+        WITH a AS (SELECT l_returnflag, l_suppkey, count(*) AS n FROM {lineitem} GROUP BY 1, 2), m AS (SELECT l_returnflag AS f, avg(n) AS average FROM a GROUP BY 1)
+        SELECT l_returnflag, l_suppkey, n, n > 3 * average AS flagged
+        FROM (SELECT * FROM (SELECT l_returnflag, l_suppkey, n, row_number() OVER (PARTITION BY l_returnflag ORDER BY n DESC, l_suppkey) AS r FROM a) b WHERE r <= 20) c JOIN m ON l_returnflag = f""",
     "sta22_density": """
         SELECT d.lang, sum(l.toxic) * 1000.0E0 / sum(d.n_chars) AS pooled, avg(l.toxic * 1000.0E0 / d.n_chars) AS mean FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id WHERE d.n_chars > 0 GROUP BY 1""",
     "sta26_subgroups": """
