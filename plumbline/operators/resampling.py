@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from math import pi
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.runtime import materialize
+
 
 def cluster_bootstrap(df: DataFrame, cluster: str, value: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
     """(mean, lo, hi): the mean of all rows and its 95 percent interval, whole clusters drawn with replacement.
@@ -58,20 +62,36 @@ def sign_flip_sampled(df: DataFrame, cluster: str, value: str, draws: int = 10_0
     return far.select(F.when(F.col("k") > 0, F.col("t") / F.col("k")).alias("mean"), ((F.col("far") + 1) / (F.col("n") + 1)).alias("p"))
 
 
+def poisson(n: Column, *key: Column) -> Column:
+    """A Poisson number of mean n that the key's hashes give: exact below 32 by going through its distribution, beyond it
+    the rounded normal one of that mean and variance."""
+    uniform = lambda salt: (F.pmod(F.xxhash64(F.lit(salt), *key), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    first = F.struct(F.exp(-n).alias("p"), F.exp(-n).alias("c"), F.lit(0).alias("t"), uniform(1).alias("u"))
+
+    def step(a: Column, k: Column) -> Column:
+        p = a["p"] * n / k
+        return F.struct(p.alias("p"), (a["c"] + p).alias("c"), (a["t"] + (a["u"] >= a["c"]).cast("int")).alias("t"), a["u"].alias("u"))
+
+    few = F.aggregate(F.sequence(F.lit(1), F.lit(96)), first, step, lambda a: a["t"])
+    z = F.sqrt(-2 * F.log(uniform(2))) * F.cos(uniform(3) * (2 * pi))
+    return F.when(n < 32, few).otherwise(F.greatest(F.lit(0), F.round(n + F.sqrt(n) * z))).cast("long")
+
+
 def two_sample_bootstrap(df: DataFrame, side: str, value: str, scales: tuple[float, float] = (1.0, 1.0), replicates: int = 1000, seed: int = 42) -> DataFrame:
-    """(effect, lo, hi): the difference of the two sides' means, each times its scale, and its 95 percent interval; rows
-    are drawn with replacement by Poisson numbers, side is boolean. Rows fold by value before they are drawn."""
-    own = df.where(F.col(side).isNotNull() & F.col(value).isNotNull()).withColumn("c", F.monotonically_increasing_id())
-    parts = []
-    for yes, scale in ((True, scales[0]), (False, scales[1])):
-        one = own.where(F.col(side) == F.lit(yes)).select("c", (F.col(value).cast("double") * scale).alias("v"))
-        drawn = one.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("u", F.pmod(F.xxhash64(F.lit(seed), F.lit(yes), "b", "c"), F.lit(1 << 30)) / float(1 << 30))
-        times, p, total = F.lit(0), 2.718281828459045**-1, 0.0
-        for k in range(1, 9):
-            total += p
-            times = times + (F.col("u") >= total).cast("int")
-            p /= k
-        parts.append((one.agg(F.avg("v").alias(f"m{int(yes)}")), drawn.withColumn("t", times).groupBy("b").agg((F.sum(F.col("v") * F.col("t")) / F.sum("t")).alias(f"b{int(yes)}"))))
-    (a, da), (b, db) = parts
-    interval = da.join(db, "b").agg(F.percentile(F.col("b1") - F.col("b0"), 0.025).alias("lo"), F.percentile(F.col("b1") - F.col("b0"), 0.975).alias("hi"))
-    return a.crossJoin(b).crossJoin(interval).select((F.col("m1") - F.col("m0")).alias("effect"), "lo", "hi")
+    """(effect, lo, hi): the difference of the two sides' means, each times its scale, and its 95 percent interval, rows
+    drawn with replacement; side is boolean.
+
+    Rows fold by side and value first. Of a value that n rows have, a replicate draws a Poisson number of mean n, which a
+    hash of seed, side, value and replicate gives: so what is drawn are values, not rows, results do not depend on
+    partitions or the rows' order, and sums are combined before they are exchanged. Null sides and values count nowhere.
+    """
+    own = df.where(F.col(side).isNotNull() & F.col(value).isNotNull()).groupBy(F.col(side).alias("s"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    own = materialize(own, "folded")
+    scaled = F.col("v") * F.when(F.col("s"), F.lit(float(scales[0]))).otherwise(F.lit(float(scales[1])))
+    means = lambda rows, t: F.sum(F.when(rows, scaled * t)) / F.sum(F.when(rows, t))
+    effect = means(F.col("s"), F.col("n")) - means(~F.col("s"), F.col("n"))
+    drawn = own.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    drawn = drawn.withColumn("t", poisson(F.col("n").cast("double"), F.lit(seed), F.col("s"), F.col("v"), F.col("b")))
+    each = drawn.groupBy("b").agg((means(F.col("s"), F.col("t")) - means(~F.col("s"), F.col("t"))).alias("e"))
+    interval = each.agg(F.percentile("e", 0.025).alias("lo"), F.percentile("e", 0.975).alias("hi"))
+    return own.agg(effect.alias("effect")).join(interval, F.lit(True))
