@@ -89,6 +89,19 @@ def greedy_match(left: DataFrame, right: DataFrame, stratum: str, value: str, ca
     return first.unionByName(second)
 
 
+def suffix_matches(paths: DataFrame, patterns: DataFrame, id_col: str, path_col: str, pattern_col: str) -> DataFrame:
+    """(id, pattern) of the paths that end with one pattern alone, whole or behind a slash.
+
+    Each path is met with its own endings, one for each folder, by equality, so that no path is held against every
+    pattern. Null paths and patterns take no part, patterns that repeat count once.
+    """
+    parts = F.split(path_col, "/")
+    endings = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    rows = paths.where(F.col(path_col).isNotNull()).select(id_col, F.explode(endings).alias(pattern_col))
+    met = rows.join(patterns.select(pattern_col).distinct(), pattern_col)
+    return met.groupBy(id_col).agg(F.min(pattern_col).alias(pattern_col), F.count("*").alias("_n")).where("_n = 1").drop("_n")
+
+
 def match_versions(before: DataFrame, after: DataFrame) -> DataFrame:
     """(pair, before_id, after_id, match_status, change_kind) of the entities of two versions.
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+from math import exp, factorial
+
 from pyspark.sql import functions as F
 
 from plumbline.functions.exact import fisher_p
@@ -82,7 +85,7 @@ FROM o JOIN e ON o.user_id = e.user_id AND o.nth = e.nth GROUP BY ALL""",
 
 def sta08_cluster_bootstrap(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    return cluster_bootstrap(rows, "source", "toxic", 500)
+    return cluster_bootstrap(rows, "source", "toxic", 500).select(*[F.round(c, 9).alias(c) for c in ("mean", "lo", "hi")])
 
 
 def sta03_fisher_by_language(spark, sf_dir):
@@ -125,6 +128,15 @@ WITH RECURSIVE p AS MATERIALIZED (
 {GREEDY}
 SELECT stratum, left_id, right_id, score FROM go JOIN p USING (nr) WHERE taken"""
 QUERIES |= {f.__name__: f for f in (sta08_cluster_bootstrap, sta03_fisher_by_language, txt12_structured_scan, txt11_reconcile, fun01_canonical_props)}
+#: The borders of the Poisson numbers of mean 1: a number beyond k of them is drawn above the k-th.
+BORDERS = list(accumulate(exp(-1) / factorial(k) for k in range(8)))
+ORACLES["sta08_cluster_bootstrap"] = f"""
+WITH s AS (SELECT source AS c, CAST(sum(toxic) AS DOUBLE) AS s, count(toxic) AS n FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL GROUP BY 1),
+d AS (SELECT b, s, n, CAST('0x' || substr(md5('42:' || b || ':' || coalesce(c, '')), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM s, range(1, 501) r(b)),
+t AS (SELECT b, s, n, {' + '.join(f'CAST(u >= CAST({x!r} AS DOUBLE) AS INT)' for x in BORDERS)} AS t FROM d),
+e AS (SELECT b, sum(s * t) / sum(n * t) AS m FROM t GROUP BY b)
+SELECT round((SELECT sum(s) / sum(n) FROM s), 9) AS mean, round(quantile_cont(m, 0.025), 9) AS lo, round(quantile_cont(m, 0.975), 9) AS hi FROM e"""
+ORACLES["txt12_structured_scan"] = "SELECT event_id AS id, CASE WHEN json_valid(props) THEN 'parsed_with_semantic_gaps' ELSE 'invalid_json' END AS status, CAST(0 AS BIGINT) AS n_matches FROM events"
 ORACLES["sta03_fisher_by_language"] = """
 WITH t AS (
   SELECT lang, count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS a, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS b,

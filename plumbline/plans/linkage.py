@@ -74,11 +74,6 @@ def prj04_patch_status(spark, sf_dir):
     return over(spark, sf_dir, FILES).groupBy(census.patch_status(F.col("patch")).alias("status")).agg(F.count("*").alias("n"))
 
 
-def src07_column_mapping(spark, sf_dir):
-    found = census.column_mapping(over(spark, sf_dir, PRS).columns)
-    return spark.createDataFrame([(k, v) for k, v in found.items() if v], "canonical string, name string")
-
-
 def src08_source_rows(spark, sf_dir):
     rows = _census(spark, sf_dir)[0]
     return rows.groupBy("table_name", "role").agg(F.count("*").alias("n"), F.count("entity_id").alias("n_ids"), F.count("sha").alias("n_shas"), F.count("pr_key").alias("n_keys"), F.sum(F.col("row_number")).alias("row_numbers"))
@@ -238,7 +233,7 @@ def sta07_holm(spark, sf_dir):
 
 ORDERED = (agg32_gini, win12_step_up_adjustment, win17_round_robin, srt03_repository_budget, rev06_frame_batches, jon22_first_later_event, win18_prior_requirements, win15_date_windows)
 QUERIES = {f.__name__: f for f in (
-    prj02_url_identity, prj03_repo_normalization, prj04_patch_status, src07_column_mapping, src08_source_rows, jon03_unique_alias, jon05_link_through_review, jon06_link_through_commit,
+    prj02_url_identity, prj03_repo_normalization, prj04_patch_status, src08_source_rows, jon03_unique_alias, jon05_link_through_review, jon06_link_through_commit,
     agg07_metadata_conflicts, agg14_related_counts, jon08_census_audit, src10_array_audit, jon10_reciprocal_links, jon11_null_tolerant_links, jon14_one_sided_pairs, prj05_checkpoint_key,
     sta12_paired_binary, sta10_balanced_effect, sta23_sensitivity, sta15_decision_stump, sta17_classification_metrics, sta06_benjamini_hochberg, sta07_holm, *ORDERED,
 )}
@@ -253,7 +248,6 @@ ORACLES = {f.__name__: STATED[f.__name__] for f in ORDERED} | {name: plain(sql)
         FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '^[a-z]+://[^/]+/', ''), '\.git$', ''), '/+$', '') AS p FROM {pages})""",
     "prj04_patch_status": f"""
         SELECT CASE WHEN patch IS NULL THEN 'null' WHEN patch LIKE '@@%' THEN 'present_unverified' ELSE 'masked' END AS status, count(*) AS n FROM ({FILES}) GROUP BY 1""",
-    "src07_column_mapping": "SELECT * FROM (VALUES ('id', 'id'), ('pr_number', 'number'), ('pr_url', 'html_url'), ('repo_id', 'repo_id'), ('agent', 'agent'), ('state', 'state')) t(canonical, name)",
     "src08_source_rows": f"""
         WITH {KEYED}
         SELECT 'pull_request' AS table_name, 'pr' AS role, count(*) AS n, count(id) AS n_ids, 0 AS n_shas, count(html_url) AS n_keys, CAST(sum(row_number) AS BIGINT) AS row_numbers FROM keyed

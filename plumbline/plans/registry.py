@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plumbline.plans import census, custom, judged, linkage, ordered, relational, scans, statements
+from plumbline.plans import census, custom, judged, linkage, ordered, relational, scans, statements, whole
 
-MODULES = (census, relational, custom, linkage, judged, statements, scans, ordered)
+MODULES = (census, relational, custom, linkage, judged, statements, scans, ordered, whole)
 
 
 def queries() -> dict:

@@ -176,21 +176,11 @@ STATEMENTS: dict[str, str | tuple[str, str]] = {
     "set11_conflict_drop": """
         SELECT d.text, min(d.doc_id) AS doc_id FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY d.text HAVING count(DISTINCT l.toxic) = 1""",
     # ---- projections and scalar functions
-    "prj06_value_quality": """
-        SELECT doc_id, CASE WHEN text IS NULL THEN 'null' WHEN length(text) = 0 THEN 'empty' WHEN length(text) < 20 THEN 'short' WHEN n_chars <> length(text) THEN 'length_conflict' ELSE 'valid' END AS status FROM {documents}""",
     "fun02_stable_id": (
         "SELECT doc_id, substring(sha2(concat('[\"2.0\",', CAST(doc_id AS STRING), ']'), 256), 1, 24) AS stable_id FROM {documents}",
         "SELECT doc_id, substring(sha256('[\"2.0\",' || CAST(doc_id AS VARCHAR) || ']'), 1, 24) AS stable_id FROM documents",
     ),
     "fun03_text_digest": ("SELECT doc_id, sha2(text, 256) AS digest FROM {documents}", "SELECT doc_id, sha256(text) AS digest FROM documents"),
-    "fun07_formula_guard": (
-        r"SELECT item_id, CASE WHEN text RLIKE r'^[ \t\r\n]*[=+\-@]' THEN concat('\'', text) ELSE text END AS cell FROM {benchmark}",
-        r"SELECT item_id, CASE WHEN regexp_matches(text, '^[ \t\r\n]*[=+\-@]') THEN '''' || text ELSE text END AS cell FROM benchmark",
-    ),
-    "fun08_identifier_snake": (
-        "SELECT p_partkey, lower(regexp_replace(regexp_replace(p_name, '([a-z0-9])([A-Z])', '$1_$2'), '[^A-Za-z0-9]+', '_')) AS ident FROM {part}",
-        r"SELECT p_partkey, lower(regexp_replace(regexp_replace(p_name, '([a-z0-9])([A-Z])', '\1_\2', 'g'), '[^A-Za-z0-9]+', '_', 'g')) AS ident FROM part",
-    ),
     "fun28_compact_text": (
         r"SELECT doc_id, substring(regexp_replace(text, r'[ \t\r\n]+', ' '), 1, 80) AS compact FROM {documents}",
         r"SELECT doc_id, substring(regexp_replace(text, '[ \t\r\n]+', ' ', 'g'), 1, 80) AS compact FROM documents",
@@ -199,14 +189,6 @@ STATEMENTS: dict[str, str | tuple[str, str]] = {
         "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM {events}",
         "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
     ),
-    "fun05_redacted_shapes": (
-        r"SELECT doc_id, regexp_replace(regexp_replace(text, r'[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z]+', '<email>'), r'AKIA[0-9A-Z]{16}', '<key>') AS redacted FROM {documents}",
-        r"SELECT doc_id, regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z]+', '<email>', 'g'), 'AKIA[0-9A-Z]{16}', '<key>', 'g') AS redacted FROM documents",
-    ),
-    "txt02_literal_shapes": (
-        r"SELECT lang, CAST(sum(regexp_count(text, r'[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z]+')) AS BIGINT) AS emails, CAST(sum(regexp_count(text, r'[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}')) AS BIGINT) AS addresses FROM {documents} GROUP BY lang",
-        r"SELECT lang, CAST(sum(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z]+'))) AS BIGINT) AS emails, CAST(sum(len(regexp_extract_all(text, '[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}'))) AS BIGINT) AS addresses FROM documents GROUP BY lang",
-    ),
     # ---- lineage and statistics
     "lin06_censoring_reason": """
         SELECT o_orderkey, CASE WHEN c.c_custkey IS NULL THEN 'no_customer' WHEN o.o_orderstatus = 'P' THEN 'pending' WHEN x.n IS NULL THEN 'no_lines' WHEN x.open_lines > 0 THEN 'open_lines' ELSE 'observed' END AS reason
@@ -234,8 +216,6 @@ STATEMENTS: dict[str, str | tuple[str, str]] = {
     "rev03_disagreements": """
         SELECT l_partkey AS case_id, CAST(count(DISTINCT concat(l_returnflag, l_linestatus)) AS BIGINT) AS signatures, CAST(count(*) AS BIGINT) AS reviews FROM {lineitem}
         GROUP BY l_partkey HAVING count(DISTINCT concat(l_returnflag, l_linestatus)) > 1""",
-    "rev04_queue_policy": """
-        SELECT d.doc_id, CASE WHEN l.toxic = 1 AND l.quality = 0 THEN 'A' WHEN l.toxic = 1 THEN 'B' WHEN l.quality = 1 THEN 'C' ELSE 'D' END AS queue FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id""",
     "rev06_frame_batches": """
         SELECT doc_id, CAST(floor((r - 1) / 50) AS INT) AS batch FROM (SELECT doc_id, row_number() OVER (ORDER BY md5(concat('9:', CAST(doc_id AS VARCHAR(20)))), doc_id) AS r FROM {documents}) x""",
 }

@@ -24,10 +24,6 @@ STATEMENTS: dict[str, str | tuple[str, str]] = {
     "jon29_validated_three_way": """
         SELECT d.doc_id, l.toxic, d.lang FROM {documents} d JOIN (SELECT doc_id, min(toxic) AS toxic FROM {labels} GROUP BY doc_id HAVING count(*) = 1) l ON d.doc_id = l.doc_id
         JOIN (SELECT doc_id FROM {documents} GROUP BY doc_id HAVING count(*) = 1) u ON d.doc_id = u.doc_id WHERE l.toxic IS NOT NULL""",
-    "jon31_suffix_join": """
-        WITH p AS (SELECT p_partkey, p_type, lower(p_type) AS path FROM {part}), s AS (SELECT DISTINCT lower(substring(p_type, length(p_type) - 4, 5)) AS tail FROM {part} WHERE p_partkey % 3 = 0),
-        m AS (SELECT p_partkey, tail FROM p JOIN s ON substring(p.path, length(p.path) - 4, 5) = s.tail)
-        SELECT p_partkey, min(tail) AS tail FROM m GROUP BY p_partkey HAVING count(*) = 1""",
     "jon32_before_after_pairs": """
         WITH b AS (SELECT l_orderkey AS k, l_partkey AS h, min(l_linenumber) AS line, count(*) AS n FROM {lineitem} WHERE l_linenumber % 2 = 1 GROUP BY 1, 2), a AS (SELECT l_orderkey AS k, l_partkey AS h, min(l_linenumber) AS line, count(*) AS n FROM {lineitem} WHERE l_linenumber % 2 = 0 GROUP BY 1, 2)
         SELECT b.k, b.h, b.line AS before_line, a.line AS after_line FROM b JOIN a ON b.k = a.k AND b.h = a.h WHERE b.n = 1 AND a.n = 1""",
