@@ -176,7 +176,41 @@ def txt16_structured_scan(spark, sf_dir):
     return found.select(F.col("id").alias("event_id"), "status", F.explode_outer("matches").alias("m")).select("event_id", "status", F.array_join("m.node_path", "/").alias("path"), "m.subtype", "m.candidate_status")
 
 
+CALLS = f"""SELECT event_id, concat(CASE event_id % 6 WHEN 0 THEN 'log(("a(" ' WHEN 1 THEN 'f(x)) // (' WHEN 2 THEN concat(chr(39), '(', chr(39), '(') WHEN 3 THEN 'g(`(`)(' WHEN 4 THEN '"open (' ELSE 'none ' END, event_type, CASE WHEN event_id % 4 = 0 THEN ')' ELSE '' END) AS line FROM {{events}}"""
+
+
+def fun22_paren_balance(spark, sf_dir):
+    return over(spark, sf_dir, CALLS).select("event_id", lines.paren_balance(F.col("line")).alias("balance"))
+
+
+FILES = f"SELECT p_partkey, 'Own/repo' AS repo, concat(CASE p_partkey % 6 WHEN 0 THEN 'a/' WHEN 1 THEN 'b/' WHEN 2 THEN '/tmp/repo/' WHEN 3 THEN 'x/Own__repo/' WHEN 4 THEN '//' ELSE '' END, 'src', chr(92), replace(p_name, ' ', '/'), {N('p_size')}) AS path FROM {{part}}"
+
+
+def fun24_repository_path(spark, sf_dir):
+    return over(spark, sf_dir, FILES).select("p_partkey", lines.repository_path(F.col("path"), F.col("repo")).alias("path"))
+
+
+ASKED = f"""SELECT event_id, CASE event_id % 8 WHEN 0 THEN concat('please add some ', event_type, ' logging') WHEN 1 THEN concat('dump the ', event_type, chr(10), ' request') WHEN 2 THEN concat('show ', event_type) WHEN 3 THEN 'printenv | sort' WHEN 4 THEN concat('cat .env.', event_type)
+  WHEN 5 THEN concat('echo $', upper(event_type), '_TOKEN') WHEN 6 THEN 'cat ~/.ssh/id' ELSE concat('ls ', {N('user_id')}) END AS words FROM {{events}}"""
+
+
+def txt29_prompts_and_probes(spark, sf_dir):
+    return over(spark, sf_dir, ASKED).select("event_id", lines.logging_prompt(F.col("words")).alias("prompt"), lines.sensitive_probe(F.col("words")).alias("probe"))
+
+
+def fun06_excerpts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(lines.redact_excerpt(F.col("text"))).alias("digest"))
+
+
+VALUES = f"SELECT event_id, CASE event_id % 7 WHEN 0 THEN concat(chr(34), 'xxxx', chr(34)) WHEN 1 THEN concat('your_token_', event_type) WHEN 2 THEN concat('u', {N('user_id')}, '@mail.example.org') WHEN 3 THEN concat('dummy ', event_type) WHEN 4 THEN '***' WHEN 5 THEN 'xx' ELSE event_type END AS v, CASE event_id % 3 WHEN 0 THEN ' Example: ' WHEN 1 THEN 'examples: ' ELSE '' END AS line FROM {{events}}"
+
+
+def fun13_examples(spark, sf_dir):
+    return over(spark, sf_dir, VALUES).select("event_id", shapes.is_example(F.col("v"), F.col("line")).alias("example"))
+
+
 QUERIES = {f.__name__: f for f in (
+    fun22_paren_balance, fun24_repository_path, txt29_prompts_and_probes, fun06_excerpts, fun13_examples,
     fun05_redacted_shapes, fun07_formula_guard, fun08_identifier_snake, prj06_value_quality, jon31_suffix_join, src07_column_mapping, txt02_literal_shapes, rev04_queue_policy, fun04_keyed_digest, sta02_exact_mcnemar,
     sta11_sign_flip, fun29_module_category, prj12_human_exclusion, prj11_human_pull, prj13_graded_evidence, fun10_name_labels, txt03_named_assignments, txt16_structured_scan,
 )}
@@ -194,10 +228,9 @@ SHAPES = (
 )
 
 
-def _redacted() -> str:
+def _redacted(out: str = "text", families: tuple = REDACTIONS) -> str:
     """redact as SQL: quotes that have to be alike are two replacements."""
-    out = "text"
-    for pattern, mark in REDACTIONS:
+    for pattern, mark in families:
         pairs = [(pattern, mark)]
         if r"\2" in pattern:
             head = pattern[: pattern.index("""(["'])""")]
@@ -250,4 +283,11 @@ SELECT event_id, CAST(s AS INT) AS start, CAST(s + n AS INT) AS "end", subtype,
 WITH v AS (SELECT * FROM (VALUES (0, 'parsed_with_semantic_gaps', '0', 'business_object', 'carrier_candidate'), (0, 'parsed_with_semantic_gaps', '0/0', 'email', 'literal_candidate'), (0, 'parsed_with_semantic_gaps', '0/1', 'age', 'named_value_candidate'),
   (1, 'parsed_with_semantic_gaps', '0/-1/0', 'password', 'named_value_candidate'), (2, 'parsed_with_semantic_gaps', '1', 'network_identifier', 'literal_candidate'), (3, 'invalid_json', NULL, NULL, NULL), (4, 'not_applicable', NULL, NULL, NULL)) t(k, status, path, subtype, candidate_status))
 SELECT event_id, status, path, subtype, candidate_status FROM {events} JOIN v ON event_id % 5 = k""",
+    "fun22_paren_balance": """
+SELECT event_id, CAST(CASE event_id % 6 WHEN 0 THEN 2 WHEN 1 THEN -1 WHEN 2 THEN 1 WHEN 3 THEN 1 ELSE 0 END + CASE WHEN event_id % 6 = 1 THEN 1 ELSE 0 END - CASE WHEN event_id % 4 = 0 AND event_id % 6 <> 4 THEN 1 ELSE 0 END AS INT) AS balance FROM {events}""",
+    "fun24_repository_path": f"SELECT p_partkey, concat('src/', replace(p_name, ' ', '/'), {N('p_size')}) AS path FROM {{part}}",
+    "txt29_prompts_and_probes": f"""
+SELECT event_id, event_id % 8 IN (0, 1) OR words = 'show error' AS prompt, event_id % 8 IN (3, 4, 5, 6) AS probe FROM ({ASKED})""",
+    "fun06_excerpts": f"SELECT doc_id, md5({_redacted('substring(text, 1, 800)', lines.EXCERPT)}) AS digest FROM documents",
+    "fun13_examples": "SELECT event_id, event_id % 7 < 5 OR event_id % 3 = 0 AS example FROM {events}",
 }.items()}
