@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.identity import keyed_digest, stable_id
 from plumbline.functions.shapes import EXAMPLE, EXAMPLE_DOMAIN, scan_cells
 from plumbline.functions.taxonomy import catalog
+from plumbline.operators.pages import scan_pages
 from plumbline.operators.ranges import run_length_ranges
 from plumbline.operators.ranking import global_rank
 
@@ -74,7 +75,8 @@ def type_summary(matches: DataFrame) -> DataFrame:
 
 
 def repair(cells: DataFrame, source: DataFrame, key: bytes) -> tuple[DataFrame, DataFrame]:
-    """(matches, repaired) of the truncated cells of a scan, read anew and whole from the source's text_cells.
+    """(matches, repaired) of the truncated cells of a scan, read anew from the source's text_cells, by pages and without
+    a limit.
 
     repaired tells each cell's state: complete, source_changed if the text is another than the digest says, or
     source_missing. A private key that is opened and not closed leaves a gap, and its cell is not complete.
@@ -85,8 +87,7 @@ def repair(cells: DataFrame, source: DataFrame, key: bytes) -> tuple[DataFrame,
     good = met.where("now = digest")
     opened, closed = (F.regexp_count("text", F.lit(f"-----{w} (?:RSA |EC |DSA |ENCRYPTED |OPENSSH )?PRIVATE KEY-----")) for w in ("BEGIN", "END"))
     state = F.when(F.col("there").isNull(), "source_missing").when(~F.coalesce(F.col("now") == F.col("digest"), F.lit(False)), "source_changed").when(opened > closed, "unclosed_private_key_envelope").otherwise("complete")
-    found = scan_cells(good, "cell_id", "text", None)
-    match = found.select(F.col("id").alias("cell_id"), F.explode("matches").alias("m")).select("cell_id", "m.*")
+    match = scan_pages(good, "cell_id", "text").withColumnRenamed("id", "cell_id")
     return match, met.select("cell_id", state.alias("state"), (state == "complete").alias("complete"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.runtime import materialize, release
@@ -89,6 +89,45 @@ def greedy_match(left: DataFrame, right: DataFrame, stratum: str, value: str, ca
     return first.unionByName(second)
 
 
+def nearest_rows(left: DataFrame, right: DataFrame, stratum: str, value: str, k: int, id_col: str = "id") -> DataFrame:
+    """(stratum, left_id, right_id, score, rank): for each left row the k right rows of its stratum whose value is nearest,
+    ties to the smaller id, rank from 1; fewer where the stratum has fewer.
+
+    A stratum's right rows are spread over bins that hold about k of them, and a left row meets its own bin and the two
+    beside it. Rows that do not find k within the width of a bin go on with bins 16 times as wide, until a bin is as
+    wide as the values are apart. So a left row meets few right rows, however many its stratum has. Of right rows of one
+    value the k smallest ids alone can count. Null strata, values and ids take no part.
+    """
+    spark = left.sparkSession
+    a = left.select(F.col(stratum).alias("stratum"), F.col(id_col).alias("left_id"), F.col(value).cast("double").alias("x")).dropna()
+    b = right.select(F.col(stratum).alias("stratum"), F.col(id_col).alias("right_id"), F.col(value).cast("double").alias("y")).dropna()
+    b = b.withColumn("_r", F.row_number().over(Window.partitionBy("stratum", "y").orderBy("right_id"))).where(F.col("_r") <= k).drop("_r")
+    b = materialize(b, "right")
+    ends = b.groupBy("stratum").agg(F.count("*").alias("n"), F.min("y").alias("lo"), F.max("y").alias("hi"))
+    todo = a.join(ends, "stratum").withColumn("w", F.greatest((F.col("hi") - F.col("lo")) * k / F.col("n"), F.lit(1e-9)))
+    far = F.greatest(F.abs(F.col("x") - F.col("lo")), F.abs(F.col("x") - F.col("hi")))
+    todo, out = materialize(todo.withColumn("far", far).drop("n", "lo", "hi"), "todo"), None
+    while not todo.isEmpty():
+        widths = todo.groupBy("stratum").agg(F.max("w").alias("_w"))
+        mine = todo.withColumn("bin", F.explode(F.sequence(F.floor(F.col("x") / F.col("w")) - 1, F.floor(F.col("x") / F.col("w")) + 1)))
+        theirs = b.join(widths, "stratum").withColumn("bin", F.floor(F.col("y") / F.col("_w"))).drop("_w")
+        met = mine.join(theirs, ["stratum", "bin"]).withColumn("score", F.abs(F.col("x") - F.col("y"))).where(F.col("score") <= F.col("w"))
+        own = Window.partitionBy("stratum", "left_id").orderBy("score", "right_id")
+        some = materialize(met.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select("stratum", "left_id", "right_id", "score", "rank"), "near")
+        full = some.where(F.col("rank") == k).select("stratum", "left_id")
+        over = todo.where("far <= w").select("stratum", "left_id")
+        done = full.unionByName(over).distinct()
+        found = materialize(some.join(done, ["stratum", "left_id"], "left_semi"), "nearest")
+        out = found if out is None else out.unionByName(found)
+        rest = materialize(todo.join(done, ["stratum", "left_id"], "left_anti").withColumn("w", F.col("w") * 16), "todo")
+        release(spark, todo, some)
+        todo = rest
+    if out is None:
+        empty = a.join(b, "stratum").limit(0)
+        return empty.select("stratum", "left_id", "right_id", F.col("x").alias("score"), F.lit(1).alias("rank"))
+    return out
+
+
 def suffix_matches(paths: DataFrame, patterns: DataFrame, id_col: str, path_col: str, pattern_col: str) -> DataFrame:
     """(id, pattern) of the paths that end with one pattern alone, whole or behind a slash.
 

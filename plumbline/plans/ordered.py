@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.operators.matching import nearest_rows
 from plumbline.operators.ranking import group_rank
 from plumbline.operators.selection import percentiles, trimmed_means
 from plumbline.runtime import table
@@ -34,9 +35,19 @@ def win11_rank_and_share(spark, sf_dir):
     return met.select("l_returnflag", "l_suppkey", "n", "place", ((F.col("before") + F.col("n")) / F.col("all").cast("double")).alias("cumulative"))
 
 
-QUERIES = {f.__name__: f for f in (agg33_trimmed_mean, agg34_percentiles, agg35_quantile_or_zero, win11_rank_and_share)}
+def jon27_ranked_candidates(spark, sf_dir):
+    a = table(spark, sf_dir, "supplier").selectExpr("s_nationkey AS nation", "s_suppkey AS id", "s_acctbal AS v")
+    b = table(spark, sf_dir, "customer").selectExpr("c_nationkey AS nation", "c_custkey AS id", "c_acctbal AS v")
+    return nearest_rows(a, b, "nation", "v", 5).select(F.col("left_id").alias("s_suppkey"), F.col("right_id").alias("c_custkey"), "rank")
+
+
+QUERIES = {f.__name__: f for f in (jon27_ranked_candidates, agg33_trimmed_mean, agg34_percentiles, agg35_quantile_or_zero, win11_rank_and_share)}
 
 ORACLES = {
+    "jon27_ranked_candidates": """
+        SELECT s_suppkey, c_custkey, CAST(r AS INT) AS rank FROM (
+          SELECT s.s_suppkey, c.c_custkey, row_number() OVER (PARTITION BY s.s_suppkey ORDER BY abs(s.s_acctbal - c.c_acctbal), c.c_custkey) AS r
+          FROM supplier s JOIN customer c ON s.s_nationkey = c.c_nationkey) x WHERE r <= 5""",
     "agg33_trimmed_mean": """
         SELECT o_orderpriority, avg(o_totalprice) AS trimmed FROM (
           SELECT o_orderpriority, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) AS r, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) x

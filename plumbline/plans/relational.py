@@ -57,10 +57,6 @@ STATEMENTS: dict[str, str | tuple[str, str]] = {
         """SELECT a.o_orderkey AS left_key, b.o_orderkey AS right_key FROM orders a JOIN orders b
            ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND abs(date_diff('day', CAST(b.o_orderdate AS DATE), CAST(a.o_orderdate AS DATE))) <= 14""",
     ),
-    "jon27_ranked_candidates": """
-        SELECT s_suppkey, c_custkey, CAST(r AS INT) AS rank FROM (
-          SELECT s.s_suppkey, c.c_custkey, row_number() OVER (PARTITION BY s.s_suppkey ORDER BY abs(s.s_acctbal - c.c_acctbal), c.c_custkey) AS r
-          FROM {supplier} s JOIN {customer} c ON s.s_nationkey = c.c_nationkey) x WHERE r <= 5""",
     "jon28_zip_pairs_in_strata": """
         SELECT a.n AS stratum, a.s_suppkey, b.c_custkey FROM
           (SELECT s_nationkey AS n, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY md5(concat('7:', CAST(s_suppkey AS VARCHAR(20)))), s_suppkey) AS r FROM {supplier}) a

@@ -100,3 +100,23 @@ def test_maximum_on_random_and_hard_graphs(spark):
     for s in "abcd":
         own = [g for g in got if g[0] == s]
         assert len({g[1] for g in own}) == len({g[2] for g in own}) == len(own) == largest([e[1:] for e in sorted(edges) if e[0] == s])
+
+
+def test_nearest_rows_against_all_pairs(spark):
+    rnd = random.Random(8)
+    left = [(rnd.choice("abz"), i, rnd.choice([0.0, 5.0, rnd.gauss(0, 100), 1e6])) for i in range(60)] + [("a", 900, None), (None, 901, 1.0), ("none", 902, 1.0)]
+    right = [(rnd.choice("ab"), i, rnd.choice([0.0, 0.0, 5.0, rnd.gauss(0, 100)])) for i in range(200)] + [("z", 500, 3.0), ("z", 501, None)]
+    schema = "s string, id long, v double"
+    got = {(r.left_id, r.rank): (r.right_id, r.score) for r in M.nearest_rows(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), "s", "v", 4).collect()}
+    want = {}
+    for s, i, x in left:
+        near = sorted((abs(x - y), j) for t, j, y in right if t == s and y is not None) if x is not None else []
+        want |= {(i, k + 1): (j, d) for k, (d, j) in enumerate(near[:4])}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and all(v[1] == pytest.approx(want[k][1]) for k, v in got.items())
+    assert M.nearest_rows(spark.createDataFrame([], schema), spark.createDataFrame(right, schema), "s", "v", 4).count() == 0
+
+
+def test_suffixes(spark):
+    paths = spark.createDataFrame([(1, "src/a/b.py"), (2, "b.py"), (3, "xb.py"), (4, None), (5, "src/c/b.py")], "id long, path string")
+    patterns = spark.createDataFrame([("a/b.py",), ("b.py",), ("b.py",), (None,), ("c/b.py",)], "pattern string").where("pattern IS NULL OR pattern <> 'a/b.py'")
+    assert {tuple(r) for r in M.suffix_matches(paths, patterns, "id", "path", "pattern").collect()} == {(1, "b.py"), (2, "b.py")}

@@ -23,10 +23,10 @@ def paged(df, core):
     return sorted(map(repr, (tuple(r) for r in P.scan_pages(df, "id", "t", core).select("id", *FIELDS).collect())))
 
 
-@pytest.mark.parametrize("core", [7, 64, 1000])
+@pytest.mark.parametrize("core", [7, 300])
 def test_pages_give_what_one_reading_gives(spark, core):
     rnd = random.Random(core)
-    texts = ["".join(rnd.choice(PIECES) + rnd.choice(["", " ", "\n"]) for _ in range(rnd.randint(0, 60))) for _ in range(30 if core > 7 else 8)]
+    texts = ["".join(rnd.choice(PIECES) + rnd.choice(["", " ", "\n"]) for _ in range(rnd.randint(0, 60))) for _ in range(14 if core > 7 else 5)]
     texts += [None, "", " ", "no candidate here", (TOKEN + " ") * 20]
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], "id long, t string, page int, family string")
     want = whole(df)
