@@ -32,3 +32,28 @@ def run_length_ranges(df: DataFrame, groups: list[str], order: str, value: str)
     border = border.withColumn("_run", F.sum("_new").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
     stitched = border.groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"))
     return runs.where("NOT _border").select(*out).unionByName(stitched.select(*out))
+
+
+def continued(stored: DataFrame, new: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """Ranges of run_length_ranges over all rows, from those of the rows before and of the rows behind them.
+
+    In each group the last stored range was open: if the first new one goes on with its value at the next place, the two
+    are one. All others stay as they are, so that a run needs the stored ranges' ends alone and no row that was seen
+    before. New rows have to lie behind the stored ones of their group. Nulls in groups and value are values.
+    """
+    names = [*groups, value, "start", "end", "n"]
+    of = lambda df, pick, name: df.groupBy(*groups).agg(pick.alias(name))
+    last = of(stored, F.max(F.struct("end", "start", value, "n")), "_last")
+    first = of(new, F.min(F.struct("start", "end", value, "n")), "_first")
+    keys = [F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)]
+    same = F.lit(True)
+    for i, g in enumerate(groups):
+        same &= F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    met = last.join(first.select(*keys, "_first"), same).drop(*[f"_g{i}" for i in range(len(groups))])
+    goes_on = (F.col("_last.end") + 1 == F.col("_first.start")) & F.col("_last")[value].eqNullSafe(F.col("_first")[value])
+    met = materialize(met.where(goes_on), "open-ranges")
+    joined = met.select(*groups, F.col("_last")[value].alias(value), F.col("_last.start").alias("start"), F.col("_first.end").alias("end"), (F.col("_last.n") + F.col("_first.n")).alias("n"))
+    gone = met.select(*keys, F.col("_last.start").alias("_a"), F.col("_first.start").alias("_b"))
+    rest = stored.join(gone, same & (F.col("start") == F.col("_a")), "left_anti").select(*names)
+    more = new.join(gone, same & (F.col("start") == F.col("_b")), "left_anti").select(*names)
+    return rest.unionByName(more).unionByName(joined)

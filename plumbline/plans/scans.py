@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import history
 from plumbline.operators.lineage import trace_cases
 from plumbline.operators.pages import scan_pages
+from plumbline.operators.ranges import continued, run_length_ranges
 from plumbline.operators.replay import replay, result, run_whole
 from plumbline.operators.resampling import two_sample_bootstrap
 from plumbline.operators.stumps import leave_one_out
@@ -96,6 +97,14 @@ def sta16_leave_one_out(spark, sf_dir):
     return leave_one_out(rows, "source", "toxic", ["size", "quality", "fifth"])
 
 
+def inc03_open_ranges(spark, sf_dir):
+    """Runs of documents of one language, from those of the first half and of the second."""
+    rows = table(spark, sf_dir, "documents").select(F.lit("documents").alias("table_path"), F.col("doc_id").alias("at"), "lang")
+    half = rows.agg(F.floor((F.min("at") + F.max("at")) / 2)).first()[0] or 0
+    parts = [run_length_ranges(rows.where(holds), ["table_path"], "at", "lang") for holds in (F.col("at") <= half, F.col("at") > half)]
+    return continued(*parts, ["table_path"], "lang")
+
+
 def _stump(counts: str, keys: str) -> str:
     """SQL of the best rule of each key's counts."""
     w = f"PARTITION BY {keys}"
@@ -110,9 +119,12 @@ def _stump(counts: str, keys: str) -> str:
   QUALIFY row_number() OVER ({w} ORDER BY -ba, d, abs(t - middle), t) = 1)"""
 
 
-QUERIES = {f.__name__: f for f in (inc01_row_cursor, txt08_paged_scan, jon22_first_integration, inc09_late_correction, inc10_case_stream, sta14_two_sample_bootstrap, sta16_leave_one_out)}
+QUERIES = {f.__name__: f for f in (inc01_row_cursor, inc03_open_ranges, txt08_paged_scan, jon22_first_integration, inc09_late_correction, inc10_case_stream, sta14_two_sample_bootstrap, sta16_leave_one_out)}
 
 ORACLES = {
+    "inc03_open_ranges": """
+SELECT 'documents' AS table_path, lang, min(nr) AS start, max(nr) AS "end", count(*) AS n
+FROM (SELECT doc_id AS nr, lang, doc_id - row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS island FROM documents) GROUP BY lang, island""",
     "inc01_row_cursor": "SELECT doc_id, CAST(1 AS BIGINT) AS visits, md5(text) AS digest, CAST(length(text) AS INT) AS n_chars FROM documents",
     # what may not stand beside an address is doubled first, so that neighbours do not share it
     "txt08_paged_scan": r"""

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.shapes import as_matches, scan_cells, spans_of
 from plumbline.operators.components import connected_components
 from plumbline.operators.matching import greedy_match, match_cascade
-from plumbline.operators.ranges import run_length_ranges
+from plumbline.operators.ranges import continued, run_length_ranges
 from plumbline.operators.ranking import global_rank
 from plumbline.streaming.scan import advance_scan
 
@@ -113,3 +113,14 @@ def test_scan_goes_on_where_it_ended(spark, tmp_path):
     step()
     rows = {r.id: r.status for r in spark.read.parquet(out).collect()}
     assert len(rows) == 8 and rows[4] == "matched" and rows[7] == "no_candidate"
+
+
+def test_open_ranges_go_on_across_runs(spark):
+    rnd = random.Random(5)
+    rows = [(g, i, rnd.choice(["a", "a", "b", None])) for g in ("t", "u", None) for i in range(60) if rnd.random() < 0.9]
+    df = spark.createDataFrame(rows, "g string, at long, v string")
+    out = lambda d: sorted(map(repr, (tuple(r) for r in d.select("g", "v", "start", "end", "n").collect())))
+    want = out(run_length_ranges(df, ["g"], "at", "v"))
+    for cut in (0, 17, 30, 60):
+        parts = [run_length_ranges(df.where(F.col("at") < cut), ["g"], "at", "v"), run_length_ranges(df.where(F.col("at") >= cut), ["g"], "at", "v")]
+        assert out(continued(*parts, ["g"], "v")) == want
