@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.runtime import qualified
+from plumbline.runtime import with_scheme
 from plumbline.sources.store import open_input
 
 # fixed values: the canonical columns and the names they go by, the first present one counting
@@ -118,7 +118,7 @@ def inventory(spark: SparkSession, paths: list[str]) -> DataFrame:
                 types = [pa.string()] * 3 + [pa.int64(), pa.string(), pa.string(), pa.int64(), kind]
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types, strict=True)], names=list(row))
 
-    listed = spark.createDataFrame([(qualified(spark, p), s) for p, s in zip(paths, stems, strict=True)], "path string, table string")
+    listed = spark.createDataFrame([(with_scheme(spark, p), s) for p, s in zip(paths, stems, strict=True)], "path string, table string")
     return listed.repartition(len(paths), "path").mapInArrow(run, INVENTORY)
 
 

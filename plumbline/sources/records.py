@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators.ranking import global_rank
-from plumbline.runtime import qualified
+from plumbline.runtime import with_scheme
 from plumbline.sources.store import open_input
 
 # fixed values: canonical fields and the dotted paths that they are found under, the first present one counting
@@ -96,7 +96,7 @@ def read_rows(spark: SparkSession, path: str, kind: str | None = None) -> DataFr
     def of(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)], names=["source_row", "raw", "error"])
 
-    return spark.createDataFrame([(qualified(spark, path),)], "path string").mapInArrow(run, RAW)
+    return spark.createDataFrame([(with_scheme(spark, path),)], "path string").mapInArrow(run, RAW)
 
 
 def lookup(raw: Column, path: str) -> Column:
@@ -186,5 +186,5 @@ def ingest(spark: SparkSession, path: str, mapping: dict | None = None, kind: st
     rows = read_rows(spark, path, kind)
     records, gaps = normalise(rows, mapping)
     seen = rows.select(F.explode(F.json_object_keys("raw")).alias("c")).distinct()
-    schema = {"input_sha256": file_digest(qualified(spark, path)), "rows_read": rows.count(), "columns_observed": sorted(r.c for r in seen.collect()), "limit": limit}
+    schema = {"input_sha256": file_digest(with_scheme(spark, path)), "rows_read": rows.count(), "columns_observed": sorted(r.c for r in seen.collect()), "limit": limit}
     return deduplicated(records, limit), gaps, schema

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from plumbline.runtime import qualified
+from plumbline.runtime import qualified, with_scheme
 from plumbline.sources.store import open_input
 from plumbline.streaming.rows import RowSource, after, n_rows, parquet_files
 
@@ -110,7 +110,7 @@ def advance_rows(spark: SparkSession, source: str, scan: Callable[[DataFrame], D
     error tells. An empty source is complete. Two calls at a time on one folder are an error.
     """
     spark.dataSource.register(RowSource)
-    cursor, source = Cursor(spark, folder), qualified(spark, source)
+    cursor, source = Cursor(spark, folder), with_scheme(spark, source)
     results = f"{cursor.folder}/results"
     cursor.lock(steal)
     try:

@@ -53,6 +53,35 @@ def test_paths_get_their_scheme(spark):
     assert R.qualified(Far("file:///"), "file:///mnt/shared") == "file:///mnt/shared"
 
 
+def test_shared_folder_needs_no_scheme_on_a_cluster(spark):
+    class Far:
+        """The session as on a cluster that mounts one disk everywhere."""
+
+        master, _jvm, _jsc = "spark://host:7077", spark.sparkContext._jvm, spark.sparkContext._jsc
+        named, checkpoint_dir = None, None
+
+        def __init__(self):
+            self.sparkContext, self.conf = self, self
+
+        def get(self, key, default):
+            return self.named
+
+        def getCheckpointDir(self):
+            return self.checkpoint_dir
+
+    far = Far()
+    with pytest.raises(RuntimeError):
+        R.shared_dir(far)
+    far.checkpoint_dir = "/mnt/context"
+    assert R.shared_dir(far) == "file:/mnt/context"
+    far.named = "/mnt/shared/"
+    assert R.shared_dir(far) == "file:/mnt/shared" and R.scratch_path(far, "x").startswith("file:/mnt/shared/plumbline/x-")
+    far.named = "file:///mnt/shared"
+    assert R.shared_dir(far) == "file:///mnt/shared"
+    # inputs lie where all machines read them
+    assert R.with_scheme(far, "/mnt/in/documents.parquet") == "file:/mnt/in/documents.parquet"
+
+
 def test_release_deletes_own_tables_alone(spark, tmp_path):
     mine = R.materialize(spark.range(5), "own")
     # an input that lies where materialize writes
