@@ -206,6 +206,13 @@ def unique_targets(links: DataFrame, alias: str, target: str) -> DataFrame:
     return links.where(F.col(alias).isNotNull()).groupBy(alias).agg(F.min(target).alias(target), F.count_distinct(target).alias("_n")).where("_n = 1").drop("_n")
 
 
+def _known(df: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """df with what known says of its key, each key once; rows without a key stay where they are, since a join would
+    bring all of them to one task."""
+    none = {c: F.lit(None).cast(kind) for c, kind in known.dtypes if c != key}
+    return df.where(F.col(key).isNotNull()).join(known, key, "left").unionByName(df.where(F.col(key).isNull()).withColumns(none))
+
+
 def repository_aliases(rows: DataFrame) -> DataFrame:
     """(alias, repository): the id, the URL and the name of each repository."""
     repo = F.coalesce(repo_name(F.col("kept.repository")), repo_name(F.col("repo_url")))
@@ -217,7 +224,7 @@ def identified(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     """The rows of pull requests with their identity: their own, or that of a repository found by its alias."""
     known = unique_targets(aliases, "alias", "repository")
     prs = rows.where("role = 'pr'").withColumn("alias", F.coalesce("repo_id", "repo_url"))
-    prs = prs.join(known, "alias", "left")
+    prs = _known(prs, known, "alias")
     found = pr_identity(F.col("kept.pr_url"), F.coalesce("repository", repo_name(F.col("repo_url"))), F.col("kept.pr_number"))
     return prs.withColumn("pr_key", F.coalesce("pr_key", found)).where("pr_key IS NOT NULL").drop("alias", "repository")
 
@@ -248,11 +255,11 @@ def linked(rows: DataFrame, prs: DataFrame) -> DataFrame:
     """(table_name, row_number, pr_key, method) of the rows that belong to one pull request; the first method that
     finds it counts: its own identity, its URL or id where they agree, its review, its commit."""
     own = prs.select("table_name", "row_number", "pr_key", F.lit("pr_identity").alias("method"))
-    keys = prs.select("pr_key").distinct().withColumnRenamed("pr_key", "url_key")
+    keys = prs.select("pr_key").distinct().withColumn("url_key", F.col("pr_key"))
     every = prs.where("entity_id IS NOT NULL").select(F.col("entity_id").alias("pr_id"), F.col("pr_key").alias("id_key")).distinct()
     counted = every.groupBy("pr_id").agg(F.min("id_key").alias("id_key"), F.count("*").alias("n"))
     kids = rows.where(F.col("role").isin(*CHILDREN))
-    found = kids.join(keys, F.col("pr_key") == F.col("url_key"), "left").join(counted, "pr_id", "left")
+    found = _known(_known(kids.where("pr_key IS NOT NULL OR pr_id IS NOT NULL"), keys, "pr_key"), counted, "pr_id")
     # an id of several pull requests links nothing, even beside a URL
     found = found.where("NOT coalesce(n > 1, false)").where("coalesce(url_key, id_key) IS NOT NULL AND (url_key IS NULL OR id_key IS NULL OR url_key = id_key)")
     direct = found.select("table_name", "row_number", F.coalesce("url_key", "id_key").alias("key"), F.when(F.col("url_key").isNotNull(), "pr_url").otherwise("pr_id").alias("method"), "role", "entity_id", "sha")
@@ -278,8 +285,8 @@ def relationship_audit(rows: DataFrame, links: DataFrame, prs: DataFrame, aliase
     own = rows.where("role NOT IN ('repository', 'user')")
 
     def state(relation, key, known):
-        found = own.join(known.where("k IS NOT NULL").distinct(), key == F.col("k"), "left")
-        status = F.when(key.isNull(), "missing_foreign_key").when(F.col("k").isNotNull(), "linked").otherwise("orphan")
+        found = _known(own.select("table_name", key.alias("k")), known.where("k IS NOT NULL").distinct().withColumn("there", F.lit(True)), "k")
+        status = F.when(F.col("k").isNull(), "missing_foreign_key").when(F.col("there"), "linked").otherwise("orphan")
         return found.groupBy("table_name", F.lit(relation).alias("relation"), status.alias("status")).agg(count)
 
     of_role = lambda role, c: rows.where(F.col("role") == role).select(F.col(c).alias("k"))

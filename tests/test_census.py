@@ -110,3 +110,25 @@ def test_accounts_and_anchors(spark):
     comments = spark.createDataFrame([("p#1", B.upper(), "short"), (None, A, A)], "pr_key string, commit_id string, original_commit_id string")
     known = spark.createDataFrame([("p#1", A)], "pr_key string, sha string")
     assert [(r.sha, r.kind) for r in C.anchors(timeline, comments, known, ("committed",)).collect()] == [(B, "review_comment")]
+
+
+def test_rows_without_a_key_do_not_meet_in_one_task(spark):
+    prs = spark.range(40).selectExpr("id AS row_number", "id", "id + 1 AS number", "concat('https://github.com/a/b/pull/', id + 1) AS html_url")
+    n = 400
+    # comments know their pull request by its URL alone, or by its id alone
+    comments = spark.range(0, n, 1, 4).selectExpr(
+        "id AS row_number", "id", "IF(id % 2 = 0, concat('https://github.com/a/b/pull/', id % 40 + 1), NULL) AS pr_url", "IF(id % 2 = 1, id % 40, NULL) AS pr_id"
+    )
+    rows = C.source_rows({"pull_request": prs, "pr_comments": comments})
+    links = C.linked(rows, C.identified(rows, C.repository_aliases(rows)))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = links.where("table_name = 'pr_comments'").select("row_number", "pr_key", "method", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r.row_number, r.pr_key, r.method) for r in got) == [(i, f"a/b#{i % 40 + 1}", "pr_id" if i % 2 else "pr_url") for i in range(n)]
+    for method in ("pr_url", "pr_id"):
+        assert len({r.task for r in got if r.method == method}) > 1
