@@ -1,5 +1,6 @@
 import pytest
 from pyarrow import fs
+from pyspark.sql import functions as F
 
 from plumbline import runtime as R
 from plumbline.sources import store as S
@@ -94,3 +95,15 @@ def test_release_deletes_own_tables_alone(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)not.*exist|FILE_NOT_EXIST|PATH_NOT_FOUND"):
         spark.read.parquet(mine._made_at).count()
     R.release(spark, mine)
+
+
+def test_tasks_of_small_groups_stay_small(spark, monkeypatch):
+    from plumbline.plans import statements
+
+    monkeypatch.setattr(R, "SHARE", 200)
+    data = "/root/testdata/sf0.001"
+    assert R.dealt(spark.range(1000), "id").rdd.getNumPartitions() == 5
+    profiles = statements.QUERIES["agg22_patch_profile"](spark, data)
+    for df, n in ((profiles, 1500),):
+        tasks = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(tasks) < n / 8
