@@ -98,12 +98,12 @@ def test_release_deletes_own_tables_alone(spark, tmp_path):
 
 
 def test_tasks_of_small_groups_stay_small(spark, monkeypatch):
-    from plumbline.plans import statements
+    from plumbline.plans import judged, statements
 
     monkeypatch.setattr(R, "SHARE", 200)
     data = "/root/testdata/sf0.001"
     assert R.dealt(spark.range(1000), "id").rdd.getNumPartitions() == 5
-    profiles = statements.QUERIES["agg22_patch_profile"](spark, data)
-    for df, n in ((profiles, 1500),):
+    profiles, reviews = statements.QUERIES["agg22_patch_profile"](spark, data), judged._reviews(spark, data)
+    for df, n in ((profiles, 1500), (reviews, 6000)):
         tasks = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
         assert max(tasks) < n / 8
