@@ -15,6 +15,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,19 +24,11 @@ from plumbline.runtime import materialize, release
 
 #: Odd multipliers of the rolling hashes, one for each half of a key.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-#: Hash values of words that a worker keeps, and words of the texts that are hashed together.
-KEEP, TOGETHER = 100_000, 100_000
-_WORDS: dict[bytes, int] = {}
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    known = _WORDS
-    if len(known) > KEEP:
-        known.clear()
-    h = xxhash.xxh64_intdigest
-    for w in set(words).difference(known):
-        known[w] = h(w, 11)
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+#: Bytes of the texts that are hashed together, and of the longest words that are hashed eight bytes at a time.
+TOGETHER, LONG = 1 << 19, 256
+SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+#: The lowest 0 to 8 bytes of a number.
+LOWEST = np.array([2 ** (8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -44,6 +37,45 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def together(texts: pa.Array):
+    """Ranges [s, e) of rows whose texts have about TOGETHER bytes, or of one row."""
+    ends, s = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while s < len(ends):
+        e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + TOGETHER, "right")))
+        yield s, e
+        s = e
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of binary texts, one text after the other, and how many words each text has."""
+    texts = texts.cast(pa.large_binary())
+    _, at, held = texts.buffers()
+    at = np.frombuffer(at, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    held = np.frombuffer(held, np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.empty(0, np.uint8)
+    at = at - at[0]
+    word = ~SPACE[held]
+    starts, ends = word.copy(), word.copy()
+    starts[1:] &= ~word[:-1]
+    ends[:-1] &= ~word[1:]
+    # texts follow one another without space
+    own = at[:-1][at[1:] > at[:-1]]
+    starts[own] = word[own]
+    ends[own[1:] - 1] = word[own[1:] - 1]
+    starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    size = ends - starts
+    eight = np.ndarray(len(held) + 1, "<u8", np.r_[held, np.zeros(8, np.uint8)], strides=(1,))
+    # the length decides too, so that zero bytes behind a word are none of it
+    out = mixed(mixed(size.astype(np.uint64) * np.uint64(BASES[0])) ^ (eight[starts] & LOWEST[np.minimum(size, 8)]))
+    more, k = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(more):
+        out[more] = mixed(out[more] ^ (eight[starts[more] + k] & LOWEST[np.minimum(size[more] - k, 8)]))
+        k += 8
+        more = more[size[more] > k]
+    for i in np.flatnonzero(size > LONG):
+        out[i] = xxhash.xxh64_intdigest(held[starts[i] : ends[i]], 11)
+    return out, np.diff(np.searchsorted(starts, at))
+
+
 def window_hashes(a: np.ndarray, length: int, base: int) -> np.ndarray:
     """Hash of every window of that many words: hashes of half the length joined, level by level."""
     out, have, power = None, 0, 1
@@ -78,29 +110,33 @@ def anchors_of(short: np.ndarray, windows: int, spread: int) -> np.ndarray:
     return place[:windows]
 
 
-def runs_of(texts: list[list[bytes]], min_words: int, length: int, live: list | None = None):
-    """The runs of texts in words, one after the other: (text, anchor hash, first window, windows, two halves of the
-    class key) arrays.
+def covered(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Which of the places 0 to n lie in one of the ranges [lo, hi)."""
+    return np.cumsum(np.bincount(lo, minlength=n + 1) - np.bincount(hi, minlength=n + 1))[:n] > 0
+
+
+def runs_of(texts: pa.Array, min_words: int, length: int, live: pa.Array | None = None):
+    """The runs of binary texts: (text, anchor hash, first window, windows, two halves of the class key) arrays.
 
     live holds for each text the (first window, windows) that are to be looked at; without it all are.
     """
-    sizes = np.array([len(t) for t in texts], np.int64)
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    a = mixed(word_hashes([w for t in texts for w in t]))
-    n = len(a) - min_words + 1
-    if n <= 0:
-        return None
-    text = np.repeat(np.arange(len(texts)), sizes)[:n]
-    at = np.arange(n) - starts[text]
+    a, sizes = word_hashes(texts)
+    starts = np.cumsum(sizes) - sizes
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(a)) - starts[text]
     # windows that end in their text
     looked = at <= sizes[text] - min_words
     if live is not None:
-        edge = np.zeros(n + 1, np.int64)
-        for s, own in zip(starts, live, strict=True):
-            np.add.at(edge, [s + x["lo"] for x in own], 1)
-            np.add.at(edge, [s + x["lo"] + x["n"] for x in own], -1)
-        looked &= np.cumsum(edge[:-1]) > 0
+        lo, count = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in live.flatten().flatten())
+        lo += np.repeat(starts, live.value_lengths().to_numpy(zero_copy_only=False))
+        looked &= covered(len(a), lo, lo + count)
+        # words of no such window go, so that what is left is as long as the windows ask
+        needed = np.flatnonzero(covered(len(a), lo, lo + count + min_words - 1))
+        a, text, at, looked = a[needed], text[needed], at[needed], looked[needed]
+    n = len(a) - min_words + 1
+    if n <= 0:
+        return None
+    a, text, at, looked = mixed(a), text[:n], at[:n], looked[:n]
     short = mixed(window_hashes(a, length, BASES[0]))
     place = anchors_of(short, n, min_words - length + 1)
     begins = looked & np.r_[True, (place[1:] != place[:-1]) | ~looked[:-1] | (at[1:] == 0)]
@@ -129,21 +165,16 @@ def _run_rows(texts: DataFrame, min_words: int, length: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows, words, held = [], [], 0
-            for i in range(batch.num_rows):
-                words.append(batch.column(2)[i].as_py().split())
-                rows.append(i)
-                held += len(words[-1])
-                if held >= TOGETHER or i + 1 == batch.num_rows:
-                    live = [batch.column(3)[k].as_py() for k in rows] if batch.num_columns > 3 else None
-                    found = runs_of(words, min_words, length, live)
-                    if found is not None:
-                        text, anchor, lo, n, keys = found
-                        own = pa.array(np.array(rows)[text])
-                        cols = [anchor.view(np.int64), lo.astype(np.int32), n.astype(np.int16), keys[0].view(np.int64), keys[1].astype(np.uint32).view(np.int32)]
-                        cols = [pa.array(c) for c in cols]
-                        yield pa.RecordBatch.from_arrays([cols[0], batch.column(0).take(own), batch.column(1).take(own), *cols[1:]], names=names)
-                    rows, words, held = [], [], 0
+            for s, e in together(batch.column(2)):
+                part = batch.slice(s, e - s)
+                found = runs_of(part.column(2), min_words, length, part.column(3) if part.num_columns > 3 else None)
+                if found is None:
+                    continue
+                text, anchor, lo, n, keys = found
+                own = pa.array(text)
+                cols = [anchor.view(np.int64), lo.astype(np.int32), n.astype(np.int16), keys[0].view(np.int64), keys[1].astype(np.uint32).view(np.int32)]
+                cols = [pa.array(c) for c in cols]
+                yield pa.RecordBatch.from_arrays([cols[0], part.column(0).take(own), part.column(1).take(own), *cols[1:]], names=names)
 
     kind = texts.schema["id"].dataType.simpleString()
     return texts.mapInArrow(run, f"anchor long, id {kind}, h long, lo int, n short, k1 long, k2 int")
@@ -204,12 +235,17 @@ def repeated_spans(docs: DataFrame, min_words: int = 20, first: int | None = Non
 KEPT = "n_words long, n_removed long, kept_sha256 string, kept binary"
 
 
-def outside(words: list[bytes], spans) -> list[bytes]:
-    """The words that lie in none of the spans."""
-    edge = np.zeros(len(words) + 1, np.int64)
-    np.add.at(edge, [x["lo"] for x in spans], 1)
-    np.add.at(edge, [x["hi"] for x in spans], -1)
-    return [words[k] for k in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
+def outside(words: list[bytes], lo: np.ndarray, hi: np.ndarray) -> list[bytes]:
+    """The words that lie in none of the ranges [lo, hi)."""
+    edges = np.flatnonzero(np.diff(np.r_[True, covered(len(words), lo, hi), True]))
+    return [w for s, e in edges.reshape(-1, 2).tolist() for w in words[s:e]]
+
+
+def spans_of(spans: pa.Array) -> list:
+    """For each row its spans as arrays (lo, hi), or None if it has none."""
+    lo, hi = (x.to_numpy(zero_copy_only=False) for x in spans.flatten().flatten())
+    size = pc.fill_null(spans.value_lengths(), 0).to_numpy(zero_copy_only=False)
+    return [(lo[e - n : e], hi[e - n : e]) if n else None for n, e in zip(size.tolist(), np.cumsum(size).tolist(), strict=True)]
 
 
 def _kept(rows: DataFrame, with_text: bool) -> DataFrame:
@@ -220,10 +256,10 @@ def _kept(rows: DataFrame, with_text: bool) -> DataFrame:
             for s in range(0, batch.num_rows, 256):
                 part = batch.slice(s, 256)
                 out = []
-                for i in range(part.num_rows):
-                    words = part.column(1)[i].as_py().split()
-                    spans, n = part.column(2)[i].as_py(), len(words)
-                    words = outside(words, spans) if spans else words
+                for text, spans in zip(part.column(1), spans_of(part.column(2)), strict=True):
+                    words = text.as_py().split()
+                    n = len(words)
+                    words = outside(words, *spans) if spans else words
                     kept = b" ".join(words)
                     out.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), kept if with_text else None))
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary())
@@ -272,10 +308,10 @@ def strip_repeats(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id",
         for batch in batches:
             for s in range(0, batch.num_rows, 256):
                 part = batch.slice(s, 256)
-                spans = part.column(1).to_pylist()
+                spans = spans_of(part.column(1))
                 cols = dict(zip(names, part.column(0).flatten(), strict=True))
                 texts = cols[text_col].to_pylist()
-                texts = [b" ".join(outside(t.encode().split(), x)).decode() if x else t for t, x in zip(texts, spans, strict=True)]
+                texts = [b" ".join(outside(t.encode().split(), *x)).decode() if x else t for t, x in zip(texts, spans, strict=True)]
                 cols[text_col] = pa.array(texts, cols[text_col].type)
                 if chars_col in cols:
                     chars = [len(t) if x else c for t, x, c in zip(texts, spans, cols[chars_col].to_pylist(), strict=True)]

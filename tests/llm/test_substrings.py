@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plumbline.llm import query_substrings as Q
@@ -122,3 +123,28 @@ def test_window_hashes(length):
     base = S.BASES[0]
     want = [sum(int(a[i + j]) * pow(base, length - 1 - j, 2**64) for j in range(length)) % 2**64 for i in range(200 - length + 1)]
     assert S.window_hashes(a, length, base).tolist() == want
+
+
+def test_word_hashes_follow_split():
+    parts = [b" ", b"\n", b"\v", b"\x1c", b"\xc2\x85", b"\0", b"a", b"a\0", b"longer", *(b"x" * n for n in (7, 8, 9, 255, 256, 257, 300))]
+    for seed in range(200):
+        rnd = random.Random(seed)
+        texts = [b"".join(rnd.choices(parts, k=rnd.randint(0, 12))) for _ in range(rnd.randint(0, 6))]
+        hashes, sizes = S.word_hashes(pa.array([b"not this", *texts], pa.binary()).slice(1))
+        words = [w for t in texts for w in t.split()]
+        assert sizes.tolist() == [len(t.split()) for t in texts]
+        assert len(set(zip(words, hashes.tolist(), strict=True))) == len(set(words)) == len(set(hashes.tolist()))
+
+
+def test_live_windows_alone_are_hashed(monkeypatch):
+    """Of a long text with few live windows only their words are looked at; their runs are those of the whole text."""
+    texts = pa.array([b" ".join(b"w%d" % i for i in range(5000)), b"", b" ".join(b"v%d" % i for i in range(300))], pa.binary())
+    every = S.runs_of(texts, 20, 10)
+    mine = np.isin(np.arange(len(every[0])), [3, 4, 50, len(every[0]) - 1])
+    rows = [[{"lo": int(lo), "n": int(n)} for t, lo, n in zip(every[0][mine], every[2][mine], every[3][mine], strict=True) if t == k] for k in range(3)]
+    hashed = []
+    real = S.window_hashes
+    monkeypatch.setattr(S, "window_hashes", lambda a, length, base: hashed.append(len(a)) or real(a, length, base))
+    got = S.runs_of(texts, 20, 10, pa.array(rows, pa.list_(pa.struct([("lo", pa.int32()), ("n", pa.int16())]))))
+    assert [x[mine].tolist() for x in every[:4]] == [x.tolist() for x in got[:4]]
+    assert [x[mine].tolist() for x in every[4]] == [x.tolist() for x in got[4]] and max(hashed) < 200
