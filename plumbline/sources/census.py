@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.runtime import with_scheme
+from plumbline.runtime import materialize, with_scheme
 from plumbline.sources.store import open_input
 
 # fixed values: the canonical columns and the names they go by, the first present one counting
@@ -253,16 +253,23 @@ def folded(prs: DataFrame) -> DataFrame:
 
 def linked(rows: DataFrame, prs: DataFrame) -> DataFrame:
     """(table_name, row_number, pr_key, method) of the rows that belong to one pull request; the first method that
-    finds it counts: its own identity, its URL or id where they agree, its review, its commit."""
+    finds it counts: its own identity, its URL or id where they agree, its review, its commit.
+
+    Pull requests, their rows of other tables and what these name themselves are written: each is read several times,
+    and in one plan with all that leads to it the tables would be read once for each way.
+    """
+    prs = materialize(prs.select("table_name", "row_number", "entity_id", "pr_key"), "census-prs")
     own = prs.select("table_name", "row_number", "pr_key", F.lit("pr_identity").alias("method"))
     keys = prs.select("pr_key").distinct().withColumn("url_key", F.col("pr_key"))
     every = prs.where("entity_id IS NOT NULL").select(F.col("entity_id").alias("pr_id"), F.col("pr_key").alias("id_key")).distinct()
     counted = every.groupBy("pr_id").agg(F.min("id_key").alias("id_key"), F.count("*").alias("n"))
-    kids = rows.where(F.col("role").isin(*CHILDREN))
+    kids = rows.where(F.col("role").isin(*CHILDREN)).select("table_name", "row_number", "role", "entity_id", "pr_id", "review_id", "sha", "pr_key")
+    kids = materialize(kids, "census-children")
     found = _known(_known(kids.where("pr_key IS NOT NULL OR pr_id IS NOT NULL"), keys, "pr_key"), counted, "pr_id")
     # an id of several pull requests links nothing, even beside a URL
     found = found.where("NOT coalesce(n > 1, false)").where("coalesce(url_key, id_key) IS NOT NULL AND (url_key IS NULL OR id_key IS NULL OR url_key = id_key)")
     direct = found.select("table_name", "row_number", F.coalesce("url_key", "id_key").alias("key"), F.when(F.col("url_key").isNotNull(), "pr_url").otherwise("pr_id").alias("method"), "role", "entity_id", "sha")
+    direct = materialize(direct, "census-direct")
     bare = kids.where("pr_id IS NULL AND pr_key IS NULL")
     reviews = unique_targets(direct.where("role = 'review'"), "entity_id", "key").withColumnRenamed("entity_id", "review_id")
     commits = unique_targets(direct.where("role = 'commit'"), "sha", "key")

@@ -132,3 +132,12 @@ def test_rows_without_a_key_do_not_meet_in_one_task(spark):
     assert sorted((r.row_number, r.pr_key, r.method) for r in got) == [(i, f"a/b#{i % 40 + 1}", "pr_id" if i % 2 else "pr_url") for i in range(n)]
     for method in ("pr_url", "pr_id"):
         assert len({r.task for r in got if r.method == method}) > 1
+
+
+def test_links_read_no_table_again(spark, tmp_path):
+    """What leads to the links is written once, so that their plan doesn't grow with the ways from table to link."""
+    for name, df in tables(spark).items():
+        df.write.parquet(str(tmp_path / name))
+    rows = C.source_rows({name: spark.read.parquet(str(tmp_path / name)) for name in tables(spark)})
+    links = C.linked(rows, C.identified(rows, C.repository_aliases(rows)))
+    assert links.count() == 12 and links.inputFiles() and not [f for f in links.inputFiles() if str(tmp_path) in f]
