@@ -361,12 +361,21 @@ def iso_time(text: Column) -> Column:
     return F.try_to_timestamp(zoned)
 
 
+def language_distance(a_ext: Column, b_ext: Column) -> Column:
+    """The share of endings that only one of two changes has; 0 where there is none."""
+    union = F.size(F.array_union(a_ext, b_ext))
+    return F.when(union > 0, 1 - F.size(F.array_intersect(a_ext, b_ext)) / union).otherwise(0.0)
+
+
+def weighed(language: Column, a_log: Column, b_log: Column, a_files: Column, b_files: Column, a_micros: Column, b_micros: Column) -> Column:
+    """log_distance from its parts: the distance of endings, sizes in logs and times in microseconds."""
+    days = F.abs(a_micros - b_micros) / 86_400e6
+    return 2 * language + F.abs(a_log - b_log) + 0.25 * F.abs(a_files - b_files) + days / 365
+
+
 def log_distance(a_ext: Column, b_ext: Column, a_size: Column, b_size: Column, a_files: Column, b_files: Column, a_time: Column, b_time: Column) -> Column:
     """How unlike two changes are: twice the distance of their endings, of sizes in logs, a quarter of files, days in years."""
-    union = F.size(F.array_union(a_ext, b_ext))
-    language = F.when(union > 0, 1 - F.size(F.array_intersect(a_ext, b_ext)) / union).otherwise(0.0)
-    days = F.abs(F.unix_micros(a_time) - F.unix_micros(b_time)) / 86_400e6
-    return 2 * language + F.abs(F.log1p(a_size) - F.log1p(b_size)) + 0.25 * F.abs(a_files - b_files) + days / 365
+    return weighed(language_distance(a_ext, b_ext), F.log1p(a_size), F.log1p(b_size), a_files, b_files, F.unix_micros(a_time), F.unix_micros(b_time))
 
 
 def pair_reason(a_digest: Column, b_digest: Column, a_size: Column, b_size: Column, most: float) -> Column:

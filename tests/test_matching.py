@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions import lines
 from plumbline.operators import matching as M
 
 
@@ -120,3 +121,20 @@ def test_suffixes(spark):
     paths = spark.createDataFrame([(1, "src/a/b.py"), (2, "b.py"), (3, "xb.py"), (4, None), (5, "src/c/b.py")], "id long, path string")
     patterns = spark.createDataFrame([("a/b.py",), ("b.py",), ("b.py",), (None,), ("c/b.py",)], "pattern string").where("pattern IS NULL OR pattern <> 'a/b.py'")
     assert {tuple(r) for r in M.suffix_matches(paths, patterns, "id", "path", "pattern").collect()} == {(1, "b.py"), (2, "b.py")}
+
+
+def test_log_distances_of_every_pair(spark, monkeypatch):
+    kinds = "id long, k int, ext array<string>, size long, files long, t string"
+    exts = [[".py"], [".py", ".go"], [], None, [None, ".py"]]
+    a = spark.createDataFrame([(i, None if i == 9 else i % 2, exts[i % 5], i * 3, i % 4, f"2024-01-{i + 1:02d}") for i in range(10)], kinds).withColumn("time", F.col("t").cast("timestamp"))
+    b = spark.createDataFrame([(i, None if i == 3 else i % 2, exts[i % 5], i * 7, i % 3, f"2024-02-{i + 1:02d}") for i in range(25)], kinds).withColumn("time", F.col("t").cast("timestamp"))
+    score = lines.log_distance(*(F.col(f"{s}.{c}") for c in ("ext", "size", "files", "time") for s in "ab"))
+    want = {tuple(r) for r in a.alias("a").join(b.alias("b"), F.col("a.k") == F.col("b.k")).select("a.id", "b.id", score).collect()}
+    assert len(want) == 5 * 13 + 4 * 11
+    got = M.log_distances(a, b, ["k"])
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    # as many tasks as the pairs ask for, and groups of too many are cut
+    monkeypatch.setattr(M, "PAIRS", 8)
+    got = M.log_distances(a, b, ["k"])
+    assert got.rdd.getNumPartitions() == 14 and sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert M.log_distances(a.limit(0), b, ["k"]).count() == 0
