@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from plumbline.runtime import materialize
 
+#: Draws of two_sample_bootstrap that one task makes.
+DRAWS = 1 << 14
+
 
 def cluster_bootstrap(df: DataFrame, cluster: str, value: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
     """(mean, lo, hi): the mean of all rows and its 95 percent interval, whole clusters drawn with replacement.
@@ -83,14 +86,15 @@ def two_sample_bootstrap(df: DataFrame, side: str, value: str, scales: tuple[flo
 
     Rows fold by side and value first. Of a value that n rows have, a replicate draws a Poisson number of mean n, which a
     hash of seed, side, value and replicate gives: so what is drawn are values, not rows, results do not depend on
-    partitions or the rows' order, and sums are combined before they are exchanged. Null sides and values count nowhere.
+    partitions or the rows' order, and sums are combined before they are exchanged. Values are dealt into tasks of about
+    DRAWS draws, since the folded table is small where the work on it is not. Null sides and values count nowhere.
     """
     own = df.where(F.col(side).isNotNull() & F.col(value).isNotNull()).groupBy(F.col(side).alias("s"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
     own = materialize(own, "folded")
     scaled = F.col("v") * F.when(F.col("s"), F.lit(float(scales[0]))).otherwise(F.lit(float(scales[1])))
     means = lambda rows, t: F.sum(F.when(rows, scaled * t)) / F.sum(F.when(rows, t))
     effect = means(F.col("s"), F.col("n")) - means(~F.col("s"), F.col("n"))
-    drawn = own.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    drawn = own.repartition(max(1, -(-own.count() * replicates // DRAWS)), "s", "v").withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     drawn = drawn.withColumn("t", poisson(F.col("n").cast("double"), F.lit(seed), F.col("s"), F.col("v"), F.col("b")))
     each = drawn.groupBy("b").agg((means(F.col("s"), F.col("t")) - means(~F.col("s"), F.col("t"))).alias("e"))
     interval = each.agg(F.percentile("e", 0.025).alias("lo"), F.percentile("e", 0.975).alias("hi"))

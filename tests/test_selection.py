@@ -79,6 +79,15 @@ def test_bootstrap_does_not_depend_on_partitions(spark):
     assert a.lo == pytest.approx(a.effect - 1.96 * spread, abs=0.35 * spread) and a.hi == pytest.approx(a.effect + 1.96 * spread, abs=0.35 * spread)
 
 
+def test_bootstrap_deals_values_into_tasks(spark):
+    df = spark.range(120, numPartitions=1).select((F.col("id") % 2 == 0).alias("side"), F.col("id").cast("double").alias("v"))
+    out = B.two_sample_bootstrap(df, "side", "v", replicates=1000)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # 120 values of 1000 draws each: 8 tasks of 16384 draws
+    assert any("RepartitionByExpression" in line and line.rstrip().endswith(", 8") for line in plan.splitlines())
+    assert B.two_sample_bootstrap(df.limit(0), "side", "v").first().effect is None
+
+
 def test_poisson_numbers(spark):
     for n in (0.5, 1.0, 7.0, 31.0, 500.0):
         r = spark.range(20_000).select(B.poisson(F.lit(n), F.col("id")).alias("t")).agg(F.avg("t").alias("m"), F.var_pop("t").alias("v"), F.min("t").alias("lo")).first()
