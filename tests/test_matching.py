@@ -8,6 +8,20 @@ from plumbline.functions import lines
 from plumbline.operators import matching as M
 
 
+def test_many_pairs_are_dealt_in_shares(spark, monkeypatch):
+    rnd = random.Random(9)
+    pairs = sorted({("a", rnd.randrange(20), rnd.randrange(20), rnd.randrange(5)) for _ in range(300)})
+    df = spark.createDataFrame(list({p[1:3]: p for p in pairs}.values()), "stratum string, left_id long, right_id long, score long")
+    asked, own = [], M.materialize
+    monkeypatch.setattr(M, "materialize", lambda d, tag: (asked.append(d._jdf.queryExecution().optimizedPlan().toString()) if tag == "asks" else None) or own(d, tag))
+    whole = {tuple(r) for r in M.stable_pairs(df, ["score"], ["score"]).collect()}
+    assert not any("RepartitionByExpression [left_id" in p for p in asked)
+    asked.clear()
+    monkeypatch.setattr(M, "SHARE", 30)
+    assert {tuple(r) for r in M.stable_pairs(df, ["score"], ["score"]).collect()} == whole
+    assert "RepartitionByExpression [left_id" in asked[0]
+
+
 def loop(pairs, order):
     """One pair after the other."""
     left, right, out = set(), set(), set()
