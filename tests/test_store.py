@@ -1,3 +1,8 @@
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 from pyarrow import fs
 from pyspark.sql import functions as F
@@ -83,6 +88,29 @@ def test_shared_folder_needs_no_scheme_on_a_cluster(spark):
     assert R.with_scheme(far, "/mnt/in/documents.parquet") == "file:/mnt/in/documents.parquet"
 
 
+CLUSTER = """
+import sys
+from pyspark.sql import SparkSession
+import __spark_entry__
+conf = {"spark.master": "local-cluster[2,1,1024]", "spark.checkpoint.dir": sys.argv[1], "spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1", "spark.sql.session.timeZone": "UTC", "spark.sql.shuffle.partitions": "4"}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+known = __spark_entry__.queries()
+for name in sys.argv[2:]:
+    print("rows", name, known[name](spark, "/root/testdata/sf0.001").count(), flush=True)
+spark.stop()
+"""
+
+
+def test_queries_on_a_cluster_whose_folder_has_no_scheme(tmp_path):
+    """One query for each kind of file that is written to the shared folder: tables, ranges, archives, cursors."""
+    names = ["agg32_gini", "set08_components", "op7_mix_sources", "op4_warc", "inc01_row_cursor"]
+    env = os.environ | {"PYTHONPATH": str(Path(__file__).resolve().parents[1]), "SPARK_WORKER_DIR": str(tmp_path / "worker"), "SPARK_LOCAL_DIRS": str(tmp_path / "local")}
+    run = subprocess.run([sys.executable, "-c", CLUSTER, str(tmp_path / "shared"), *names], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=400)
+    found = dict(line.split()[1:] for line in run.stdout.splitlines() if line.startswith("rows "))
+    assert list(found) == names, run.stderr[-2000:]
+    assert all(int(n) > 0 for n in found.values())
+
+
 def test_release_deletes_own_tables_alone(spark, tmp_path):
     mine = R.materialize(spark.range(5), "own")
     # an input that lies where materialize writes
