@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 
 import pytest
@@ -152,3 +153,48 @@ def test_log_distances_of_every_pair(spark, monkeypatch):
     got = M.log_distances(a, b, ["k"])
     assert got.rdd.getNumPartitions() == 14 and sorted(tuple(r) for r in got.collect()) == sorted(want)
     assert M.log_distances(a.limit(0), b, ["k"]).count() == 0
+
+
+def caliper_loop(left, right, days, ratio):
+    """Left rows one after the other; (stratum, id, day, size) on both sides."""
+    used, out = set(), set()
+    for s, i, t, x in sorted(left, key=lambda r: (r[2], r[1])):
+        near = [(abs(math.log1p(x) - math.log1p(y)) + abs(t - u) / 365, abs(t - u), (max(x, y) + 1) / (min(x, y) + 1), j) for r, j, u, y in right if r == s and (s, j) not in used]
+        near = [n for n in near if n[1] <= days and n[2] <= ratio]
+        if near:
+            used.add((s, min(near)[3]))
+            out.add((s, i, min(near)[3]))
+    return out
+
+
+def timed(spark, rows):
+    df = spark.createDataFrame(rows, "s string, id long, day int, size long")
+    return df.withColumn("time", F.timestamp_seconds(F.col("day") * 86400))
+
+
+@pytest.mark.parametrize("block", [1 << 14, 6])
+def test_caliper_blocks_are_a_loop_without_listed_pairs(spark, monkeypatch, block):
+    rnd = random.Random(4)
+    sides = [[(rnd.choice("ab"), i, rnd.randrange(400), rnd.choice([1, 5, 7, 9, 30])) for i in range(300)] for _ in range(2)]
+    # each left row would rather have what the one before takes: one displaced row after the other
+    sides[0] += [("c", 1000 + i, 2 * i, 9) for i in range(30)]
+    sides[1] += [("c", 2000 + i, 2 * i - 1, 9) for i in range(30)]
+    written, own = [], M.materialize
+    monkeypatch.setattr(M, "materialize", lambda df, tag: written.append(tag) or own(df, tag))
+    monkeypatch.setattr(M, "BLOCK", block, raising=False)
+    if block < 100:
+        monkeypatch.setattr(M, "SHARE", block)
+    got = {tuple(r)[:3] for r in M.caliper_match(timed(spark, sides[0]), timed(spark, sides[1]), "s", 7.0, 3.0).collect()}
+    assert got == caliper_loop(*sides, 7.0, 3.0)
+    assert "pairs" not in written and (block < 100 or len(written) < 12)
+
+
+def test_caliper_nulls_repeats_and_empty(spark):
+    left = timed(spark, [("a", 1, 0, 5), (None, 2, 0, 5), ("a", None, 0, 5), ("a", 3, None, 5), ("a", 4, 0, None)])
+    right = timed(spark, [("a", 11, 7, 5), (None, 12, 0, 5), ("a", None, 0, 5), ("a", 13, None, 5)])
+    assert [tuple(r) for r in M.caliper_match(left, right, "s", 7.0, 3.0).collect()] == [("a", 1, 11, 7.0, 1.0, 7 / 365)]
+    assert M.caliper_match(left.limit(0), right, "s", 7.0, 3.0).count() == M.caliper_match(left, right.limit(0), "s", 7.0, 3.0).count() == 0
+    # two rows of one id are one left row, with the pairs of both
+    twice = timed(spark, [("a", 1, 0, 5), ("a", 1, 20, 5), ("a", 2, 21, 5)])
+    two = timed(spark, [("a", 11, 1, 9), ("a", 12, 20, 5)])
+    assert {tuple(r)[1:3] for r in M.caliper_match(twice, two, "s", 7.0, 3.0).collect()} == {(1, 12)}
