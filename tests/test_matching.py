@@ -198,3 +198,45 @@ def test_caliper_nulls_repeats_and_empty(spark):
     twice = timed(spark, [("a", 1, 0, 5), ("a", 1, 20, 5), ("a", 2, 21, 5)])
     two = timed(spark, [("a", 11, 1, 9), ("a", 12, 20, 5)])
     assert {tuple(r)[1:3] for r in M.caliper_match(twice, two, "s", 7.0, 3.0).collect()} == {(1, 12)}
+
+
+def near_loop(left, right, caliper):
+    pairs = [(s, i, j, abs(x - y)) for s, i, x in left for t, j, y in right if s == t and abs(x - y) <= caliper]
+    return loop(pairs, lambda p: (p[3], p[1], p[2]))
+
+
+@pytest.mark.parametrize("piece", [1 << 17, 40])
+def test_greedy_pieces_are_a_loop_without_listed_pairs(spark, monkeypatch, piece):
+    rnd = random.Random(6)
+    # few values: many rows of one value and many ties; a chain in which each pair waits for the one before
+    sides = [[(s, f"{h}{i}", float(rnd.randrange(m))) for s, m in (("a", 30), ("b", 400)) for i in range(150)] for h in "lr"]
+    for k in range(40):
+        sides[k % 2].append(("c", f"{'lr'[k % 2]}c{k}", 1000.0 - k * (k + 1) / 2))
+    written, own = [], M.materialize
+    monkeypatch.setattr(M, "materialize", lambda df, tag: written.append(tag) or own(df, tag))
+    monkeypatch.setattr(M, "PIECE", piece, raising=False)
+    a, b = (spark.createDataFrame(side, "s string, id string, v double") for side in sides)
+    got = M.greedy_match(a, b, "s", "v", 39.0)
+    assert {tuple(r)[:3] for r in got.collect()} == near_loop(*sides, 39.0)
+    assert got.columns == ["stratum", "left_id", "right_id", "score"] and "pairs" not in written
+    assert written.count("greedy") == 1 if piece > 1000 else written.count("greedy") > 1
+
+
+@pytest.mark.parametrize("kind", ["double", "int"])
+def test_greedy_on_odd_rows(spark, kind):
+    schema = f"s string, id long, v {kind}"
+    left, right = [("a", 1, 5), ("a", 2, 5), (None, 3, 5), ("a", None, 5), ("a", 4, None), ("b", 1, 9)], [("a", 11, 5), ("a", 12, 7), (None, 13, 5), ("b", 11, 4)]
+    of = lambda rows: spark.createDataFrame([(s, i, float(v) if kind == "double" and v is not None else v) for s, i, v in rows], schema)
+    assert {tuple(r) for r in M.greedy_match(of(left), of(right), "s", "v", 5.0).collect()} == {("a", 1, 11, 0), ("a", 2, 12, 2), ("b", 1, 11, 5)}
+    # rows of one id are one row with the pairs of all
+    assert {tuple(r) for r in M.greedy_match(of([("a", 1, 5), ("a", 1, 8)]), of([("a", 11, 4), ("a", 12, 8)]), "s", "v", 5.0).collect()} == {("a", 1, 12, 0)}
+    assert M.greedy_match(of(left).limit(0), of(right), "s", "v", 5.0).count() == M.greedy_match(of(left), of(right).limit(0), "s", "v", 5.0).count() == M.greedy_match(of([]), of([]), "s", "v", 5.0).count() == 0
+
+
+def test_greedy_where_distances_are_rounded_to_one(spark):
+    schema = "s string, id long, v double"
+    left = [("a", 2, 1e-17), ("a", 1, 0.0), ("a", 3, float("nan")), ("a", 4, float("inf"))]
+    right = [("a", 11, 1.0), ("a", 12, float("nan")), ("a", 13, float("inf"))]
+    # both are 1.0 away, so that the smaller id comes first although the other is nearer
+    assert {tuple(r) for r in M.greedy_match(spark.createDataFrame(left[:2], schema), spark.createDataFrame(right[:1], schema), "s", "v", 5.0).collect()} == {("a", 1, 11, 1.0)}
+    assert {tuple(r)[:3] for r in M.greedy_match(spark.createDataFrame(left[1:], schema), spark.createDataFrame(right, schema), "s", "v", 5.0).collect()} == {("a", 1, 11)}
